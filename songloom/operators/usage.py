@@ -177,12 +177,14 @@ def usage_totals(segments: DataFrame, user: str = "user", approximate: bool = Fa
 
 def usage_by_mode(segments: DataFrame, user: str = "user") -> DataFrame:
     """A4: seconds per user and mode; the total row has a null mode."""
-    return (
+    per_mode = (
         segments.withColumn("filterMode", F.coalesce("filterMode", F.lit("")))
         .groupBy(user, "filterMode")
         .agg(F.sum("seconds").alias("seconds"))
-        .groupBy(F.col(user), F.explode(F.array("filterMode", F.lit(None).cast("string"))).alias("filterMode"))
-        .agg(F.sum("seconds").alias("seconds"))
+    )
+    whole = F.explode(F.array("filterMode", F.lit(None).cast("string")))
+    return per_mode.withColumn("filterMode", whole).groupBy(user, "filterMode").agg(
+        F.sum("seconds").alias("seconds")
     )
 
 
