@@ -8,7 +8,7 @@ plan-building time.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: white space as the web platform defines it (character-class content).
@@ -93,6 +93,21 @@ def squash(c: Column) -> Column:
     return F.trim(sub(c, r"\s+", " "))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value evaluated once, also inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def spread(df: DataFrame, columns: list, array: Column, position: str, element: str) -> DataFrame:
+    """One row per array element, next to ``columns``.
+
+    The outer form is used on purpose: for the inner one the optimizer derives a
+    ``size(array) > 0`` filter and evaluates a costly array expression twice.
+    """
+    rows = df.select(*columns, F.posexplode_outer(array).alias(position, element))
+    return rows.filter(F.col(position).isNotNull())
+
+
 def pieces(c: Column, pattern: str, ignore_case: bool = False) -> Column:
     """Split, trim each piece and drop the empty ones."""
     trimmed = F.transform(parts(c, pattern, ignore_case), strip)

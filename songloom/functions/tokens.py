@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .regex import SPACE, col, text
+from .regex import SPACE, col, let, text
 
 # Scripts written without blanks. Han and kana are cut per character;
 # the others need a dictionary and stay whole.
@@ -27,7 +27,9 @@ def locate_words(line: Column | str, words: Column | str) -> Column:
     )
 
     def place(acc: Column, word: Column) -> Column:
-        at = F.call_function("locate", word, line, acc["at"] + 1)
+        return let(F.call_function("locate", word, line, acc["at"] + 1), lambda at: after(acc, word, at))
+
+    def after(acc: Column, word: Column, at: Column) -> Column:
         end = at - 1 + F.length(word)
         hit = F.struct((at - 1).alias("start"), end.alias("end")).cast(_RANGE)
         found = F.struct(
@@ -74,16 +76,21 @@ def line_tokens(line: Column | str, words: Column | None = None) -> Column:
     untimed = segment_untimed(line)
     if words is None:
         return untimed
-    ranges = locate_words(line, words)
-    starts = F.array_append(F.transform(ranges, lambda r: r["start"]), F.length(line))
-    ends = F.array_prepend(F.transform(ranges, lambda r: r["end"]), F.lit(0))
-
-    def piece(i: Column) -> Column:
-        before = F.substr(line, F.get(ends, i) + 1, F.get(starts, i) - F.get(ends, i))
-        r = F.get(ranges, i)
-        word = F.substr(line, r["start"] + 1, r["end"] - r["start"])
-        return F.array(_token(before, F.lit(False)), _token(word, F.lit(True)))
-
-    timed = F.flatten(F.transform(F.sequence(F.lit(0), F.size(ranges)), piece))
-    timed = F.filter(timed, lambda t: F.coalesce(t["text"], F.lit("")) != "").cast(_TOKEN)
-    return F.when((F.size(words) > 0) & ranges.isNotNull(), timed).otherwise(untimed)
+
+    def timed(ranges: Column) -> Column:
+        """Each word with the separator before it, then what follows the last word."""
+
+        def piece(r: Column, i: Column) -> Column:
+            since = F.coalesce(F.get(ranges, i - 1)["end"], F.lit(0))
+            before = F.substr(line, since + 1, r["start"] - since)
+            word = F.substr(line, r["start"] + 1, r["end"] - r["start"])
+            return F.array(_token(before, F.lit(False)), _token(word, F.lit(True)))
+
+        rest = F.substr(line, F.try_element_at(ranges, F.lit(-1))["end"] + 1)
+        tail = F.array(_token(rest, F.lit(False)))
+        return F.filter(
+            F.concat(F.flatten(F.transform(ranges, piece)), tail), lambda t: t["text"] != ""
+        ).cast(_TOKEN)
+
+    found = F.when(F.size(words) > 0, let(locate_words(line, words), lambda r: F.when(r.isNotNull(), timed(r))))
+    return F.coalesce(found, untimed)

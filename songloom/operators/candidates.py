@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.regex import group, has, parts, pieces, strip, text
+from ..functions.regex import group, has, parts, pieces, spread, strip, text
 
 CANDIDATES = "array<struct<artist:string,track:string,album:string>>"
 _SEEDS = "array<struct<artist:string,track:string,album:string,credit:boolean>>"
@@ -297,9 +297,8 @@ def explode_candidates(parsed: DataFrame, keep: int | None = None) -> DataFrame:
     """
     source = F.col("candidates") if keep is None else F.slice("candidates", 1, keep)
     columns = [c for c in parsed.columns if c != "candidates"]
-    return parsed.select(*columns, F.posexplode(source).alias("prio", "c")).select(
-        *columns, "prio", "c.artist", "c.track", "c.album"
-    )
+    rows = spread(parsed, columns, source, "prio", "c")
+    return rows.select(*columns, "prio", "c.artist", "c.track", "c.album")
 
 
 def build_requests(candidates: DataFrame) -> DataFrame:
@@ -323,6 +322,5 @@ def build_requests(candidates: DataFrame) -> DataFrame:
         F.when((artist != "") & (track != ""), request("name", folded_artist, folded_track, nothing)),
         F.when(track != "", request("search", nothing, nothing, query)),
     )
-    return candidates.withColumn("r", F.explode(F.array_compact(requests))).select(
-        *candidates.columns, "r.kind", "r.key_artist", "r.key_track", "r.query"
-    )
+    rows = spread(candidates, candidates.columns, F.array_compact(requests), "at", "r")
+    return rows.select(*candidates.columns, "r.kind", "r.key_artist", "r.key_track", "r.query")

@@ -183,47 +183,41 @@ def link_by_name(wants: DataFrame, catalog: DataFrame, spelling: str = "folded")
 
 # ── Token joins ──────────────────────────────────────────────────────────────
 
-def _row_tokens(catalog: DataFrame) -> DataFrame:
-    """Distinct token sets of usable rows with the first row of each set."""
-    key = tx.normalize_for_match(F.concat_ws(" ", text("artistName"), text("trackName")))
-    return (
-        usable_rows(catalog)
-        .select(F.array_sort(tx.tokens(key)).alias("r_tokens"), "row_ord")
-        .filter(F.size("r_tokens") > 0)
-    )
-
+def rarest_first(bags: DataFrame, tokens: str, postings: DataFrame, key: str) -> DataFrame:
+    """``[key, ranked]``: tokens of each bag with their frequency in ``postings``, rarest first.
 
-def rarest_first(bags: DataFrame, tokens: str, index: DataFrame, key: str) -> DataFrame:
-    """Add ``ranked``: the tokens of each bag ordered by document frequency in ``index``.
-
-    Tokens absent from the index count as frequency 0 and come first.
+    ``postings`` hold one row per (token ``t``, row). Unknown tokens have frequency 0.
     """
-    frequency = index.select(F.explode("r_tokens").alias("t")).groupBy("t").agg(
-        F.count(F.lit(1)).alias("df")
-    )
-    ranked = (
+    frequency = postings.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    return (
         bags.select(key, F.explode(tokens).alias("t"))
         .join(frequency, "t", "left")
         .groupBy(key)
         .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "t"))).alias("ranked"))
     )
-    return bags.join(ranked, key)
 
 
-def _token_pairs(bags: DataFrame, rows: DataFrame, key: str, prefix: Column) -> DataFrame:
-    """Pairs sharing a token among the ``prefix`` rarest of the bag, each pair once.
+def _token_pairs(wants: DataFrame, catalog: DataFrame, prefix: Column) -> DataFrame:
+    """Want and row signatures sharing one of the ``prefix`` rarest wanted words.
 
-    A pair is kept only at the first shared prefix token, so no duplicate leaves the
-    join and none has to be removed by a shuffle.
+    The join runs over an inverted index of (word, row number) only; texts and token
+    arrays are fetched for the surviving pairs. ``prefix`` may use ``ranked``.
     """
-    probes = (
-        rarest_first(bags, "w_tokens", rows, key)
-        .withColumn("head", F.transform(F.slice("ranked", F.lit(1), prefix), lambda r: r["t"]))
-        .select("*", F.posexplode("head").alias("at", "t"))
+    rows = catalog_signatures(catalog).withColumn(
+        "r_tokens", tx.tokens(tx.normalize_for_match(F.concat_ws(" ", "l_artist", "l_track")))
+    )
+    bags = (
+        signatures(wants)
+        .withColumn("w_tokens", F.array_sort(tx.tokens(F.concat_ws(" ", "w_track", "w_artist"))))
+        .filter(F.size("w_tokens") > 0)
+        .withColumn("bag", F.md5(F.to_json(F.struct(*WANT))))
     )
-    pairs = probes.join(rows.withColumn("t", F.explode("r_tokens")), "t")
-    first = F.get(F.array_intersect("head", "r_tokens"), F.lit(0))
-    return pairs.filter(first == F.col("t")).drop("at", "t", "head", "ranked")
+    postings = cut(rows.select("row_ord", F.explode("r_tokens").alias("t")))
+    ranked = rarest_first(bags, "w_tokens", postings, "bag")
+    heads = F.transform(F.slice("ranked", F.lit(1), prefix), lambda r: r["t"])
+    probes = ranked.select("bag", F.explode(heads).alias("t"))
+    met = probes.join(postings, "t").select("bag", "row_ord").distinct()
+    return met.join(bags, "bag").join(rows, "row_ord").drop("bag")
 
 
 def search_all_terms(wants: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -233,22 +227,13 @@ def search_all_terms(wants: DataFrame, catalog: DataFrame) -> DataFrame:
     (:func:`catalog_signatures`), scored by P15; holding every word is P6, so the
     acceptance test of the reference is always met.
     """
-    keyed = wanted(wants).withColumn(
-        "w_tokens", F.array_sort(tx.tokens(F.concat_ws(" ", "w_track", "w_artist")))
-    )
-    rows = catalog_signatures(catalog).withColumn(
-        "r_tokens",
-        tx.tokens(tx.normalize_for_match(F.concat_ws(" ", "l_artist", "l_track"))),
-    )
-    bags = (
-        keyed.select(*WANT, "w_tokens").distinct().filter(F.size("w_tokens") > 0)
-        .withColumn("bag", F.xxhash64(*WANT))
-    )
-    pairs = _token_pairs(bags, rows, "bag", F.lit(1)).filter(
+    keyed = wanted(wants)
+    pairs = _token_pairs(keyed, catalog, F.lit(1)).filter(
         F.size(F.array_except("w_tokens", "r_tokens")) == 0
     )
-    best = pairs.groupBy(*WANT).agg(
-        F.min_by(F.struct("row_ord", score().alias("score")), F.struct(score(), F.col("row_ord"))).alias("b")
+    scored = pairs.select(*WANT, "row_ord", score().alias("score"))
+    best = scored.groupBy(*WANT).agg(
+        F.min(F.struct("score", "row_ord")).alias("b")
     )
     return keyed.join(best, WANT, "left").select(*wants.columns, "b.row_ord", "b.score")
 
@@ -260,21 +245,13 @@ def search_broad(wants: DataFrame, catalog: DataFrame, share: float = 0.5) -> Da
     them, so a want probes with its rarest ``n − need + 1`` words and misses nothing.
     Returns signature pairs for :func:`pick_best`.
     """
-    keyed = wanted(wants).withColumn(
-        "w_tokens", F.array_sort(tx.tokens(F.concat_ws(" ", "w_track", "w_artist")))
-    )
-    rows = catalog_signatures(catalog).withColumn(
-        "r_tokens", tx.tokens(tx.normalize_for_match(F.concat_ws(" ", "l_artist", "l_track")))
-    )
-    need = F.ceil(F.size("w_tokens") * F.lit(share)).cast("int")
-    bags = (
-        keyed.select(*WANT, "w_tokens").distinct().filter(F.size("w_tokens") > 0)
-        .withColumn("bag", F.xxhash64(*WANT))
-    )
-    prefix = F.size("w_tokens") - need + 1
-    pairs = _token_pairs(bags, rows, "bag", prefix)
-    enough = F.size(F.array_intersect("w_tokens", "r_tokens")) >= need
-    return pairs.filter(enough).filter(accepted()).drop("bag", "w_tokens", "r_tokens")
+
+    def need(tokens: str) -> Column:
+        return F.ceil(F.size(tokens) * F.lit(share)).cast("int")
+
+    pairs = _token_pairs(wanted(wants), catalog, F.size("ranked") - need("ranked") + 1)
+    enough = F.size(F.array_intersect("w_tokens", "r_tokens")) >= need("w_tokens")
+    return pairs.filter(enough).filter(accepted()).drop("w_tokens", "r_tokens")
 
 
 # ── Fuzzy join ───────────────────────────────────────────────────────────────
@@ -359,10 +336,10 @@ def containing_strings(left: DataFrame, right: DataFrame, a: str, b: str) -> Dat
         return F.array_distinct(grams)
 
     def held(outer: DataFrame, o: str, inner: DataFrame, i: str) -> DataFrame:
-        outer = outer.select(o).filter(F.length(o) >= 3).distinct().withColumn("r_tokens", trigrams(o))
+        outer = outer.select(o).filter(F.length(o) >= 3).distinct()
         inner = inner.select(i).filter(F.length(i) >= 3).distinct().withColumn("g", trigrams(i))
-        rarest = rarest_first(inner, "g", outer, i).select(i, F.col("ranked")[0]["t"].alias("t"))
-        grams = outer.select(o, F.explode("r_tokens").alias("t"))
+        grams = cut(outer.select(o, F.explode(trigrams(o)).alias("t")))
+        rarest = rarest_first(inner, "g", grams, i).select(i, F.col("ranked")[0]["t"].alias("t"))
         return rarest.join(grams, "t").filter(F.contains(F.col(o), F.col(i))).select(a, b)
 
     return held(left, a, right, b).union(held(right, b, left, a)).distinct()
@@ -393,11 +370,12 @@ def fuzzy_link(wants: DataFrame, rows: DataFrame) -> DataFrame:
 
     A same-titled row by another artist is therefore never produced and then dropped.
     """
-    wants = wants.filter(F.col("w_track") != "")
-    rows = rows.filter(F.col("r_track") != "")
+    # The signatures and the two pair tables feed several joins each: write them once.
+    wants = cut(wants.filter(F.col("w_track") != ""))
+    rows = cut(rows.filter(F.col("r_track") != ""))
     named = wants.filter(_named())
-    titles = similar_strings(wants, rows, "w_track", "r_track", 15, 2)
-    artists = strong_artists(named, rows)
+    titles = cut(similar_strings(wants, rows, "w_track", "r_track", 15, 2))
+    artists = cut(strong_artists(named, rows))
 
     by_title = wants.filter(~_named()).join(titles, "w_track").join(rows, "r_track")
     by_artist = (

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clock import interpolate
+from ..functions.regex import spread
 from ..functions.tokens import line_tokens
 from .ordered import neighbours, time_slice
 
@@ -201,30 +202,15 @@ def word_table(lines: DataFrame, song: str = "song_id", tail: float = LAST_LINE_
         F.filter(line_tokens("text", texts), lambda t: t["isWord"]), lambda t: t["text"]
     )
     ended = ended.withColumn("_shown", shown)
-    n = F.size("_shown")
+    kept = [song, "line_idx", "time", "end", "words", F.size("_shown").alias("n")]
+    rows = spread(ended, kept, F.col("_shown"), "word_idx", "word")
+    i, n = F.col("word_idx"), F.col("n")
     span = F.greatest(F.col("end") - F.col("time"), F.lit(0.001))
     measured = F.coalesce(F.size("words") == n, F.lit(False))
-    starts = F.transform("words", lambda w: w["time"])
-
-    def estimate(i: Column) -> Column:
-        return F.col("time") + span * i / n
-
-    bounds = F.when(measured, F.array_append(starts, F.col("end"))).otherwise(
-        F.transform(F.sequence(F.lit(0), n), estimate)
-    )
-    ended = ended.filter(n > 0).withColumns({"_bounds": bounds, "_measured": measured})
-    words = ended.select(
-        song, "line_idx", "_bounds", F.col("_measured").alias("measured"), F.posexplode("_shown").alias("word_idx", "word")
-    )
-    return words.select(
-        song,
-        "line_idx",
-        "word_idx",
-        "word",
-        F.col("_bounds")[F.col("word_idx")].alias("from"),
-        F.col("_bounds")[F.col("word_idx") + 1].alias("to"),
-        "measured",
-    )
+    begins = F.when(measured, F.get("words", i)["time"]).otherwise(F.col("time") + span * i / n)
+    following = F.coalesce(F.get("words", i + 1)["time"], F.col("end"))
+    ends = F.when(measured, following).otherwise(F.col("time") + span * (i + 1) / n)
+    return rows.select(song, "line_idx", "word_idx", "word", begins.alias("from"), ends.alias("to"))
 
 
 def word_at(
@@ -245,7 +231,7 @@ def word_at(
         placed.join(words, [song, "line_idx"])
         .withColumn("state", state)
         .withColumn("percent", F.when(F.col("state") == "singing", F.round(percent, 1)))
-        .drop("from", "to", "measured")
+        .drop("from", "to")
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.markup import decode_entities
-from ..functions.regex import group, groups, has, parts, squash, strip, sub, text
+from ..functions.regex import group, groups, has, parts, spread, squash, strip, sub, text
 
 CUES = "array<struct<time:double,text:string>>"
 _JSON3 = "struct<events:array<struct<tStartMs:double,segs:array<struct<utf8:string>>>>>"
@@ -100,9 +100,7 @@ def tried_cues(json3: Column, srv3: Column, vtt: Column, srv1: Column, default:
 
 
 def _read(docs: DataFrame, key: str, cues: Column) -> DataFrame:
-    return docs.select(key, F.posexplode(cues).alias("cue_idx", "cue")).select(
-        key, "cue_idx", "cue.time", "cue.text"
-    )
+    return spread(docs, [key], cues, "cue_idx", "cue").select(key, "cue_idx", "cue.time", "cue.text")
 
 
 def read_vtt(docs: DataFrame, key: str = "doc_id", body: str = "body", need_end: bool = False) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.regex import groups, parts, squash, strip, sub, text
+from ..functions.regex import groups, parts, spread, squash, strip, sub, text
 
 LINES = "array<struct<time:double,text:string,words:array<struct<time:double,text:string>>>>"
 _STAMP = r"\[(\d+):(\d+(?:\.\d+)?)\]"
@@ -68,6 +68,5 @@ def read_lrc(docs: DataFrame, key: str = "song_id", body: str = "lrc") -> DataFr
 
     A document is one row, so ordering happens inside the row and nothing is shuffled.
     """
-    return docs.select(key, F.posexplode(lrc_lines(body)).alias("line_idx", "line")).select(
-        key, "line_idx", "line.time", "line.text", "line.words"
-    )
+    rows = spread(docs, [key], lrc_lines(body), "line_idx", "line")
+    return rows.select(key, "line_idx", "line.time", "line.text", "line.words")

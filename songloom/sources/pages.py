@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.markup import html_to_text
-from ..functions.regex import groups, has, strip, sub, text
+from ..functions.regex import groups, has, spread, strip, sub, text
 from ..functions.text import clean_title, strip_topic
 
 LYRICS_MARKER = 'data-lyrics-container="true"'
@@ -165,9 +165,8 @@ def pages_song_metadata(
     page = F.col("html")
     linked = F.when(F.contains(page, F.lit("ld+json")), _linked_data(page))
     channel = F.when(page.rlike("(?i)ytd-|owner-name|channel-name"), _channel(page))
-    return both.select(key, F.coalesce(linked, player, channel).alias("m")).filter(
-        "m is not null"
-    ).select(key, "m.track", "m.artist", "m.source")
+    found = F.array_compact(F.array(F.coalesce(linked, player, channel)))
+    return spread(both, [key], found, "at", "m").select(key, "m.track", "m.artist", "m.source")
 
 
 def page_title(html: Column | str) -> Column:
