@@ -57,9 +57,17 @@ def match_quality(
     ``results`` hold ``artistName, trackName, synced`` (absent titles are misses);
     ``truth`` holds ``trueArtist, trueTrack`` and optionally other accepted artists.
     """
-    joined = truth.withColumn("_names", _names("trueArtist", alternates)).join(results, key, "left")
-    track = tx.fuzzy_track_match("trackName", "trueTrack")
-    any_artist = F.exists("_names", lambda a: tx.artist_match_strong("artistName", a))
+    names = F.transform(_names("trueArtist", alternates), tx.normalize_for_match)
+    joined = truth.withColumn("_names", names).join(results, key, "left")
+    joined = joined.withColumns(
+        {
+            "_rt": tx.normalize_for_match("trackName"),
+            "_tt": tx.normalize_for_match("trueTrack"),
+            "_ra": tx.normalize_for_match("artistName"),
+        }
+    )
+    track = tx.keys_fuzzy(F.col("_rt"), F.col("_tt"))
+    any_artist = F.exists("_names", lambda a: tx.keys_strong(F.col("_ra"), a))
     hit = F.col("trackName").isNotNull() & track & ((F.size("_names") == 0) | any_artist)
     return joined.select(
         key, hit.alias("hit"), (hit & F.coalesce("synced", F.lit(False))).alias("hit_synced")

@@ -99,12 +99,12 @@ ORACLE["fuzzy_link"] = f"with {_LINK} select w_artist, w_track, w_duration, row_
 
 _PICK = f"""{_LINK},
 scored as (
-  select *, d + 0.6 * levenshtein(w_artist, r_artist) + (case when gap <= 10 then 0 else least((gap - 10) / 5, 8) end)
+  select *, d + 0.6::double * levenshtein(w_artist, r_artist) + (case when gap <= 10 then 0 else least((gap - 10) / 5, 8) end)
     - (case when r_synced then 2 else 0 end) as score from ok),
 uniq as (
-  select * from scored qualify row_number() over (partition by w_artist, w_track, w_duration, r_artist, r_track order by round(score, 9), row_ord) = 1),
+  select * from scored qualify row_number() over (partition by w_artist, w_track, w_duration, r_artist, r_track order by score, row_ord) = 1),
 ranked as (
-  select *, row_number() over (partition by w_artist, w_track, w_duration order by round(score, 9), row_ord) - 1 as position from uniq)"""
+  select *, row_number() over (partition by w_artist, w_track, w_duration order by score, row_ord) - 1 as position from uniq)"""
 
 ORACLE["score_pick"] = f"""
 with {_PICK} select w_artist, w_track, w_duration, position, row_ord, round(score, 6) as score from ranked where position <= 5"""
