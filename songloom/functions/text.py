@@ -8,7 +8,7 @@ from functools import lru_cache, reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .regex import col, group, has, strip, sub, text, web
+from .regex import col, group, has, let, strip, sub, text, web
 
 # Letters without a canonical decomposition, and Cyrillic letters, with
 # the Latin text they fold to.
@@ -32,6 +32,11 @@ NOISE_WORDS = (
     "visualizer visualiser performance"
 ).split()
 
+# Whole words only, by ASCII boundaries; the first look rejects most positions at once.
+_NOISE = (
+    f"(?=[{''.join(sorted({w[0] for w in NOISE_WORDS}))}])(?<![A-Za-z0-9_])"
+    f"(?:{'|'.join(NOISE_WORDS)})(?![A-Za-z0-9_])"
+)
 _MARKS = r"[\x{0300}-\x{036F}]"
 
 
@@ -43,8 +48,12 @@ def _translate(c: Column, table: dict[str, str]) -> Column:
     out = F.translate(c, "".join(single) + dropped, "".join(single.values()))
     if not longer:
         return out
-    expanded = reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), longer.items(), out)
-    return F.when(c.rlike(f"[{''.join(longer)}]"), expanded).otherwise(out)
+
+    def expand(s: Column) -> Column:
+        wide = reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), longer.items(), s)
+        return F.when(s.rlike(f"[{''.join(longer)}]"), wide).otherwise(s)
+
+    return let(out, expand)
 
 
 @lru_cache(maxsize=None)
@@ -75,14 +84,18 @@ def translit(c: Column | str) -> Column:
 
 def ascii_fold(c: Column | str) -> Column:
     """:func:`translit`, then drop diacritics. Pure ASCII input skips the tables."""
-    low = F.lower(text(c))
-    folded = F.regexp_replace(_translate(translit(c), _decomposition()), _MARKS, "")
-    return F.when(low.rlike(r"[^\x00-\x7F]"), folded).otherwise(low)
+
+    def fold(low: Column) -> Column:
+        special = _translate(low, {**SPECIAL_LATIN, **CYRILLIC})
+        folded = F.regexp_replace(_translate(special, _decomposition()), _MARKS, "")
+        return F.when(low.rlike(r"[^\x00-\x7F]"), folded).otherwise(low)
+
+    return let(F.lower(text(c)), fold)
 
 
 def normalize_for_match(c: Column | str) -> Column:
     """the comparison key of a title or name."""
-    out = sub(ascii_fold(c), rf"\b(?:{'|'.join(NOISE_WORDS)})\b", " ")
+    out = F.regexp_replace(ascii_fold(c), _NOISE, " ")
     out = F.regexp_replace(out, r"[^\p{L}\p{M}\p{N}]+", " ")
     out = F.regexp_replace(out, r" (?:feat|ft|featuring|prod) .*\z", "")
     return F.trim(out)

@@ -358,57 +358,72 @@ def _buckets(c: str, width: int, spread: int = 0) -> Column:
     return F.explode(F.array(*(base + i for i in range(-spread, spread + 1))))
 
 
+def _near(probes: DataFrame, index: DataFrame, on: list[str], percent: int, least: int, keep: list[str]) -> DataFrame:
+    wt, rt = F.col("w_track"), F.col("r_track")
+    near = tx.within(wt, rt, tx.tolerance(wt, rt, percent, least))
+    return probes.join(index, on).select(*keep).filter(near).distinct()
+
+
 def fuzzy_link(wants: DataFrame, rows: DataFrame) -> DataFrame:
     """Every pair of want and row signatures that passes P2.
 
-    ``wants`` are :func:`signatures`, ``rows`` are :func:`catalog_signatures`. Five
-    blocked joins, one per way to be accepted, each on all keys that way implies:
+    ``wants`` are :func:`signatures`, ``rows`` are :func:`catalog_signatures`. A pair is
+    accepted in one of four ways, each a join on all keys it implies:
 
-    * title within 15 % — without artist: title pair; with artist: title pair and
-      artist pair; or title pair and duration bucket;
-    * path A: artist pair and title segment; path B: duration bucket and title segment.
+    * title within 15 %, no artist wanted: title pair;
+    * title within 15 %, lengths within 5 s: title pair and duration bucket;
+    * title within 30 %, strong artist: artist pair and title segment (this holds the
+      15 % case too, as its tolerance is never smaller);
+    * title within 35 %, lengths within 3 s: duration bucket and title segment.
 
-    A same-titled row by another artist is therefore never produced and then dropped.
+    Edit distances are taken once per distinct (artist, title) or (title, bucket) pair;
+    what is then joined to the signatures is accepted already. A same-titled row by
+    another artist is never produced and dropped.
     """
-    # The signatures and the two pair tables feed several joins each: write them once.
+    # The signatures and the pair tables feed several joins each: write them once.
     wants = cut(wants.filter(F.col("w_track") != ""))
     rows = cut(rows.filter(F.col("r_track") != ""))
     named = wants.filter(_named())
     titles = cut(similar_strings(wants, rows, "w_track", "r_track", 15, 2))
-    artists = cut(strong_artists(named, rows))
+    artists = strong_artists(named, rows)
 
     by_title = wants.filter(~_named()).join(titles, "w_track").join(rows, "r_track")
-    by_artist = (
-        named.join(titles, "w_track").join(artists, "w_artist").join(rows, ["r_track", "r_artist"])
-    )
-    timed_rows = rows.filter(F.col("r_duration") > 0)
+
     timed_wants = wants.filter(F.col("w_duration") > 0)
+    timed_rows = rows.filter(F.col("r_duration") > 0)
+    apart = F.abs(F.col("r_duration") - F.col("w_duration"))
     by_length = (
         timed_wants.filter(_named())
         .withColumn("slot", F.floor(F.col("w_duration") / 5))
         .join(titles, "w_track")
         .join(timed_rows.withColumn("slot", _buckets("r_duration", 5, 1)), ["r_track", "slot"])
+        .filter(apart <= 5)
     )
-    path_a = (
-        segment_probes(named, "w_track", 30, 3)
-        .join(artists, "w_artist")
-        .join(segment_index(rows, "r_track", 30, 3), ["r_artist", *_BLOCK])
+    pair = ["w_artist", "w_track", "r_artist", "r_track"]
+    by_artist = _near(
+        segment_probes(named.select("w_artist", "w_track").distinct(), "w_track", 30, 3).join(artists, "w_artist"),
+        segment_index(rows.select("r_artist", "r_track").distinct(), "r_track", 30, 3),
+        ["r_artist", *_BLOCK], 30, 3, pair,
+    )
+    path_a = named.join(by_artist, ["w_artist", "w_track"]).join(rows, ["r_artist", "r_track"])
+
+    slotted_wants = timed_wants.withColumn("slot", F.floor(F.col("w_duration") / 3))
+    slotted_rows = timed_rows.withColumn("slot", _buckets("r_duration", 3, 1))
+    by_slot = _near(
+        segment_probes(slotted_wants.select("w_track", "slot").distinct(), "w_track", 35, 4),
+        segment_index(slotted_rows.select("r_track", "slot").distinct(), "r_track", 35, 4),
+        ["slot", *_BLOCK], 35, 4, ["w_track", "r_track", "slot"],
     )
     path_b = (
-        segment_probes(
-            timed_wants.withColumn("slot", F.floor(F.col("w_duration") / 3)), "w_track", 35, 4
-        ).join(
-            segment_index(
-                timed_rows.withColumn("slot", _buckets("r_duration", 3, 1)), "r_track", 35, 4
-            ),
-            ["slot", *_BLOCK],
-        )
+        slotted_wants.join(by_slot, ["w_track", "slot"])
+        .join(slotted_rows, ["r_track", "slot"])
+        .filter(apart <= 3)
     )
     columns = [*WANT, *ROW, "l_artist", "l_track", "row_ord"]
-    sure = by_title.select(columns)
-    for part in (by_artist, by_length, path_a, path_b):
-        sure = sure.union(part.select(columns).filter(accepted()))
-    return sure.dropDuplicates([*WANT, "row_ord"])
+    pairs = by_title.select(columns)
+    for part in (by_length, path_a, path_b):
+        pairs = pairs.union(part.select(columns))
+    return pairs.dropDuplicates([*WANT, "row_ord"])
 
 
 # ── Ranking ──────────────────────────────────────────────────────────────────

@@ -18,7 +18,19 @@ _MODES = ["stft", "basic", "stft_deep"]
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     ensure_settings(spark)
-    return load(spark, sf, name)
+    return spread_out(load(spark, sf, name))
+
+
+def spread_out(df: DataFrame) -> DataFrame:
+    """Give every core a share of an input with fewer splits than cores.
+
+    Text work per row is heavy and a small file is one split. Inputs of cluster size have
+    more splits than cores and are left as they are.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def choose(index: Column, values: list[str]) -> Column:
