@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.regex import text
+from ..functions.regex import spread, text
 from ..session import cut
 
 WANT = ["w_artist", "w_track", "w_duration"]
@@ -62,12 +62,8 @@ def signatures(wants: DataFrame, *extra: str) -> DataFrame:
     return wants.select(*WANT, *extra).distinct()
 
 
-def catalog_signatures(catalog: DataFrame) -> DataFrame:
-    """Distinct usable rows: one per (lower artist, lower track, duration, synced).
-
-    ``row_ord`` is the first row of the signature, which is the one a scan in input
-    order would keep. The names decide the comparison keys, so they stay with it.
-    """
+def raw_signatures(catalog: DataFrame) -> DataFrame:
+    """:func:`catalog_signatures` without the comparison keys."""
     rows = usable_rows(catalog).select(
         F.lower(text("artistName")).alias("l_artist"),
         F.lower(text("trackName")).alias("l_track"),
@@ -75,10 +71,23 @@ def catalog_signatures(catalog: DataFrame) -> DataFrame:
         _filled("syncedLyrics").isNotNull().alias("r_synced"),
         "row_ord",
     )
-    distinct = rows.groupBy("l_artist", "l_track", "r_duration", "r_synced").agg(
+    return rows.groupBy("l_artist", "l_track", "r_duration", "r_synced").agg(
         F.min("row_ord").alias("row_ord")
     )
-    return distinct.withColumns(
+
+
+def catalog_signatures(catalog: DataFrame) -> DataFrame:
+    """Distinct usable rows: one per (lower artist, lower track, duration, synced).
+
+    ``row_ord`` is the first row of the signature, which is the one a scan in input
+    order would keep. The names decide the comparison keys, so they stay with it.
+    """
+    return with_row_keys(raw_signatures(catalog))
+
+
+def with_row_keys(rows: DataFrame) -> DataFrame:
+    """Add ``r_artist`` and ``r_track``, the comparison keys of the names."""
+    return rows.withColumns(
         {
             "r_artist": tx.normalize_for_match("l_artist"),
             "r_track": tx.normalize_for_match("l_track"),
@@ -203,21 +212,21 @@ def _token_pairs(wants: DataFrame, catalog: DataFrame, prefix: Column) -> DataFr
     The join runs over an inverted index of (word, row number) only; texts and token
     arrays are fetched for the surviving pairs. ``prefix`` may use ``ranked``.
     """
-    rows = catalog_signatures(catalog).withColumn(
-        "r_tokens", tx.tokens(tx.normalize_for_match(F.concat_ws(" ", "l_artist", "l_track")))
-    )
+    rows = raw_signatures(catalog)
+    words = tx.tokens(tx.normalize_for_match(F.concat_ws(" ", "l_artist", "l_track")))
     bags = (
         signatures(wants)
         .withColumn("w_tokens", F.array_sort(tx.tokens(F.concat_ws(" ", "w_track", "w_artist"))))
         .filter(F.size("w_tokens") > 0)
         .withColumn("bag", F.md5(F.to_json(F.struct(*WANT))))
     )
-    postings = cut(rows.select("row_ord", F.explode("r_tokens").alias("t")))
+    postings = cut(spread(rows, ["row_ord"], words, "at", "t").select("row_ord", "t"))
     ranked = rarest_first(bags, "w_tokens", postings, "bag")
     heads = F.transform(F.slice("ranked", F.lit(1), prefix), lambda r: r["t"])
     probes = ranked.select("bag", F.explode(heads).alias("t"))
     met = probes.join(postings, "t").select("bag", "row_ord").distinct()
-    return met.join(bags, "bag").join(rows, "row_ord").drop("bag")
+    pairs = met.join(bags, "bag").join(rows, "row_ord").drop("bag")
+    return with_row_keys(pairs).withColumn("r_tokens", words)
 
 
 def search_all_terms(wants: DataFrame, catalog: DataFrame) -> DataFrame:
