@@ -458,3 +458,27 @@ select frame_idx, round(energy, 4) as energy from w where block_idx % 16 = 0 and
 ORACLE["signal_quality"] = f"""
 with {_CLIP}, e as (select sqrt(sum(list_sum(list_transform(l, lambda x: x * x))) / sum(len(l))) as rms from clip)
 select 'all' as clip_id, 0.5::double as ratio, true as finite, round(rms, 4) as rms_in from e"""
+
+# ── Records ──────────────────────────────────────────────────────────────────
+
+ORACLE["request_outcomes"] = """
+select 'yt:k' || p_partkey as "videoKey", case when p_type = 'PROMO' then 'upstream' when p_size < 20 then 'queued' when p_size < 30 then 'unauthenticated'
+  when p_type = 'SMALL' then 'upstream' else lower(p_type) end as reason from part"""
+
+ORACLE["valid_signals"] = f"""
+with {_EVENTS}, s as (select case event when 'purchase' then 'explicit_up' when 'error' then 'explicit_down' else 'other' end as signal, k from ev)
+select signal, signal <> 'other' and k > 50 as ok, count(*) as n from s group by all"""
+
+ORACLE["time_texts"] = f"""
+with {_EVENTS}, s as (select ord, event = 'error' as paused, (floor(value) * 60 + k)::bigint as seconds from ev)
+select ord, seconds, (case when paused then seconds else seconds + 2 end)::double as playhead from s"""
+
+ORACLE["stored_snapshots"] = f"""
+with {_EVENTS} select ord as "user", case when event not in ('error', 'signup') then event when k < 50 then 'old' end as lists,
+  event = 'signup' as "signedOut", event = 'error' as stale from ev"""
+
+ORACLE["preferred_tracks"] = """
+select conv_id, turn from conversations where trim(text) <> '' qualify row_number() over (partition by conv_id order by (role = 'user')::int, turn) = 1"""
+
+ORACLE["list_documents"] = f"""
+with {_EVENTS} select ord, 1 as n_lists, case when event = 'error' then 0 else 2 end as n_items, 'Untitled' as name from ev"""

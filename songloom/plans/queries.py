@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import clock, records, urls
 from ..functions import text as tx
-from ..functions import urls
 from ..functions.tokens import line_tokens
 from ..operators import candidates as cd
 from ..operators import evaluate as ev
@@ -681,3 +681,69 @@ def signal_quality(spark, sf):
     return q.select("clip_id", F.round("ratio", 4).alias("ratio"), "finite", F.round("rms_in", 4).alias("rms_in"))
 
 
+
+
+# ── Records ──────────────────────────────────────────────────────────────────
+
+@query
+def request_outcomes(spark, sf):
+    """Reason code per request; parts of type PROMO got no answer."""
+    part = inp.table(spark, sf, "part")
+    key = F.concat(F.lit("yt:k"), F.col("p_partkey").cast("string")).alias("videoKey")
+    status = F.when(F.col("p_size") < 20, 201).when(F.col("p_size") < 30, 401).otherwise(429)
+    reason = F.when(F.col("p_type") != "SMALL", F.lower("p_type"))
+    answers = part.filter(F.col("p_type") != "PROMO").select(key, status.alias("status"), reason.alias("reason"))
+    return sinks.request_outcomes(part.select(key), answers)
+
+
+@query
+def valid_signals(spark, sf):
+    """Events as signals on revisions; how many of each kind are accepted."""
+    events = inp.keyed_events(spark, sf)
+    signal = F.when(F.col("event") == "purchase", "explicit_up").when(F.col("event") == "error", "explicit_down").otherwise("other")
+    ok = records.valid_signal(F.col("k") - 50, signal)
+    return events.select(signal.alias("signal"), ok.alias("ok")).groupBy("signal", "ok").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def time_texts(spark, sf):
+    """shown positions to seconds, and the playhead two seconds later."""
+    events = inp.keyed_events(spark, sf)
+    shown = F.concat(F.floor("value").cast("string"), F.lit(":"), F.lpad(F.col("k").cast("string"), 2, "0"))
+    parsed = events.select("ord", (F.col("event") == "error").alias("paused"), clock.parse_time_text(shown).alias("seconds"))
+    head = clock.interpolate("seconds", F.lit(1000), "paused", F.lit(3000))
+    return parsed.select("ord", "seconds", head.alias("playhead"))
+
+
+@query
+def stored_snapshots(spark, sf):
+    """Fresh answers or the snapshot, with its flag."""
+    events = inp.keyed_events(spark, sf)
+    status = F.when(F.col("event") == "error", 503).when(F.col("event") == "signup", 401).otherwise(200)
+    fresh = events.select(F.col("ord").alias("user"), status.alias("status"), F.col("event").alias("lists"))
+    snapshot = events.filter(F.col("k") < 50).select(F.col("ord").alias("user"), F.lit("old").alias("lists"))
+    return pl.snapshot_or_stale(fresh, snapshot)
+
+
+@query
+def preferred_tracks(spark, sf):
+    """O3: caption track per conversation; user turns count as automatic tracks."""
+    docs = inp.caption_documents(spark, sf)
+    turns = inp.table(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("doc_id"), "conv_id", "turn", "role")
+    tracks = turns.join(docs, "doc_id").select(
+        "conv_id", "turn", F.when(F.col("role") == "user", "asr").alias("kind"), cp.sniffed_cues("body").alias("cues")
+    )
+    return cp.preferred_tracks(tracks, "conv_id", "turn").select("conv_id", "turn")
+
+
+@query
+def list_documents(spark, sf):
+    """stored playlist blobs, one per event, read and normalised."""
+    events = inp.keyed_events(spark, sf)
+    item = F.struct(F.when(F.col("event") != "error", F.col("video_key")).alias("videoKey"), F.col("event").alias("title"))
+    named = F.struct(F.col("user").cast("string").alias("id"), F.array(item, item).alias("items"))
+    broken = F.struct(F.col("user").alias("id"), F.array(item).alias("items"))
+    blob = F.concat(F.lit("["), F.to_json(named), F.lit(","), F.to_json(broken), F.lit("]"))
+    lists = events.select("ord", records.normalize_lists(blob).alias("lists"))
+    items = F.aggregate("lists", F.lit(0), lambda acc, x: acc + F.size(x["items"]))
+    return lists.select("ord", F.size("lists").alias("n_lists"), items.alias("n_items"), F.get("lists", F.lit(0))["name"].alias("name"))
