@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from songloom.llm import credentials, sharding, warc
+from songloom.llm import credentials, sharding, token_files, warc
 from songloom.session import load
 
 #: Rows per Arrow batch, so that a batch of very long texts stays small.
@@ -19,6 +19,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return load(spark, sf_dir, name)
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents encoded into grammar-compressed frames and read back from them."""
+    import public_tokenizers
+
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    return token_files.round_trip(_table(spark, sf_dir, "documents"), vocabulary).drop("ids")
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as WARC archives and read back through their index."""
     return warc.round_trip(_table(spark, sf_dir, "pages")).drop("payload")
@@ -43,6 +51,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_files": op1_token_files,
     "op2_warc": op2_warc,
     "op4_credentials": op4_credentials,
     "op8_sharding": op8_sharding,
