@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from songloom.llm import credentials, sharding, token_files, warc
+from songloom.llm import credentials, sharding, token_files, warc, winnowing
 from songloom.session import load
 
 #: Rows per Arrow batch, so that a batch of very long texts stays small.
@@ -42,6 +42,15 @@ def op4_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in documents by winnowed fingerprints, and the contamination rule."""
+    docs, benchmark = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return winnowing.contamination(docs, benchmark).select(
+        "doc_id", "n_words", "n_hit", "n_items",
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight contiguous shards of groups of equal texts, the largest as small as possible."""
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), 8).select(
@@ -54,7 +63,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_warc": op2_warc,
     "op4_credentials": op4_credentials,
+    "op7_decontamination": op7_decontamination,
     "op8_sharding": op8_sharding,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op7_decontamination": winnowing.CONTAMINATION_SQL.format(documents="documents"),
+}
