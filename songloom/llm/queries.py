@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from songloom.llm import credentials, sharding, token_files, warc, winnowing
+from songloom.llm import credentials, sharding, supervision, token_files, warc, winnowing
 from songloom.session import load
 
 #: Rows per Arrow batch, so that a batch of very long texts stays small.
@@ -42,6 +42,14 @@ def op4_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules that vote, weighed by their estimated accuracies."""
+    return supervision.judge(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.round("quality", 6).alias("quality"),
+    )
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items in documents by winnowed fingerprints, and the contamination rule."""
     docs, benchmark = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
@@ -63,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_warc": op2_warc,
     "op4_credentials": op4_credentials,
+    "op5_weak_supervision": op5_weak_supervision,
     "op7_decontamination": op7_decontamination,
     "op8_sharding": op8_sharding,
 }
