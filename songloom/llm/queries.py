@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from songloom.llm import credentials, sharding, supervision, token_files, warc, winnowing
+from songloom.llm import credentials, sharding, supervision, token_files, toxicity, warc, winnowing
 from songloom.session import load
 
 #: Rows per Arrow batch, so that a batch of very long texts stays small.
@@ -32,6 +32,11 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages")).drop("payload")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents by a factorization machine."""
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets, and weak parts of credentials where complementary parts meet."""
     found = credentials.scan(_table(spark, sf_dir, "documents"))
@@ -70,6 +75,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_warc": op2_warc,
+    "op3_toxicity": op3_toxicity,
     "op4_credentials": op4_credentials,
     "op5_weak_supervision": op5_weak_supervision,
     "op7_decontamination": op7_decontamination,
