@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +25,21 @@ from songloom.llm.grammar import FRAME_TOKENS, pack, unpack
 from songloom.llm.tables import fresh_path
 
 END_ID = 2
-#: Encoded chunks kept by a task.
-KEPT = 600_000
+#: Encoded chunks kept by a worker process.
+KEPT = 1_000_000
 #: White space other than the blank and the line feed.
 _OTHER_SPACE = [chr(c) for c in (9, 11, 12, 13, 28, 29, 30, 31, 133, 160, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+#: Letters below this code point are letters in every version of Unicode.
+_LETTERS_END = "\u0250"
 _JOINED_SPACE = ("  ", " \n", "\n ", "\n\n")
 
 
+#: Fixed rule of byte-level vocabularies: printable bytes stand for themselves, the others, in
+#: order, for the characters from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_SYMBOLS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
 class Encoder:
     """Encodes with the tokenizers library; equal chunks of text are encoded once.
 
@@ -46,19 +55,39 @@ class Encoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self._kept, self._first, self._later = kept, {}, {}
+        self._merge = self._tokenizer.model.tokenize
         self._line = self.whole("\n")
+        self._marks = {c: self.whole(c) for c in ",.;:!?"}
 
     def whole(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _piece(self, text: str) -> bytes:
+        """Ids of a chunk; one of letters alone (after a blank) needs no splitting, only merging."""
+        letters = text[1:] if text[:1] == " " else text
+        if letters.isalpha() and max(letters) < _LETTERS_END:
+            symbols = text.encode().decode("latin-1").translate(_BYTE_SYMBOLS)
+            return np.array([t.id for t in self._merge(symbols)], dtype="<u4").tobytes()
+        return self.whole(text)
+
     def _missing(self, chunks: list[str], known: dict[str, bytes], lead: str) -> list[bytes]:
-        new = [c for c in dict.fromkeys(chunks) if c not in known]
-        if len(known) + len(new) > self._kept:
+        if len(known) > self._kept:
             known.clear()
-            new = list(dict.fromkeys(chunks))
-        encoded = self._tokenizer.encode_batch_fast([lead + c for c in new], add_special_tokens=False)
-        known.update((c, np.array(e.ids, dtype="<u4").tobytes()) for c, e in zip(new, encoded))
-        return [known[c] for c in chunks]
+        out = []
+        for chunk in chunks:
+            found = known.get(chunk)
+            if found is None:
+                # a mark after a letter is a token of its own
+                if chunk[-1:] in self._marks and chunk[-2:-1].isalpha():
+                    stem = known.get(chunk[:-1])
+                    if stem is None:
+                        stem = known[chunk[:-1]] = self._piece(lead + chunk[:-1])
+                    found = stem + self._marks[chunk[-1]]
+                else:
+                    found = self._piece(lead + chunk)
+                known[chunk] = found
+            out.append(found)
+        return out
 
     def _encoded(self, chunks: list[str], known: dict[str, bytes], lead: str) -> list[bytes]:
         try:
@@ -81,13 +110,19 @@ class Encoder:
         return self._line.join(out)
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The encoder of this process: what it has kept serves the tasks that follow."""
+    return Encoder(path)
+
+
 _FRAMES = pa.schema([("frame", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.int64()), ("payload", pa.binary())])
 _FRAMES_SQL = "frame int, doc_ids array<long>, n_tokens long, payload binary"
 
 
 def _packer(path: str, frame_tokens: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = Encoder(path), np.array([END_ID], dtype="<u4").tobytes()
+        encode, end = encoder(path), np.array([END_ID], dtype="<u4").tobytes()
         number, size = 0, 0
         ids: list = []
         parts: list[bytes] = []
