@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from songloom.llm import credentials, sharding, supervision, token_files, toxicity, warc, winnowing
+from songloom.llm import credentials, licences, sharding, supervision, token_files, toxicity, warc, winnowing
 from songloom.session import load
 
 #: Rows per Arrow batch, so that a batch of very long texts stays small.
@@ -55,6 +55,13 @@ def op5_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices by a trained paragraph classifier, confirmed by templates."""
+    return licences.scan(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_notices", F.array_join("families", ",").alias("families"), F.round("probability", 4).alias("probability")
+    )
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items in documents by winnowed fingerprints, and the contamination rule."""
     docs, benchmark = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
@@ -78,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_credentials": op4_credentials,
     "op5_weak_supervision": op5_weak_supervision,
+    "op6_licences": op6_licences,
     "op7_decontamination": op7_decontamination,
     "op8_sharding": op8_sharding,
 }

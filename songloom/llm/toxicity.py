@@ -6,9 +6,9 @@ more together than apart (an insult next to the mention of a group), which no ad
 weights express. The pair sum takes one pass per factor.
 
 Training: labelled rows outside the held-out fold, at most ``max_per_label`` of each label,
-chosen by a hash of their ids; tasks hash their terms, and the driver gets at most that many
-sets of at most ``max_terms`` hashes each... of terms that tell the labels apart. Scoring is one pass over
-all whole texts with a model of bounded size.
+chosen by a hash of their ids. Tasks hash their terms; the driver gets these sets, keeps the
+``max_terms`` terms that tell the labels apart best and fits the machine to them. Scoring is
+one pass over all whole texts with a model of bounded size.
 
 Null and empty texts have no terms and get the score of the bias. Labels other than 0 and 1,
 and labels without a document, are not learnt from; a document with several equal ids is
@@ -34,7 +34,7 @@ BITS = 20
 FACTORS = 4
 #: Bounds of the training sample: documents per label, and terms kept in the model.
 MAX_PER_LABEL = 4000
-MAX_TERMS = 4096
+MAX_TERMS = 2048
 #: Beginnings of words that are terms of their own.
 BEGINNINGS = (4, 5, 6)
 THRESHOLD = 0.3
@@ -75,7 +75,7 @@ def _sigmoid(x: np.ndarray | float) -> np.ndarray | float:
 
 
 def _telling(sets: list[np.ndarray], labels: np.ndarray, max_terms: int) -> np.ndarray:
-    """The terms whose presence tells the labels apart best, by chi-square; of at least 3 texts."""
+    """The terms whose presence tells the labels apart best, by chi-square; of at least 5 texts."""
     size = 1 << BITS
     toxic = np.zeros(size)
     clean = np.zeros(size)
@@ -85,12 +85,12 @@ def _telling(sets: list[np.ndarray], labels: np.ndarray, max_terms: int) -> np.n
     seen = a + b
     expected = seen * n1 / (n1 + n0)
     spread = expected * (1 - seen / (n1 + n0)) * n0 / (n1 + n0)
-    chi = np.where(seen >= 3, (a - expected) ** 2 / np.maximum(spread, 1e-9), 0)
+    chi = np.where(seen >= 5, (a - expected) ** 2 / np.maximum(spread, 1e-9), 0)
     best = np.argsort(-chi, kind="stable")[:max_terms]
-    return np.sort(best[chi[best] > 6.6])  # one in a hundred by chance
+    return np.sort(best[chi[best] > 20])
 
 
-def train(sets: list[np.ndarray], labels: np.ndarray, max_terms: int = MAX_TERMS, epochs: int = 30, seed: int = 1) -> Model:
+def train(sets: list[np.ndarray], labels: np.ndarray, max_terms: int = MAX_TERMS, epochs: int = 25, seed: int = 1) -> Model:
     """Fit by Adam on the logistic loss, with decay; batches of whole documents."""
     if not len(labels) or labels.min() == labels.max():
         return Model()
@@ -113,9 +113,9 @@ def train(sets: list[np.ndarray], labels: np.ndarray, max_terms: int = MAX_TERMS
             squares = np.bincount(doc, (vr * vr).sum(axis=1), len(batch))
             margin = bias + np.bincount(doc, w[rows], len(batch)) + 0.5 * ((summed**2).sum(axis=1) - squares)
             slope = (_sigmoid(margin) - labels[batch]) / len(batch)
-            gw = np.bincount(rows, slope[doc], len(w)) + 1e-5 * w
+            gw = np.bincount(rows, slope[doc], len(w)) + 1e-4 * w
             each = slope[doc, None] * (summed[doc] - vr)
-            gv = np.stack([np.bincount(rows, each[:, f], len(w)) for f in range(FACTORS)], axis=1) + 1e-4 * v
+            gv = np.stack([np.bincount(rows, each[:, f], len(w)) for f in range(FACTORS)], axis=1) + 3e-3 * v
             step += 1
             for i, (value, slopes) in enumerate(((None, np.array([slope.sum()])), (w, gw), (v, gv))):
                 m, s = moments[2 * i], moments[2 * i + 1]
