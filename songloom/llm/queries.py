@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from songloom.llm import credentials, licences, sharding, supervision, token_files, toxicity, warc, winnowing
+from songloom.llm import credentials, jaccard, licences, mixing, sharding, supervision, token_files, toxicity, warc, winnowing
 from songloom.session import load
 
 #: Rows per Arrow batch, so that a batch of very long texts stays small.
@@ -79,6 +79,19 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of all tokens, by weights of domains and languages, as prefixes of seeded epochs."""
+    return mixing.mixture(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "domain", "lang", "source", F.col("mix_tokens").alias("n_tokens"), F.col("mix_epoch").alias("epoch"),
+        F.round("mix_budget", 3).alias("leaf_budget"), F.col("mix_before").alias("tokens_before"),
+    )
+
+
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near-duplicate documents and each document's number of links."""
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents")).drop("key")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_warc": op2_warc,
@@ -88,6 +101,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_licences": op6_licences,
     "op7_decontamination": op7_decontamination,
     "op8_sharding": op8_sharding,
+    "op9_mixing": op9_mixing,
+    "op10_jaccard": op10_jaccard,
 }
 
 ORACLE: dict[str, str] = {
