@@ -281,7 +281,8 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, class_id (smallest doc_id of its class), n_links, n_copies, key.
+    """Per document: doc_id, class_id (smallest doc_id of its class), n_links, n_copies, and the
+    digests of its text and class.
 
     ``n_links`` counts the other texts that are similar enough, ``n_copies`` the other rows with
     the same text.
@@ -303,5 +304,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = saved(named.join(firsts, "label"), "jaccard-classes")
     return signed.select("doc_id", "key").join(classes, "key").select(
         "doc_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        (F.col("rows") - 1).alias("n_copies"), "key",
+        (F.col("rows") - 1).alias("n_copies"), "key", F.col("label").alias("class_key"),
     )
+
+
+def one_per_class(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each class: the one of the smallest id."""
+    found = near_duplicates(docs)
+    kept = found.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("k"))
+    kept = saved(kept.select("k.doc_id", F.col("k.key").alias("_key")), "jaccard-kept")
+    rows = docs.withColumn("_key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    same = rows["doc_id"].eqNullSafe(kept["doc_id"]) & (rows["_key"] == kept["_key"])
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_key"]).drop("_key")

@@ -125,6 +125,15 @@ def mix(
     )
 
 
+def drawn_rows(docs: DataFrame, drawn: DataFrame, levels: list[str], key: str = "doc_id") -> DataFrame:
+    """Whole rows of ``docs`` for rows of :func:`mix`, once per epoch."""
+    names = [key, *levels]
+    slim = drawn.select(*[F.col(c).alias(f"mix_{c}") for c in names], "mix_text")
+    text = F.md5(F.coalesce(docs["text"], F.lit("")))
+    same = [docs[c].eqNullSafe(slim[f"mix_{c}"]) for c in names] + [text == slim["mix_text"]]
+    return docs.join(slim, same).select(*[docs[c] for c in docs.columns])
+
+
 #: Weights of the registered mixture: three invented domains of sources, languages within each.
 DOMAINS = {"web": 0.5, "books": 0.3, "forum": 0.2}
 LANGUAGES = {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}

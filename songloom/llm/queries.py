@@ -89,7 +89,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of near-duplicate documents and each document's number of links."""
-    return jaccard.near_duplicates(_table(spark, sf_dir, "documents")).drop("key")
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents")).drop("key", "class_key")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

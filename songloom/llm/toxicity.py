@@ -38,6 +38,8 @@ MAX_TERMS = 2048
 #: Beginnings of words that are terms of their own.
 BEGINNINGS = (4, 5, 6)
 THRESHOLD = 0.3
+#: Training takes at least so many steps, however few rows there are.
+STEPS = 1200
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -102,9 +104,10 @@ def train(sets: list[np.ndarray], labels: np.ndarray, max_terms: int = MAX_TERMS
     bias, w, v = 0.0, np.zeros(len(terms)), rng.normal(0, 0.05, (len(terms), FACTORS))
     moments = [np.zeros(1), np.zeros(1), np.zeros_like(w), np.zeros_like(w), np.zeros_like(v), np.zeros_like(v)]
     step = 0
-    for _ in range(epochs):
+    batches = max(1, len(labels) // 128)
+    for _ in range(max(epochs, STEPS // batches)):
         order = rng.permutation(len(labels))
-        for batch in np.array_split(order, max(1, len(order) // 128)):
+        for batch in np.array_split(order, batches):
             sizes = np.array([len(kept[i]) for i in batch])
             rows = np.concatenate([kept[i] for i in batch])
             doc = np.repeat(np.arange(len(batch)), sizes)
@@ -186,6 +189,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PER_LABEL)
     return train(*training_sets(docs, labels, max_per_label))
 
 
+def harmless(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` without those whose score reaches the threshold."""
+    return scored(docs, fit(docs, labels), docs.columns).filter(F.col("score") < THRESHOLD).drop("score")
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2

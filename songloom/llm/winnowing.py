@@ -72,7 +72,7 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, item_ids (array), contaminated."""
+    """Per document: doc_id, key (digest of the text), n_words, n_hit, n_items, item_ids, contaminated."""
     windows = saved(item_windows(benchmark, window), "item-windows")
     of = shapes(sorted(r["size"] for r in windows.select("size").distinct().collect()), window, gram)  # at most `window` rows
     split = _with_fingerprints(
@@ -113,6 +113,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     return _result(prints, saved(covered.join(listed, "key"), "text-hits"))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` without contaminated ones; equal texts share their verdict."""
+    found = contamination(docs, benchmark).filter("contaminated").select(F.col("key").alias("_key")).distinct()
+    rows = docs.withColumn("_key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    return rows.join(saved(found, "contaminated-texts"), "_key", "left_anti").drop("_key")
+
+
 def _extended(found: DataFrame, window: int, gram: int) -> DataFrame:
     """The windows around the fingerprint hits: key, start (from 1), size, window."""
     hit_at = F.filter(
@@ -136,7 +143,7 @@ def _result(prints: DataFrame, text_hits: DataFrame | None) -> DataFrame:
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     items = F.coalesce("item_ids", F.array().cast("array<string>"))
     return rows.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("item_ids"),
+        "doc_id", "key", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("item_ids"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
 
