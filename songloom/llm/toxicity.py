@@ -34,7 +34,7 @@ BITS = 20
 FACTORS = 4
 #: Bounds of the training sample: documents per label, and terms kept in the model.
 MAX_PER_LABEL = 4000
-MAX_TERMS = 2048
+MAX_TERMS = 512
 #: Beginnings of words that are terms of their own.
 BEGINNINGS = (4, 5, 6)
 THRESHOLD = 0.3
@@ -116,9 +116,9 @@ def train(sets: list[np.ndarray], labels: np.ndarray, max_terms: int = MAX_TERMS
             squares = np.bincount(doc, (vr * vr).sum(axis=1), len(batch))
             margin = bias + np.bincount(doc, w[rows], len(batch)) + 0.5 * ((summed**2).sum(axis=1) - squares)
             slope = (_sigmoid(margin) - labels[batch]) / len(batch)
-            gw = np.bincount(rows, slope[doc], len(w)) + 1e-4 * w
+            gw = np.bincount(rows, slope[doc], len(w)) + 1e-5 * w
             each = slope[doc, None] * (summed[doc] - vr)
-            gv = np.stack([np.bincount(rows, each[:, f], len(w)) for f in range(FACTORS)], axis=1) + 3e-3 * v
+            gv = np.stack([np.bincount(rows, each[:, f], len(w)) for f in range(FACTORS)], axis=1) + 1e-3 * v
             step += 1
             for i, (value, slopes) in enumerate(((None, np.array([slope.sum()])), (w, gw), (v, gv))):
                 m, s = moments[2 * i], moments[2 * i + 1]
