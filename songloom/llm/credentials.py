@@ -91,10 +91,10 @@ def linked(spans: DataFrame, reach: int = REACH) -> DataFrame:
 
     Near: at most ``reach`` characters between the spans. A scope holds the spans that start
     in it; from the scopes before, only the last end counts, from those after, only the first
-    start. Spans longer than ``reach`` are listed in every scope they cover.
+    start. Spans are listed in every scope they touch.
     """
     scope = F.floor(F.col("start") / reach)
-    covered = spans.withColumn("scope", F.explode(F.sequence(scope, F.floor((F.col("end") - 1) / reach))))
+    covered = spans.withColumn("scope", F.explode(F.sequence(scope, F.floor(F.col("end") / reach))))
     ends = covered.groupBy("row", "scope", "role").agg(F.min("start").alias("first"), F.max("end").alias("last"))
     # a scope is seen from itself and from its two neighbours on either side
     seen = ends.withColumn("scope", F.explode(F.sequence(F.col("scope") - 1, F.col("scope") + 1)))
