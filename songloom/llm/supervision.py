@@ -99,8 +99,8 @@ def votes() -> list[Column]:
 def _fitted(rules: int, rounds: int) -> Column:
     """Expectation-maximisation over ``ps``, an array of (votes, n): quality of each pattern.
 
-    The state ``ws`` is the probability of good per pattern; it starts from the majority of
-    votes. A round takes from it, per rule, how often good and bad documents get each vote
+    The state ``ws`` is the probability of good per pattern; it starts from the
+    balance of votes. A round takes from it, per rule, how often good and bad documents get each vote
     (an abstention is a vote of 0; one made-up document per vote keeps all possible) and the
     share of good ones, and from these the probabilities anew.
     """
@@ -119,7 +119,8 @@ def _fitted(rules: int, rounds: int) -> Column:
     score = """s.odds + aggregate(
         zip_with(p.votes, s.rules, (v, r) -> ln(r.good[v + 1] / r.bad[v + 1])), 0D, (x, y) -> x + y)"""
     following = f"element_at(transform(array({found}), s -> transform(ps, p -> 1 / (1 + exp(-({score}))))), 1)"
-    start = "transform(ps, p -> 1 / (1 + exp(-1.5D * aggregate(p.votes, 0, (x, y) -> x + y))))"
+    # to begin with, a vote against weighs three votes for: few texts have defects by chance
+    start = "transform(ps, p -> 1 / (1 + exp(-aggregate(p.votes, 0D, (x, v) -> x + if(v < 0, -1.5D, 0.5D * v)))))"
     return F.expr(f"aggregate(sequence(1, {rounds}), {start}, (ws, i) -> {following})")
 
 
