@@ -68,7 +68,7 @@ def figures(docs: DataFrame) -> DataFrame:
         without(r"\p{Lu}+").cast("long").alias("n_upper"),
         without(r"[!?]+").cast("long").alias("n_exclaims"),
         F.size(F.array_distinct("words")).cast("long").alias("n_distinct"),
-        F.size(F.filter("words", lambda w: w.rlike(r"^\p{L}+[.,;:]?$"))).cast("long").alias("n_plain"),
+        F.size(F.filter("words", lambda w: w.rlike(r"^[\p{L}\p{N}]+(['’-][\p{L}\p{N}]+)*[.,;:]?$"))).cast("long").alias("n_plain"),
     )
 
 

@@ -64,7 +64,7 @@ def test_verdict_agrees_with_quality_labels(spark, data_dir):
 def test_no_python_in_the_plan_odd_rows_and_empty_table(spark):
     got = s.judge(odd_docs(spark))
     assert got.count() == 13
-    assert got.filter("doc_id = 7").first()["kept"] and not got.filter("doc_id = 4").first()["kept"]
+    assert not any(r["kept"] for r in got.filter("doc_id in (3, 4, 5, 6)").collect())
     plan = s.figures(odd_docs(spark)).select(F.col("n_words"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
     assert s.judge(no_docs(spark)).collect() == []
