@@ -94,14 +94,29 @@ def ttl_outcomes(outcomes: DataFrame, key: str = "video_key") -> DataFrame:
     return newest.select(key, "_o.*")
 
 
-def unrequested(requests: DataFrame, outcomes: DataFrame, key: str = "video_key") -> DataFrame:
-    """Requests whose key has no outcome in force at the request's ``ts``.
+def unrequested(
+    requests: DataFrame, outcomes: DataFrame, key: str = "video_key", slice_seconds: int = 86_400
+) -> DataFrame:
+    """Requests whose key had no outcome in force at the request's ``ts``.
 
-    ``outcomes`` come from :func:`ttl_outcomes`, one row per key.
+    ``outcomes`` is the log of ``key, reason, ts, ord``. What counts is the last outcome told
+    at or before the request that has a lifetime: a later one holds nothing back before it was
+    told. Both logs are merged in time order; nothing is joined.
     """
-    live = outcomes.select(F.col(key).alias("_key"), F.col("ts").alias("_since"), "expires_at")
-    on = (F.col(key) == F.col("_key")) & (F.col("expires_at") > F.col("ts")) & (F.col("_since") <= F.col("ts"))
-    return requests.join(live, on, "left_anti")
+    row = F.struct(*requests.columns)
+    until = expires_at(F.col("reason"), F.col("ts"))
+    told = outcomes.select(
+        key, "ts", F.lit(0).alias("_rank"), F.col("ord").cast("long").alias("_ord"), until.alias("_until"),
+        F.lit(None).cast(requests.select(row).schema[0].dataType).alias("_row"),
+    ).filter(F.col("_until").isNotNull() & F.col(key).isNotNull())
+    asked = requests.select(
+        key, "ts", F.lit(1).alias("_rank"), F.xxhash64(row).alias("_ord"), F.lit(None).cast("timestamp").alias("_until"),
+        row.alias("_row"),
+    )
+    seen = neighbours(
+        told.union(asked), [key], ["ts", "_rank", "_ord"], time_slice("ts", slice_seconds), last={"_held": F.col("_until")}
+    ).filter("_rank = 1")
+    return seen.filter(F.col("_held").isNull() | (F.col("_held") <= F.col("ts"))).select("_row.*")
 
 
 def negative_cache(
@@ -155,7 +170,7 @@ def should_request_sync(songs: DataFrame, outcomes: DataFrame, key: str = "video
     """P10: songs worth a word-timing request, cheapest tests first.
 
     ``songs`` hold ``resolved_key, trackName, artistName, syncedLyrics, plainLyrics,
-    wordTimed, hasWords, ts``.
+    wordTimed, hasWords, ts``; ``outcomes`` is the log that :func:`unrequested` takes.
     """
     lyrics = F.coalesce(F.nullif(F.col("syncedLyrics"), F.lit("")), F.nullif(F.col("plainLyrics"), F.lit("")))
     known = (text("trackName") != "") & (text("artistName") != "")

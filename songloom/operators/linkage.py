@@ -23,7 +23,7 @@ from ..functions import text as tx
 from ..functions.regex import spread, text
 from ..session import cut
 
-WANT = ["w_artist", "w_track", "w_duration"]
+WANT = ["w_artist", "w_track", "w_duration", "w_named"]
 ROW = ["r_artist", "r_track", "r_duration", "r_synced"]
 
 
@@ -53,12 +53,14 @@ def wanted(wants: DataFrame) -> DataFrame:
             "w_artist": tx.normalize_for_match("artist"),
             "w_track": tx.normalize_for_match("track"),
             "w_duration": F.coalesce(F.col("duration").cast("double"), F.lit(0.0)),
+            "w_named": text("artist") != "",
         }
     )
 
 
 def signatures(wants: DataFrame, *extra: str) -> DataFrame:
-    """Distinct signatures of :func:`wanted` rows. An unnamed want has an empty artist."""
+    """Distinct signatures of :func:`wanted` rows. ``w_named`` tells a want without artist from
+    one whose artist has an empty comparison key (such as "!!!")."""
     return wants.select(*WANT, *extra).distinct()
 
 
@@ -96,7 +98,7 @@ def with_row_keys(rows: DataFrame) -> DataFrame:
 
 
 def _named() -> Column:
-    return F.col("w_artist") != ""
+    return F.col("w_named")
 
 
 def accepted() -> Column:

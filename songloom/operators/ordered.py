@@ -31,18 +31,20 @@ def neighbours(
     following: Mapping[str, Column] | None = None,
     last: Mapping[str, Column] | None = None,
     total: Mapping[str, Column] | None = None,
+    lowest: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Add columns read from other rows of the same key.
 
     ``previous`` / ``following``: value in the row just before / after (null at the ends).
     ``last``: last non-null value strictly before the row.
     ``total``: sum of the values up to and including the row.
+    ``lowest``: smallest value up to and including the row.
 
     ``order`` must be unique per key, and ``piece`` must not decrease along it.
     """
-    previous, following, last, total = (dict(m or {}) for m in (previous, following, last, total))
+    previous, following, last, total, lowest = (dict(m or {}) for m in (previous, following, last, total, lowest))
     keys, order = list(keys), list(order)
-    reads = {**previous, **following, **last, **total}
+    reads = {**previous, **following, **last, **total, **lowest}
     base = df.withColumns({_SLICE: piece, **{f"_v_{n}": c for n, c in reads.items()}})
     here = W.partitionBy(*keys, _SLICE).orderBy(*order)
     before = here.rowsBetween(W.unboundedPreceding, -1)
@@ -55,6 +57,7 @@ def neighbours(
             **{f"_l_{n}": F.lead(boxed[n]).over(here) for n in following},
             **{f"_l_{n}": F.last(v[n], ignorenulls=True).over(before) for n in last},
             **{f"_l_{n}": F.sum(v[n]).over(until) for n in total},
+            **{f"_l_{n}": F.min(v[n]).over(until) for n in lowest},
         }
     )
     place = F.struct(*order)
@@ -63,6 +66,7 @@ def neighbours(
         *(F.min_by(boxed[n], place).alias(f"_s_{n}") for n in following),
         *(F.max_by(v[n], F.when(v[n].isNotNull(), place)).alias(f"_s_{n}") for n in last),
         *(F.sum(v[n]).alias(f"_s_{n}") for n in total),
+        *(F.min(v[n]).alias(f"_s_{n}") for n in lowest),
     )
     along = W.partitionBy(*keys).orderBy(_SLICE)
     earlier = along.rowsBetween(W.unboundedPreceding, -1)
@@ -73,6 +77,7 @@ def neighbours(
         *(F.lead(f"_s_{n}").over(along).alias(f"_c_{n}") for n in following),
         *(F.last(f"_s_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in last),
         *(F.sum(f"_s_{n}").over(earlier).alias(f"_c_{n}") for n in total),
+        *(F.min(f"_s_{n}").over(earlier).alias(f"_c_{n}") for n in lowest),
     )
     joined = local.join(carried, [*keys, _SLICE], "left")
 
@@ -80,6 +85,8 @@ def neighbours(
         both = F.coalesce(F.col(f"_l_{n}"), F.col(f"_c_{n}"))
         if n in total:
             return F.coalesce(F.col(f"_l_{n}"), F.lit(0)) + F.coalesce(F.col(f"_c_{n}"), F.lit(0))
+        if n in lowest:
+            return F.least(f"_l_{n}", f"_c_{n}")
         return both["x"] if n in boxed else both
 
     kept = [c for c in df.columns if c not in reads]

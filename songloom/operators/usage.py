@@ -285,7 +285,9 @@ def party_top_songs(queue_events: DataFrame, k: int = 3, host: str = "host") ->
 def queue_depth(room_events: DataFrame, room: str = "room", slice_seconds: int = 3600) -> DataFrame:
     """Number of waiting songs after each event ``add``, ``next`` or ``end``.
 
-    ``end`` empties the room; later events of a closed room do not count.
+    ``next`` leaves an empty queue empty: the depth is the running sum of the changes less its
+    lowest value below zero so far. ``end`` empties the room; later events of a closed room do
+    not count.
     """
     piece = time_slice("ts", slice_seconds)
     closed = neighbours(
@@ -295,8 +297,9 @@ def queue_depth(room_events: DataFrame, room: str = "room", slice_seconds: int =
     live = closed.filter(F.col("_ended").isNull()).drop("_ended")
     change = F.when(F.col("kind") == "add", 1).when(F.col("kind") == "next", -1).otherwise(0)
     counted = neighbours(live, [room], ["ts", "ord"], piece, total={"depth": change})
-    depth = F.when(F.col("kind") == "end", 0).otherwise(F.greatest(F.col("depth"), F.lit(0)))
-    return counted.withColumn("depth", depth)
+    counted = neighbours(counted, [room], ["ts", "ord"], piece, lowest={"_low": F.col("depth")})
+    depth = F.when(F.col("kind") == "end", 0).otherwise(F.col("depth") - F.least(F.col("_low"), F.lit(0)))
+    return counted.withColumn("depth", depth).drop("_low")
 
 
 def now_playing(songs: DataFrame, room: str = "room") -> DataFrame:
@@ -331,8 +334,16 @@ def debounce(
     return seen.filter(F.col("_next").isNull() | quiet).drop("_next")
 
 
-def drop_stale(results: DataFrame, current: DataFrame, key: str, generation: str = "generation") -> DataFrame:
-    """T5: results of the newest generation of their key only."""
+def drop_stale(
+    results: DataFrame, key: str, generation: str = "generation", order: Sequence[str] = ("ts", "ord"), slice_seconds: int = 3600
+) -> DataFrame:
+    """T5: results that no newer generation of their key came before."""
+    seen = neighbours(results, [key], order, time_slice(order[0], slice_seconds), lowest={"_low": -F.col(generation)})
+    return seen.filter(F.col(generation) == -F.col("_low")).drop("_low")
+
+
+def newest_generation(results: DataFrame, current: DataFrame, key: str, generation: str = "generation") -> DataFrame:
+    """Results of the newest generation of their key in the table ``current``."""
     newest = current.groupBy(key).agg(F.max(generation).alias("_newest"))
     joined = results.join(newest, key)
     return joined.filter(F.col(generation) >= F.col("_newest")).drop("_newest")
@@ -347,19 +358,27 @@ def once_per_key(events: DataFrame, key: str, order: Sequence[str] = ("ts", "ord
     return first.select(key, "_r.*").select(events.columns)
 
 
-def song_identity_guard(lyrics: DataFrame, songs: DataFrame, tab: str = "tab") -> DataFrame:
+def song_identity_guard(
+    lyrics: DataFrame, songs: DataFrame, tab: str = "tab", slice_seconds: int = 3600
+) -> DataFrame:
     """Lyric results whose key is the song playing in the tab when they arrive.
 
-    ``songs`` hold ``[tab, key, from, to]`` reigns (``to`` null while playing).
+    ``songs`` hold ``[tab, key, from, to]`` reigns (``to`` null while playing). The reigns of a
+    tab follow each other, so the one that may hold a result is the last to begin at or before
+    it; both tables are merged in time order and nothing is joined.
     """
-    reign = songs.select(
-        F.col(tab).alias("_tab"), F.col("key").alias("_key"), F.col("from").alias("_from"), F.col("to").alias("_to")
+    row = F.struct(*lyrics.columns)
+    reign = F.struct(F.col("key").alias("key"), F.col("to").alias("to"))
+    began = songs.select(
+        tab, F.col("from").alias("ts"), F.lit(0).alias("_rank"), F.xxhash64(reign).alias("_ord"), reign.alias("_reign"),
+        F.lit(None).cast(lyrics.select(row).schema[0].dataType).alias("_row"),
     )
-    on = (
-        (F.col(tab) == F.col("_tab"))
-        & (F.col("key") == F.col("_key"))
-        & (F.col("ts") >= F.col("_from"))
-        & (F.col("_to").isNull() | (F.col("ts") < F.col("_to")))
+    came = lyrics.select(
+        tab, "ts", F.lit(1).alias("_rank"), F.xxhash64(row).alias("_ord"),
+        F.lit(None).cast(began.schema["_reign"].dataType).alias("_reign"), row.alias("_row"),
     )
-    return lyrics.join(reign, on, "left_semi")
-
+    seen = neighbours(
+        began.union(came), [tab], ["ts", "_rank", "_ord"], time_slice("ts", slice_seconds), last={"_now": F.col("_reign")}
+    ).filter("_rank = 1")
+    open_ = F.col("_now.to").isNull() | (F.col("ts") < F.col("_now.to"))
+    return seen.filter((F.col("_row.key") == F.col("_now.key")) & open_).select("_row.*")

@@ -346,7 +346,9 @@ with {_QUEUE}, s as (select host, song, count(*) as times from q group by 1, 2)
 select host, song, times, row_number() over (partition by host order by times desc, song)::int as rank from s qualify rank <= 2"""
 
 ORACLE["queue_depth"] = f"""
-with {_EVENTS} select ord, greatest(0, sum(case event when 'view' then 1 when 'purchase' then -1 else 0 end) over (partition by "user" order by ts, ord rows unbounded preceding))::bigint as depth from ev"""
+with {_EVENTS},
+s as (select "user", ts, ord, sum(case event when 'view' then 1 when 'purchase' then -1 else 0 end) over w as s from ev window w as (partition by "user" order by ts, ord rows unbounded preceding))
+select ord, (s - least(0, min(s) over (partition by "user" order by ts, ord rows unbounded preceding)))::bigint as depth from s"""
 
 # ── Feedback ─────────────────────────────────────────────────────────────────
 
@@ -381,7 +383,12 @@ ttl as (select video_key, reason, ts, case reason when 'queued' then ts + interv
 ORACLE["ttl_outcomes"] = f"with {_OUTCOMES} select video_key, reason, epoch_us(ts) as at, epoch_us(expires) as until from ttl"
 
 ORACLE["unrequested"] = f"""
-with {_OUTCOMES} select ord, video_key from ev where event = 'purchase' and not exists (select 1 from ttl where ttl.video_key = ev.video_key and ttl.ts <= ev.ts and expires > ev.ts)"""
+with {_OUTCOMES},
+held as (select video_key, ts, case reason when 'queued' then ts + interval 30 day when 'rate_limited' then ts + interval 1 day
+  when 'already_synced' then timestamp '9999-12-31' else ts + interval 7 day end as expires
+  from told where reason <> 'upstream' qualify row_number() over (partition by video_key, ts order by ord desc) = 1)
+select p.ord, p.video_key from (select * from ev where event = 'purchase') p asof left join held h on p.video_key = h.video_key and p.ts >= h.ts
+where h.expires is null or h.expires <= p.ts"""
 
 ORACLE["sync_eligible"] = f"""
 with {_OUTCOMES} select conv_id, turn, 'https://www.youtube.com/watch?v=k' || conv_id as url from conversations c
@@ -407,7 +414,8 @@ with {_EVENTS}, s as (select *, lag(event) over (partition by "user" order by ts
 ORACLE["once_per_key"] = f"with {_EVENTS} select video_key, arg_min(ord, ts) as ord from ev group by 1"
 
 ORACLE["drop_stale"] = f"""
-with {_EVENTS} select video_key, ord from ev qualify day(ts) = max(day(ts)) over (partition by video_key)"""
+with {_EVENTS}, g as (select *, day(ts) - ord % 5 as generation from ev)
+select video_key, ord from g qualify generation = max(generation) over (partition by video_key order by ts, ord rows unbounded preceding)"""
 
 ORACLE["identity_guard"] = f"""
 with {_EVENTS}, b as (select * from ev where event = 'purchase')

@@ -161,6 +161,10 @@ def link_by_video(spark, sf):
     return lk.link_by_identity(listens, links).select("ord", "video_key", "row_ord", "matchedBy")
 
 
+#: All artists of these tables are named, so the flag is left out of the results.
+_KEYS = [c for c in lk.WANT if c != "w_named"]
+
+
 def _signatures(spark, sf):
     wants = lk.signatures(lk.wanted(inp.part_wants(spark, sf)))
     return wants, lk.catalog_signatures(inp.part_catalog(spark, sf))
@@ -169,14 +173,14 @@ def _signatures(spark, sf):
 @query
 def fuzzy_link(spark, sf):
     """Every accepted pair of distinct wants and rows."""
-    return lk.fuzzy_link(*_signatures(spark, sf)).select(*lk.WANT, "row_ord")
+    return lk.fuzzy_link(*_signatures(spark, sf)).select(*_KEYS, "row_ord")
 
 
 @query
 def score_pick(spark, sf):
     """The pick and five alternatives per want."""
     picked = lk.pick_best(lk.fuzzy_link(*_signatures(spark, sf)))
-    return picked.select(*lk.WANT, "position", "row_ord", F.round("score", 6).alias("score"))
+    return picked.select(*_KEYS, "position", "row_ord", F.round("score", 6).alias("score"))
 
 
 @query
@@ -205,7 +209,7 @@ def candidate_quality(spark, sf):
 def broad_search(spark, sf):
     """Accepted pairs sharing half of the wanted words."""
     pairs = lk.search_broad(inp.part_wants(spark, sf), inp.part_catalog(spark, sf))
-    return pairs.select(*lk.WANT, "row_ord")
+    return pairs.select(*_KEYS, "row_ord")
 
 
 @query
@@ -259,7 +263,7 @@ def resolved_songs(spark, sf):
 def confirmed_hits(spark, sf):
     """Nearest title hit by a matching artist among rows sharing half the words."""
     pairs = lk.search_broad(inp.part_wants(spark, sf), inp.part_catalog(spark, sf))
-    return lk.artist_confirmed_hits(pairs).select(*lk.WANT, "row_ord", "distance")
+    return lk.artist_confirmed_hits(pairs).select(*_KEYS, "row_ord", "distance")
 
 
 @query
@@ -524,7 +528,7 @@ def ttl_outcomes(spark, sf):
 def unrequested(spark, sf):
     """Purchases whose key no outcome holds back."""
     requests = inp.keyed_events(spark, sf).filter(F.col("event") == "purchase").select("ord", "video_key", "ts")
-    return fb.unrequested(requests, fb.ttl_outcomes(_outcomes(spark, sf))).select("ord", "video_key")
+    return fb.unrequested(requests, _outcomes(spark, sf)).select("ord", "video_key")
 
 
 @query
@@ -537,7 +541,7 @@ def sync_eligible(spark, sf):
         F.lit(None).cast("string").alias("syncedLyrics"), F.col("text").alias("plainLyrics"),
         (F.col("turn") == 3).alias("wordTimed"), F.lit(False).alias("hasWords"), F.lit("2024-02-01").cast("timestamp").alias("ts"),
     )
-    eligible = fb.should_request_sync(songs, fb.ttl_outcomes(_outcomes(spark, sf)))
+    eligible = fb.should_request_sync(songs, _outcomes(spark, sf))
     return eligible.select("conv_id", "turn", urls.url_for_key("video_key", F.lit(None).cast("string")).alias("url"))
 
 
@@ -586,9 +590,9 @@ def once_per_key(spark, sf):
 
 @query
 def drop_stale(spark, sf):
-    """T5: events of the newest day of their key."""
-    events = inp.keyed_events(spark, sf).withColumn("generation", F.dayofmonth("ts"))
-    return us.drop_stale(events, events, "video_key").select("video_key", "ord")
+    """T5: events as results whose generation lags by up to four days."""
+    events = inp.keyed_events(spark, sf).withColumn("generation", F.dayofmonth("ts") - F.col("ord") % 5)
+    return us.drop_stale(events, "video_key").select("video_key", "ord")
 
 
 @query

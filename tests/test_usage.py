@@ -161,7 +161,7 @@ def test_change_signals(spark):
     assert [r["ord"] for r in us.debounce(df, "user", 400, slice_seconds=1).orderBy("ord").collect()] == [2, 4, 5]
     assert {r["v"]: r["ord"] for r in us.once_per_key(df.filter("v is not null"), "v").collect()} == {"a": 1, "b": 3}
     results = spark.createDataFrame([("t", 1, "old"), ("t", 2, "new")], "tab string, generation int, r string")
-    assert [r["r"] for r in us.drop_stale(results, results, "tab").collect()] == ["new"]
+    assert [r["r"] for r in us.newest_generation(results, results, "tab").collect()] == ["new"]
     songs = spark.createDataFrame([("t", "a", T0, T0 + timedelta(seconds=9)), ("t", "b", T0 + timedelta(seconds=9), None)],
                                   "tab string, key string, from timestamp, to timestamp")
     lyrics = spark.createDataFrame([(1, "t", "a", T0 + timedelta(seconds=3)), (2, "t", "a", T0 + timedelta(seconds=10)),
@@ -180,7 +180,8 @@ def test_votes_and_outcomes(spark):
     assert sorted(tuple(r) for r in fb.stats_lookup(keys, fb.vote_tally(df)).collect()) == [("k", 1, 2), ("z", 0, 0)]
     day = timedelta(days=1)
     outs = [("yt:a", "queued", T0, 0), ("yt:b", "rate_limited", T0, 0), ("yt:c", "upstream", T0, 0), ("yt:d", "already_synced", T0, 0)]
-    ttl = fb.ttl_outcomes(spark.createDataFrame(outs, "video_key string, reason string, ts timestamp, ord long"))
+    told = spark.createDataFrame(outs, "video_key string, reason string, ts timestamp, ord long")
+    ttl = fb.ttl_outcomes(told)
     assert {r["video_key"] for r in ttl.collect()} == {"yt:a", "yt:b", "yt:d"}
     lyric = "\n".join(["l1", "l2", " ", "l3", "l4"])
     songs = [(k, k, "t", "a", lyric, None, False, False, T0 + 2 * day) for k in ("yt:a", "yt:b", "yt:c", "yt:d")]
@@ -188,7 +189,7 @@ def test_votes_and_outcomes(spark):
               ("x.org", "x.org", "t", "a", lyric, None, False, False, T0), ("yt:g", "yt:g", "t", "a", lyric, None, True, False, T0)]
     df = spark.createDataFrame(songs, "video_key string, resolved_key string, trackName string, artistName string, "
                                "syncedLyrics string, plainLyrics string, wordTimed boolean, hasWords boolean, ts timestamp")
-    assert sorted(r["video_key"] for r in fb.should_request_sync(df, ttl).collect()) == ["yt:b", "yt:c"]
+    assert sorted(r["video_key"] for r in fb.should_request_sync(df, told).collect()) == ["yt:b", "yt:c"]
     looks = spark.createDataFrame([("k", T0 + timedelta(seconds=s), s) for s in (-1, 0, 599, 600, 700, 800)], "cache_key string, ts timestamp, id int")
     miss = spark.createDataFrame([("k", T0, "miss"), ("k", T0 + timedelta(seconds=650), "miss"), ("k", T0 + timedelta(seconds=750), "refresh")],
                                  "cache_key string, ts timestamp, kind string")
