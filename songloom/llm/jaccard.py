@@ -245,13 +245,20 @@ def candidates(texts: DataFrame) -> DataFrame:
 def links(docs: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """key, n_links and root of every text in a link, once per two bundles it has links in."""
     place = ["bundle1", "bundle2"]
-    wanted = pairs.select(*place, F.explode(F.array_distinct(F.concat("keys1", "keys2"))).alias("key")).distinct()
+    # all pairs of two bundles in one row, whatever buckets they met in
+    both = F.collect_list(F.struct("keys1", "keys2"))
+    pairs = pairs.groupBy(*place).agg(both.alias("lists")).select(
+        *place, *[F.flatten(F.col(f"lists.{c}")).alias(c) for c in ("keys1", "keys2")]
+    )
+    pairs = saved(pairs, "jaccard-pairs")
+    wanted = pairs.select(*place, F.explode(F.array_distinct(F.concat("keys1", "keys2"))).alias("key"))
     wanted = saved(wanted, "jaccard-wanted")
     # one row per needed text: the row of its smallest id
     needed = saved(wanted.select("key").distinct().join(texts.select("key", F.col("first").alias("doc_id")), "key"), "jaccard-needed")
     rows = docs.select("doc_id", F.unhex(F.md5("text")).alias("key"), "text")
     same = F.col("rows.key").eqNullSafe(F.col("needed.key")) & F.col("rows.doc_id").eqNullSafe(F.col("needed.doc_id"))
-    found = rows.alias("rows").join(needed.alias("needed"), same, "left_semi").select("key", "text").dropDuplicates(["key"])
+    # merged at every size: the texts are the large side of any input
+    found = rows.alias("rows").join(needed.alias("needed").hint("merge"), same, "left_semi").select("key", "text").dropDuplicates(["key"])
     sent = wanted.join(found, "key").withColumns({"keys1": F.lit(None).cast("array<binary>"), "keys2": F.lit(None).cast("array<binary>")})
     lists = pairs.withColumns({"key": F.lit(None).cast("binary"), "text": F.lit(None).cast("string")})
     both = sent.unionByName(lists).repartition(*place).sortWithinPartitions(*place)
