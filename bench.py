@@ -34,6 +34,7 @@ def main() -> None:
         spark__ui__enabled="false",
         spark__driver__memory="16g",
         spark__sql__shuffle__partitions=cpus,
+        spark__songloom__inputPartitions=cpus,  # the files here are a split each
     )
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1000).selectExpr("sum(id)").collect()

@@ -27,9 +27,13 @@ def _code_point(number: Column) -> Column:
 def _numeric(c: Column, pattern: str, base: int) -> Column:
     """Decode one numeric entity form in a single pass, left to right."""
     between = parts(c, pattern)
-    decoded = F.transform(
-        groups(c, pattern), lambda d: _code_point(F.conv(F.right(d, F.lit(15)), base, 10).cast("long"))
-    )
+
+    def number(digits: Column) -> Column:
+        # no code point has more than seven digits, but any number of zeros may lead
+        bare = F.regexp_replace(digits, "^0+", "")
+        return F.when(F.length(bare) <= 7, F.conv(bare, base, 10).cast("long"))
+
+    decoded = F.transform(groups(c, pattern), lambda d: _code_point(number(d)))
     joined = F.array_join(
         F.zip_with(between, decoded, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""
     )

@@ -16,21 +16,16 @@ TAGS = ["", " (Official Video)", " [HD]", " (2011 - Remaster)", " ft. Someone El
 _MODES = ["stft", "basic", "stft_deep"]
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    ensure_settings(spark)
-    return spread_out(load(spark, sf, name))
+#: Session setting: deal every input table to so many partitions (for benches whose small
+#: files are a single split each; unset on a cluster).
+INPUT_PARTITIONS = "spark.songloom.inputPartitions"
 
 
-def spread_out(df: DataFrame) -> DataFrame:
-    """Give every core a share of an input with fewer splits than cores.
-
-    Text work per row is heavy and a small file is one split. Inputs of cluster size have
-    more splits than cores and are left as they are.
-    """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    ensure_settings(spark)
+    df = load(spark, sf, name)
+    wanted = spark.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(wanted)) if wanted and not df.isStreaming else df
 
 
 def choose(index: Column, values: list[str]) -> Column:
@@ -80,12 +75,18 @@ def _text_lines(c: str = "text") -> Column:
 def _stamp(seconds: Column) -> Column:
     """``mm:ss.00`` of whole seconds."""
     minutes = F.floor(seconds / 60)
+    shown = minutes.cast("string")
     return F.concat(
-        F.lpad(minutes.cast("string"), 2, "0"), F.lit(":"),
+        F.lpad(shown, F.greatest(F.length(shown), F.lit(2)), F.lit("0")), F.lit(":"),
         F.lpad((seconds - minutes * 60).cast("string"), 2, "0"), F.lit(".00"),
     )
 
 
+def turn_id() -> Column:
+    """A conversation's turn as one id."""
+    return F.concat_ws("-", "conv_id", "turn")
+
+
 def lrc_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Every turn as a lyric document: line ``i`` at ``7·i`` seconds, the refrain twice."""
     turns = table(spark, sf, "conversations")
@@ -95,7 +96,7 @@ def lrc_documents(spark: SparkSession, sf: str) -> DataFrame:
         return F.concat(F.lit("["), _stamp(i * 7), F.lit("]"), again, text)
 
     body = F.array_join(F.transform(_text_lines(), line), "\n")
-    return turns.select((F.col("conv_id") * 100 + F.col("turn")).alias("song_id"), body.alias("lrc"))
+    return turns.select(turn_id().alias("song_id"), body.alias("lrc"))
 
 
 def caption_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -123,7 +124,7 @@ def caption_documents(spark: SparkSession, sf: str) -> DataFrame:
         .when(kind == 2, F.concat(F.lit("<timedtext><body>"), F.array_join(F.transform(lines, srv3), ""), F.lit("</body></timedtext>")))
         .otherwise(F.concat(F.lit("<transcript>"), F.array_join(F.transform(lines, srv1), ""), F.lit("</transcript>")))
     )
-    return turns.select((F.col("conv_id") * 100 + F.col("turn")).alias("doc_id"), body.alias("body"))
+    return turns.select(turn_id().alias("doc_id"), body.alias("body"))
 
 
 def conversation_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -149,7 +150,7 @@ def conversation_ticks(spark: SparkSession, sf: str) -> DataFrame:
     step = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("s")) for i, s in enumerate((0.0, 2.5, 5.25))]))
     ticks = turns.select("conv_id", "turn", step.alias("x"))
     return ticks.select(
-        (F.col("conv_id") * 1000 + F.col("turn") * 10 + F.col("x.i")).alias("tick_id"),
+        F.concat_ws("-", turn_id(), F.col("x.i")).alias("tick_id"),
         F.col("conv_id").alias("song_id"),
         (F.col("turn") * 7.5 + F.col("x.s")).cast("double").alias("t"),
         (F.col("turn") % 2 == 1).alias("paused"),

@@ -192,7 +192,7 @@ select doc_id, len(regexp_extract_all(text, '\S+'))::int as words, len(regexp_ex
 # ── Time-coded text ──────────────────────────────────────────────────────────
 
 _TEXT_LINES = """
-raw as (select conv_id * 100 + turn as id, conv_id, turn, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i from conversations),
+raw as (select conv_id || '-' || turn as id, conv_id, turn, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i from conversations),
 lines as (select id, turn, i, trim(regexp_replace(line, '\\s+', ' ', 'g')) as text from raw)"""
 
 ORACLE["lrc_lines"] = f"""
@@ -224,7 +224,7 @@ with {_GAPS} select song_id, round("start", 6) as "start", round("end", 6) as "e
 ORACLE["pages_of_lines"] = "select conv_id as song_id, turn::int as line_idx, (turn // 3)::bigint as page from conversations"
 
 _TICKS = """
-ticks as (select conv_id * 1000 + turn * 10 + x.i as tick_id, conv_id as song_id, (turn * 7.5 + x.s)::double as t, turn % 2 = 1 as paused
+ticks as (select conv_id || '-' || turn || '-' || x.i as tick_id, conv_id as song_id, (turn * 7.5 + x.s)::double as t, turn % 2 = 1 as paused
   from conversations, (values (0, 0.0), (1, 2.5), (2, 5.25)) x(i, s)),
 clock as (select *, t + case when paused then 0 else 0.05 end as at from ticks)"""
 

@@ -733,7 +733,7 @@ def stored_snapshots(spark, sf):
 def preferred_tracks(spark, sf):
     """O3: caption track per conversation; user turns count as automatic tracks."""
     docs = inp.caption_documents(spark, sf)
-    turns = inp.table(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("doc_id"), "conv_id", "turn", "role")
+    turns = inp.table(spark, sf, "conversations").select(inp.turn_id().alias("doc_id"), "conv_id", "turn", "role")
     tracks = turns.join(docs, "doc_id").select(
         "conv_id", "turn", F.when(F.col("role") == "user", "asr").alias("kind"), cp.sniffed_cues("body").alias("cues")
     )

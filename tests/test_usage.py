@@ -3,6 +3,7 @@ import random
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from songloom.operators import feedback as fb
@@ -212,6 +213,12 @@ def test_sinks(spark, tmp_path, logs):
     for _ in range(2):  # a repeated run changes nothing
         sinks.append_segments(segments, str(tmp_path / "segments"))
     assert spark.read.parquet(str(tmp_path / "segments")).count() == segments.count()
+    # two batches of one day both stay; the first one again changes nothing
+    ranked = segments.withColumn("n", F.row_number().over(W.orderBy("startedAt")))
+    halves = [ranked.filter(f"n % 2 = {i}").drop("n") for i in (0, 1)]
+    for half in (*halves, halves[0]):
+        sinks.append_segments(half, str(tmp_path / "halves"))
+    assert spark.read.parquet(str(tmp_path / "halves")).count() == segments.count()
     requests = spark.createDataFrame([("k1",), ("k2",), ("k3",), ("k4",)], "videoKey string")
     answers = spark.createDataFrame([("k1", 201, None), ("k2", 401, "x"), ("k3", 429, "rate_limited")], "videoKey string, status int, reason string")
     got = {r["videoKey"]: r["reason"] for r in sinks.request_outcomes(requests, answers).collect()}
