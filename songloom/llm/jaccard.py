@@ -318,8 +318,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_per_class(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class: the one of the smallest id."""
     found = near_duplicates(docs)
-    kept = found.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("k"))
-    kept = saved(kept.select("k.doc_id", F.col("k.key").alias("_key")), "jaccard-kept")
+    # rows that repeat id and text count as one
+    rows_of = found.groupBy("class_key", "doc_id", "key").agg(F.count("*").alias("n"))
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", "n")).alias("k")
+    kept = rows_of.groupBy("class_key").agg(least).select("k.doc_id", F.col("k.key").alias("_key"), "k.n")
+    kept = saved(kept, "jaccard-kept")
     rows = docs.withColumn("_key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
     same = rows["doc_id"].eqNullSafe(kept["doc_id"]) & (rows["_key"] == kept["_key"])
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_key"]).drop("_key")
+    chosen = rows.join(kept, same, "left_semi")
+    if not kept.filter("n > 1").isEmpty():
+        chosen = chosen.dropDuplicates(["doc_id", "_key"])
+    return chosen.drop("_key")
