@@ -15,7 +15,7 @@ from songloom.llm.tables import saved
 from songloom.session import load
 
 #: Rows per Arrow batch, so that a batch of very long texts stays small.
-ARROW_ROWS = 500
+ARROW_ROWS = 100
 
 
 def _documents(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from songloom.llm.tables import saved
+from songloom.llm.tables import saved, unused
 
 GRAM, THRESHOLD = 5, 0.8
 BANDS, ROWS, VALUES = 24, 4, 128
@@ -53,7 +53,7 @@ _ADD = np.random.default_rng(21).integers(0, 1 << 63, VALUES, dtype=np.uint64)
 class Grams:
     """Sets of hashed word grams; hashes of words are kept between texts, up to a bound."""
 
-    def __init__(self, kept: int = 500_000):
+    def __init__(self, kept: int = 100_000):
         self._kept, self._known = kept, {}
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -323,9 +323,10 @@ def one_per_class(docs: DataFrame) -> DataFrame:
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", "n")).alias("k")
     kept = rows_of.groupBy("class_key").agg(least).select("k.doc_id", F.col("k.key").alias("_key"), "k.n")
     kept = saved(kept, "jaccard-kept")
-    rows = docs.withColumn("_key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    same = rows["doc_id"].eqNullSafe(kept["doc_id"]) & (rows["_key"] == kept["_key"])
+    key = unused(docs, "_key")
+    rows = docs.withColumn(key, F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    same = rows["doc_id"].eqNullSafe(kept["doc_id"]) & (rows[key] == kept["_key"])
     chosen = rows.join(kept, same, "left_semi")
     if not kept.filter("n > 1").isEmpty():
-        chosen = chosen.dropDuplicates(["doc_id", "_key"])
-    return chosen.drop("_key")
+        chosen = chosen.dropDuplicates(["doc_id", key])
+    return chosen.drop(key)

@@ -11,7 +11,7 @@ from songloom.llm import credentials, jaccard, licences, mixing, sharding, super
 from songloom.session import load
 
 #: Rows per Arrow batch, so that a batch of very long texts stays small.
-ARROW_ROWS = 500
+ARROW_ROWS = 100
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

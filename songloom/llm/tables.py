@@ -15,6 +15,14 @@ def fresh_path(spark, label: str) -> str:
     return f"{shared_dir(spark)}/llm/{label}-{uuid.uuid4().hex}"
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def saved(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, which cuts the lineage."""
     path = fresh_path(df.sparkSession, label)

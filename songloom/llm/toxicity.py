@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from songloom.llm.tables import saved
+from songloom.llm.tables import saved, unused
 
 BITS = 20
 FACTORS = 4
@@ -155,13 +155,13 @@ def training_sets(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_P
     return sets, np.array([r["label"] for r in rows], dtype=float)
 
 
-def _scorer(model: Model, kept: int = 500_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _scorer(model: Model, name: str = "score", kept: int = 100_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row_of = dict(zip(model.terms.tolist(), range(len(model.terms))))
         known: dict[str, tuple[int, ...]] = {}
         for batch in batches:
             scores = []
-            for text in batch.column("text").to_pylist():
+            for text in batch.column(batch.schema.names.index("text")).to_pylist():
                 found: set[int] = set()
                 for word in words(text or ""):
                     rows = known.get(word)
@@ -172,16 +172,16 @@ def _scorer(model: Model, kept: int = 500_000) -> Callable[[Iterator[pa.RecordBa
                     found.update(rows)
                 scores.append(float(_sigmoid(model.margin(sorted(found)))))
             names = batch.schema.names
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*names, name])
 
     return score
 
 
-def scored(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
-    """``columns`` of ``docs`` (text among them is read, and kept if named) with ``score``."""
+def scored(docs: DataFrame, model: Model, columns: list[str], name: str = "score") -> DataFrame:
+    """``columns`` of ``docs`` with the scores of its texts in the new column ``name``."""
     rows = docs.select(*dict.fromkeys([*columns, "text"]))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", score double"
-    return rows.mapInArrow(_scorer(model), schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{name}` double"
+    return rows.mapInArrow(_scorer(model, name), schema).select(*columns, name)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PER_LABEL) -> Model:
@@ -191,7 +191,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PER_LABEL)
 
 def harmless(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without those whose score reaches the threshold."""
-    return scored(docs, fit(docs, labels), docs.columns).filter(F.col("score") < THRESHOLD).drop("score")
+    name = unused(docs, "_toxicity")
+    return scored(docs, fit(docs, labels), docs.columns, name).filter(F.col(name) < THRESHOLD).drop(name)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

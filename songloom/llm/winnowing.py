@@ -21,7 +21,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from songloom.llm.tables import saved
+from songloom.llm.tables import saved, unused
 
 WINDOW, GRAM = 13, 5
 #: Fixed value: what stands between words once A-Z are lower case.
@@ -115,9 +115,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without contaminated ones; equal texts share their verdict."""
-    found = contamination(docs, benchmark).filter("contaminated").select(F.col("key").alias("_key")).distinct()
-    rows = docs.withColumn("_key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    return rows.join(saved(found, "contaminated-texts"), "_key", "left_anti").drop("_key")
+    key = unused(docs, "_key")
+    found = contamination(docs, benchmark).filter("contaminated").select(F.col("key").alias(key)).distinct()
+    rows = docs.withColumn(key, F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    return rows.join(saved(found, "contaminated-texts"), key, "left_anti").drop(key)
 
 
 def _extended(found: DataFrame, window: int, gram: int) -> DataFrame:
