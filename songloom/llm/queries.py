@@ -106,5 +106,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_warc": warc.ROUND_TRIP_SQL,
     "op7_decontamination": winnowing.CONTAMINATION_SQL.format(documents="documents"),
 }

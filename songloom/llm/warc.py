@@ -190,3 +190,19 @@ def read_records(selected: DataFrame, gap: int = GAP, run: int = RUN) -> DataFra
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write all pages to new archives and read every record back."""
     return read_records(write_archives(pages, fresh_path(pages.sparkSession, "warc")))
+
+
+#: What the round trip returns, in DuckDB SQL (without the payloads).
+ROUND_TRIP_SQL = """
+with p as (
+    select page_id, regexp_replace(coalesce(url, ''), '[\\r\\n]+', '%0A', 'g') as url, coalesce(html, '') as payload, sha1(coalesce(html, '')) as hexed from pages
+), d as (
+    select page_id, url, strlen(payload) as payload_bytes,
+        array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+            1 + ((('0x' || substr(hexed, 5 * (i // 4) + 1, 5))::int >> (15 - 5 * (i % 4))::int) & 31), 1)), '') as payload_digest
+    from p
+), f as (select *, min(page_id) over (partition by payload_digest) as first from d)
+select page_id, url, case when page_id is not distinct from first then 'response' else 'revisit' end as record_type,
+    payload_digest, payload_bytes, case when page_id is distinct from first then first end as refers_to
+from f
+"""
