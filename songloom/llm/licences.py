@@ -2,11 +2,10 @@
 
 A paragraph (a line of a text) is described by its words and word pairs. A multinomial
 logistic regression over the ones that occur in training gives each paragraph a probability
-per licence family and one for "unknown"; most of its weights are zero, so only paragraphs
-that hold a weighted gram need a score at all, the others are unknown by the biases alone.
-The probabilities are calibrated on paragraphs kept out of training (a temperature on the
+per licence family and one for "unknown"; most of its weights are zero. The probabilities are calibrated on paragraphs kept out of training (a temperature on the
 scores). A predicted family counts only if the paragraph also covers most of one of the
-family's templates.
+family's templates; paragraphs that hold too few of the templates' word pairs for that need
+no score.
 
 Training data are the templates with words dropped and with text of the corpus around them,
 and, as unknown, paragraphs of the corpus and phrases that merely speak of licences; the
@@ -20,6 +19,8 @@ text are read.
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame
@@ -90,9 +91,13 @@ def grams(text: Column | str) -> Column:
     return _grams_of(F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), ""))
 
 
+def _pairs_of(words: Column) -> Column:
+    following = F.slice(words, 2, F.greatest(F.size(words), F.lit(1)))
+    return F.array_compact(F.zip_with(words, following, lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b))))
+
+
 def _grams_of(words: Column) -> Column:
-    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
-    return F.array_distinct(F.array_compact(F.concat(words, pairs)))
+    return F.array_distinct(F.concat(words, _pairs_of(words)))
 
 
 def templates(spark) -> DataFrame:
@@ -166,9 +171,19 @@ def _temperature(scored: DataFrame) -> float:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """key, number, words of every paragraph with a word."""
+    """key, number, words of the paragraphs that can cover a template.
+
+    To hold ``COVERAGE`` of a template's grams, a paragraph must hold some of its word pairs
+    even if it holds all its words. Paragraphs with fewer pairs of all templates than the least
+    of these numbers cannot be confirmed, whatever their score, and are left out here.
+    """
+    forms = templates(docs.sparkSession).select(grams("text").alias("grams")).collect()  # fixed size
+    pairs = sorted({g for f in forms for g in f["grams"] if " " in g})
+    least = min(ceil(COVERAGE * len(f["grams"])) - sum(" " not in g for g in f["grams"]) for f in forms)
     lines = docs.select(F.unhex(F.md5("text")).alias("key"), F.posexplode(F.split("text", "\n")).alias("number", "line"))
-    return lines.select("key", "number", F.array_remove(F.split(F.lower("line"), r"[^\p{L}\p{N}]+"), "").alias("words"))
+    words = lines.select("key", "number", F.array_remove(F.split(F.lower("line"), r"[^\p{L}\p{N}]+"), "").alias("words"))
+    known = F.array(*[F.lit(p) for p in pairs])
+    return words.filter(F.size(F.array_intersect(_pairs_of(F.col("words")), known)) >= max(least, 1))
 
 
 def notices(docs: DataFrame, weights: DataFrame, bias: list[float]) -> DataFrame:
