@@ -7,6 +7,8 @@ buckets they touch, and ticks meet them on (song, bucket).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -235,23 +237,33 @@ def word_at(
     )
 
 
+#: Grid instants that are listed together.
+TICKS_PER_PIECE = 1000
+
+
 def playback_ticks(
-    states: DataFrame, key: str = "song_id", step_ms: int = 200, slice_seconds: int = 3600
+    states: DataFrame, key: str = "song_id", step_ms: int = 200, slice_seconds: int = 3600, order: Sequence[str] = ("ts",)
 ) -> DataFrame:
     """Resample sparse states ``[key, ts, time, duration, paused]`` to a fixed grid.
 
     Each state rules from the first grid instant at or after it up to the next state;
     the last state yields its own instant only. No grid is joined: every state lists its
-    instants, with the playhead interpolated from it.
+    instants, with the playhead interpolated from it. A long reign is cut into pieces first,
+    which are dealt out before their instants are listed. ``order`` is unique per key.
     """
     ruled = neighbours(
-        states, [key], ["ts"], time_slice("ts", slice_seconds), following={"_next": F.col("ts")}
+        states, [key], order, time_slice("ts", slice_seconds), following={"_next": F.col("ts")}
     )
     start = F.ceil(F.unix_millis("ts") / step_ms) * step_ms
     until = F.ceil(F.unix_millis("_next") / step_ms) * step_ms - step_ms
     until = F.coalesce(until, start)
-    listed = F.when(until >= start, F.sequence(start.cast("long"), until.cast("long"), F.lit(step_ms).cast("long")))
-    grid = ruled.select(key, "ts", "time", "duration", "paused", F.explode(listed).alias("ms"))
+    step, piece = F.lit(step_ms).cast("long"), F.lit(step_ms * TICKS_PER_PIECE).cast("long")
+    pieces = F.when(until >= start, F.sequence(start.cast("long"), until.cast("long"), piece))
+    state = [key, "ts", "time", "duration", "paused"]
+    cut_up = ruled.select(*state, until.cast("long").alias("_until"), F.explode(pieces).alias("_piece"))
+    dealt = cut_up.repartition(F.col(key), F.col("_piece"))
+    listed = F.sequence(F.col("_piece"), F.least(F.col("_piece") + piece - step, F.col("_until")), step)
+    grid = dealt.select(*state, F.explode(listed).alias("ms"))
     return grid.select(
         key,
         F.timestamp_millis("ms").alias("ts"),
@@ -262,17 +274,17 @@ def playback_ticks(
 
 
 def pause_detection(
-    polls: DataFrame, key: str = "song_id", stall_ms: int = 1600, slice_seconds: int = 3600
+    polls: DataFrame, key: str = "song_id", stall_ms: int = 1600, slice_seconds: int = 3600, order: Sequence[str] = ("ts",)
 ) -> DataFrame:
     """``paused`` when the shown position has not changed for more than ``stall_ms``.
 
-    The first poll of a key counts as a change.
+    The first poll of a key counts as a change. ``order`` is unique per key.
     """
     piece = time_slice("ts", slice_seconds)
-    seen = neighbours(polls, [key], ["ts"], piece, previous={"_before": F.col("position")})
+    seen = neighbours(polls, [key], order, piece, previous={"_before": F.col("position")})
     changed = ~F.col("position").eqNullSafe(F.col("_before"))
     at = F.when(changed, F.unix_millis("ts"))
     seen = seen.withColumn("_changed", at)
-    seen = neighbours(seen, [key], ["ts"], piece, last={"_last": F.col("_changed")})
+    seen = neighbours(seen, [key], order, piece, last={"_last": F.col("_changed")})
     since = F.unix_millis("ts") - F.coalesce("_changed", "_last")
     return seen.withColumn("paused", since > stall_ms).drop("_before", "_changed", "_last")

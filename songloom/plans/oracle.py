@@ -251,14 +251,14 @@ with {_EVENTS}, s as (select *, lag(event) over (partition by "user" order by or
 select "user" as doc_id, ord as cue_idx, event as text, round(greatest(value - 0.3, 0), 6) as time from s where event is distinct from b"""
 
 ORACLE["playback_grid"] = f"""
-with {_EVENTS}, s as (select *, epoch_us(ts) // 1000 as ms, lead(epoch_us(ts) // 1000) over (partition by "user" order by ts) as nx from ev),
+with {_EVENTS}, s as (select *, epoch_us(ts) // 1000 as ms, lead(epoch_us(ts) // 1000) over (partition by "user" order by ts, ord) as nx from ev),
 g as (select *, ((ms + 3599999) // 3600000) * 3600000 as a, coalesce(((nx + 3599999) // 3600000) * 3600000 - 3600000, ((ms + 3599999) // 3600000) * 3600000) as z from s),
 x as (select *, unnest(generate_series(a, z, 3600000)) as gm from g where z >= a)
 select "user", gm * 1000 as at, round(case when event = 'error' then value else value + (gm - ms) / 1000 end, 3) as t from x"""
 
 ORACLE["pause_detection"] = f"""
-with {_EVENTS}, s as (select *, event is distinct from lag(event) over (partition by "user" order by ts) as ch from ev),
-l as (select *, max(case when ch then epoch_ms(ts) end) over (partition by "user" order by ts rows unbounded preceding) as since from s)
+with {_EVENTS}, s as (select *, event is distinct from lag(event) over (partition by "user" order by ts, ord) as ch from ev),
+l as (select *, max(case when ch then epoch_ms(ts) end) over (partition by "user" order by ts, ord rows unbounded preceding) as since from s)
 select ord, epoch_ms(ts) - since > 43200000 as paused from l"""
 
 # ── Usage ────────────────────────────────────────────────────────────────────

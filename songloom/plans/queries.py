@@ -351,10 +351,10 @@ def dedupe_captions(spark, sf):
 def playback_grid(spark, sf):
     """Sparse states of each user on an hourly grid."""
     states = inp.keyed_events(spark, sf).select(
-        F.col("user").alias("song_id"), "ts", F.col("value").alias("time"), F.lit(0.0).alias("duration"),
+        F.col("user").alias("song_id"), "ts", "ord", F.col("value").alias("time"), F.lit(0.0).alias("duration"),
         (F.col("event") == "error").alias("paused"),
     )
-    grid = tl.playback_ticks(states, step_ms=3_600_000)
+    grid = tl.playback_ticks(states, step_ms=3_600_000, order=("ts", "ord"))
     return grid.select(F.col("song_id").alias("user"), micros("ts").alias("at"), F.round("t", 3).alias("t"))
 
 
@@ -362,7 +362,7 @@ def playback_grid(spark, sf):
 def pause_detection(spark, sf):
     """Event types as shown positions, a stall of twelve hours."""
     polls = inp.keyed_events(spark, sf).select(F.col("user").alias("song_id"), "ts", "ord", F.col("event").alias("position"))
-    return tl.pause_detection(polls, stall_ms=inp.SILENCE * 1000).select("ord", "paused")
+    return tl.pause_detection(polls, stall_ms=inp.SILENCE * 1000, order=("ts", "ord")).select("ord", "paused")
 
 
 # ── Usage ────────────────────────────────────────────────────────────────────
@@ -678,7 +678,7 @@ def frame_energy(spark, sf):
 
 @query
 def signal_quality(spark, sf):
-    """X8 on the basic mode of the whole clip."""
+    """X8 on the whole clip with its left channel halved."""
     clip = inp.vector_clip(spark, sf)
     top = 2**31
     q = sg.signal_quality(clip, clip.select("clip_id", "block_idx", F.transform("left", lambda x: x / 2).alias("left"), "right"), 0, top)

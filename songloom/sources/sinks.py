@@ -89,7 +89,14 @@ def write_sync_requests(requests: DataFrame, path: str) -> None:
 
 
 def request_outcomes(requests: DataFrame, responses: DataFrame) -> DataFrame:
-    """Outcome per request from a table of answers ``[videoKey, status, reason]``."""
-    answered = requests.select("videoKey").distinct().join(responses, "videoKey", "left")
+    """Outcome per request from a table of answers ``[videoKey, status, reason]``.
+
+    Of several answers to a key the newest counts (by ``ts`` and ``ord``, as far as they are
+    given, then by value).
+    """
+    answer = F.struct("status", "reason")
+    newest = F.max_by(answer, F.struct(*[c for c in ("ts", "ord") if c in responses.columns], "status", "reason"))
+    last = responses.groupBy("videoKey").agg(newest.alias("_a")).select("videoKey", "_a.*")
+    answered = requests.select("videoKey").distinct().join(last, "videoKey", "left")
     reason = outcome_reason(F.col("status"), F.col("reason"), F.col("videoKey"))
     return answered.select("videoKey", reason.alias("reason"))

@@ -126,3 +126,20 @@ def test_playback_grid_and_pauses(spark):
     polls = [(1, t0 + timedelta(seconds=s), p) for s, p in enumerate(["0:01", "0:02", "0:02", "0:02", "0:02", "0:03"])]
     df = spark.createDataFrame(polls, "song_id int, ts timestamp, position string")
     assert [r["paused"] for r in tl.pause_detection(df).orderBy("ts").collect()] == [False, False, False, True, True, False]
+
+
+def test_a_long_reign_is_listed_in_pieces(spark):
+    t0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    states = [(1, t0, 0.0, 0.0, False), (1, t0 + timedelta(days=30), 1.0, 0.0, False)]
+    df = spark.createDataFrame(states, "song_id int, ts timestamp, time double, duration double, paused boolean")
+    grid = tl.playback_ticks(df, step_ms=2000)
+    got = grid.agg(F.count("*"), F.countDistinct("ts"), F.max("t")).first()
+    assert tuple(got) == (30 * 43_200 + 1, 30 * 43_200 + 1, 30 * 86_400.0 - 2)
+
+
+def test_the_newest_of_several_answers_counts(spark):
+    from songloom.sources import sinks
+
+    asked = spark.createDataFrame([("k",), ("k",), ("m",)], "videoKey string")
+    told = spark.createDataFrame([("k", 201, None, 1), ("k", 429, "rate_limited", 2)], "videoKey string, status int, reason string, ord int")
+    assert sorted(tuple(r) for r in sinks.request_outcomes(asked, told).collect()) == [("k", "rate_limited"), ("m", "upstream")]
