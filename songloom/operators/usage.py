@@ -14,7 +14,7 @@ from .linkage import top_k
 from .ordered import neighbours, time_slice
 
 MIN_SECONDS = 3
-SONG = "struct<videoKey:string,songTitle:string,trackName:string,artistName:string>"
+SONG = "struct<videoKey:string,songTitle:string,trackName:string,artistName:string,videoUrl:string>"
 
 #: Event log: ``user, ts, ord, kind, url, mode, song``. ``ord`` breaks ties of ``ts``.
 KINDS = ("start", "stop", "close", "navigate", "song", "mode", "beat")
@@ -42,7 +42,9 @@ def listen_segments(
     user; it works on time slices. All other windows run inside one capture. The rows of
     a segment are contiguous, hence a segment ends at the event after its last row.
 
-    A song report opens the segment of its URL, or of its own key when it has none.
+    A song report with another key than the open segment's opens the segment of its own URL
+    (which is taken to be the URL of that key), or of the tab when it has none; one with the
+    same key, or none, adds what it knows to the open segment.
     With ``silence_seconds``, a source silent for longer is taken as gone: its segment
     ends at its last beat and later events find nothing open. A log's open end is
     treated the same way.
@@ -84,20 +86,36 @@ def listen_segments(
     rows = rows.withColumns({"_ends": ends, "_silent": silent})
     state = F.when(F.col("_silent") | F.col("_ends"), F.lit(False)).when(started, F.lit(True))
     tab_key = derive_video_key(F.col("_tab"))
+    told_url = F.when(F.col("kind") == "song", F.nullif(F.col("song.videoUrl"), F.lit("")))
+    report_key = derive_video_key(F.coalesce(told_url, F.col("_tab")))
+    # A report whose key is not that of the place it opens (the tab) leaves a segment of its own
+    # key alone: what it claims depends on what is open.
+    odd = reported & told_url.isNull() & ~report_key.eqNullSafe(F.col("song.videoKey"))
     claimed = (
         F.when(started, F.struct(F.col("_key").alias("k")))
         .when((F.col("kind") == "mode"), F.struct(tab_key.alias("k")))
         .when((F.col("kind") == "navigate") & F.col("_key").isNotNull(), F.struct(F.col("_key").alias("k")))
-        .when(reported, F.struct(F.coalesce("_key", "song.videoKey").alias("k")))
+        .when(reported & ~odd, F.struct(report_key.alias("k")))
     )
-    rows = rows.withColumns({"_state": state, "_claim": claimed})
+    rows = rows.withColumns({"_state": state, "_claim": claimed, "_odd": odd, "_report_key": report_key, "_told_url": told_url})
+    # Between two rows that claim outright, the first odd report that differs from the claim
+    # moves the segment to the tab, where it stays.
+    rows = rows.withColumns({
+        "_run": F.last(F.when(F.col("_claim").isNotNull(), capture), ignorenulls=True).over(until),
+        "_base": F.last("_claim", ignorenulls=True).over(before),
+    })
+    moves = F.col("_odd") & ~F.col("song.videoKey").eqNullSafe(F.col("_base")["k"])
+    in_run = W.partitionBy(*keys, "_start", "_run").orderBy(*order)
+    moved = F.first(F.when(moves, F.struct(F.col("_report_key").alias("k"))), ignorenulls=True)
+    rows = rows.withColumn("_moved", moved.over(in_run.rowsBetween(W.unboundedPreceding, 0)))
+    rows = rows.withColumn("_here", F.coalesce("_claim", "_moved"))
     rows = rows.withColumns(
         {
             "_open": F.coalesce(F.last("_state", ignorenulls=True).over(before), F.lit(False)),
-            "_current": F.last("_claim", ignorenulls=True).over(before)["k"],
+            "_current": F.last("_here", ignorenulls=True).over(before)["k"],
         }
     )
-    new_key = F.col("_claim")["k"]
+    new_key = F.when(F.col("_odd"), F.col("_report_key")).otherwise(F.col("_claim")["k"])
     told = F.when(F.col("kind") == "song", F.col("song.videoKey")).when(F.col("kind") == "navigate", new_key)
     changes = told.isNotNull() & ~told.eqNullSafe(F.col("_current"))
     opens = started | (F.col("_open") & ~F.col("_ends") & ((F.col("kind") == "mode") | changes))
@@ -126,9 +144,10 @@ def listen_segments(
     )
     rows = rows.withColumn("_tab_now", F.coalesce(moved_to, F.col("_tab")))
     opened = F.col("_opens")
+    url = F.when(opened & (F.col("kind") != "song"), F.col("_tab_now")).when(opened, F.coalesce("_told_url", "_tab")).otherwise(F.col("_told_url"))
     segments = rows.groupBy(*keys, "_start", "_segment").agg(
         F.max(F.when(opened, new_key)).alias("videoKey"),
-        F.max(F.when(opened, F.col("_tab_now"))).alias("videoUrl"),
+        F.max_by(url, F.when(url.isNotNull(), place)).alias("videoUrl"),
         F.max_by("_songTitle", place).alias("songTitle"),
         F.max_by("_trackName", place).alias("trackName"),
         F.max_by("_artistName", place).alias("artistName"),

@@ -182,6 +182,7 @@ def listen_log(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("Song "), F.col("k").cast("string")).alias("songTitle"),
         F.concat(F.lit("Track "), F.col("k").cast("string")).alias("trackName"),
         F.concat(F.lit("Artist "), (F.col("k") % 10).cast("string")).alias("artistName"),
+        F.concat(F.lit("https://www.youtube.com/watch?v=k"), F.col("k").cast("string")).alias("videoUrl"),
     )
     return events.select(
         "user",

@@ -287,7 +287,7 @@ e8 as (select *, max(case when opens then rn end) over m as seg, max(case when o
 e9 as (select *, last_value(told ignore nulls) over (partition by "user", st, meta_from order by rn rows unbounded preceding) as song_k from e8),
 closed as (
   select "user", seg, max(case when opens then claim end) as "videoKey", max(case when opens then mode_now end) as "filterMode",
-    'Song ' || arg_max(song_k, rn)::varchar as "songTitle", min(case when opens then ts end) as started,
+    'Song ' || arg_max(song_k, rn)::varchar as "songTitle", 'Track ' || arg_max(song_k, rn)::varchar as "trackName", 'Artist ' || (arg_max(song_k, rn) % 10)::varchar as "artistName", min(case when opens then ts end) as started,
     max(case when event = 'view' or opens then ts end) as beat, min(case when closes then ts end) as closed_at,
     bool_or(silent and not closes) as gone, max(rn) as last_rn, arg_max(nxt, rn) as any_after
   from e9 group by all),
@@ -296,10 +296,10 @@ closed2 as (select c.*, e.nxt as after from closed c join e1 e on c."user" = e."
 
 _SEGMENTS = f"""{_segments("coalesce(epoch_us(nxt) - epoch_us(ts) > 43200000000, false)")},
 timed as (select *, coalesce(closed_at, case when gone then beat end, after, beat) as ended from closed2),
-seg as (select "user", "videoKey", "filterMode", "songTitle", floor((epoch_us(ended) - epoch_us(started)) / 1000000 + 0.5)::bigint as seconds, started, ended
+seg as (select "user", "videoKey", "filterMode", "songTitle", "trackName", "artistName", floor((epoch_us(ended) - epoch_us(started)) / 1000000 + 0.5)::bigint as seconds, started, ended
   from timed where floor((epoch_us(ended) - epoch_us(started)) / 1000000 + 0.5) >= 3)"""
 
-_SEGMENT_COLUMNS = 'select "user", "videoKey", "filterMode", "songTitle", seconds, epoch_us(started) as started_us, epoch_us(ended) as ended_us from seg'
+_SEGMENT_COLUMNS = """select "user", "videoKey", "filterMode", "songTitle", "trackName", "artistName", 'https://www.youtube.com/watch?v=' || substr("videoKey", 4) as "videoUrl", seconds, epoch_us(started) as started_us, epoch_us(ended) as ended_us from seg"""
 
 ORACLE["listen_segments"] = f"with {_SEGMENTS} {_SEGMENT_COLUMNS}"
 
@@ -307,7 +307,7 @@ ORACLE["listen_segments"] = f"with {_SEGMENTS} {_SEGMENT_COLUMNS}"
 ORACLE["segments_stream"] = f"""
 with {_segments("false")},
 timed as (select *, coalesce(closed_at, after) as ended from closed2),
-seg as (select "user", "videoKey", "filterMode", "songTitle", floor((epoch_us(ended) - epoch_us(started)) / 1000000 + 0.5)::bigint as seconds, started, ended
+seg as (select "user", "videoKey", "filterMode", "songTitle", "trackName", "artistName", floor((epoch_us(ended) - epoch_us(started)) / 1000000 + 0.5)::bigint as seconds, started, ended
   from timed where ended is not null and floor((epoch_us(ended) - epoch_us(started)) / 1000000 + 0.5) >= 3
   and epoch_us(ended) <= (select (epoch_ms(max(ts)) - 600000) * 1000 from events))
 {_SEGMENT_COLUMNS}"""

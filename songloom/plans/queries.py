@@ -373,7 +373,7 @@ def _segments(spark, sf):
 
 def _segment_columns(df):
     return df.select(
-        "user", "videoKey", "filterMode", "songTitle", "seconds",
+        "user", "videoKey", "videoUrl", "filterMode", "songTitle", "trackName", "artistName", "seconds",
         micros("startedAt").alias("started_us"), micros("endedAt").alias("ended_us"),
     )
 

@@ -22,6 +22,7 @@ def listen_segments(events: DataFrame, user: str = "user", silence_seconds: floa
         user, "ts", "ord", "kind", "url", "mode", "song",
         F.when(F.col("url").isNotNull(), derive_video_key("url")).alias("url_key"),
         F.concat_ws("", place["scheme"], F.lit("://"), place["host"], F.lit(":"), place["port"], place["path"]).alias("path"),
+        F.when(F.col("song.videoUrl").isNotNull(), derive_video_key("song.videoUrl")).alias("song_key"),
     )
     out = run_machine(ready, user, m.SegmentMachine(silence_seconds), m.SEGMENT_OUTPUT, delay)
     return out.withColumns({c: F.timestamp_micros(c) for c in ("startedAt", "endedAt")})

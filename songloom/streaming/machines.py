@@ -33,8 +33,9 @@ _META = ("songTitle", "trackName", "artistName")
 class SegmentMachine:
     """One open segment per user; see the batch twin for the rules.
 
-    Rows carry ``kind, url, url_key, path, mode, song``; ``url_key`` is the video key and
-    ``path`` the place of the URL, both computed before the machine by Column functions.
+    Rows carry ``kind, url, url_key, path, mode, song, song_key``; ``url_key`` is the video key
+    and ``path`` the place of the URL, ``song_key`` the video key of the song's URL, all
+    computed before the machine by Column functions.
     """
 
     def __init__(self, silence_seconds: float | None = None):
@@ -59,13 +60,13 @@ class SegmentMachine:
         meta = (segment["meta"].get(n) for n in _META)
         return [(segment["key"], segment["url"], *meta, segment["mode"], seconds, segment["start"], end)]
 
-    def _open(self, state: State, ts: int, key: str | None, meta: Row | None) -> None:
+    def _open(self, state: State, ts: int, key: str | None, meta: Row | None, url: str | None = None) -> None:
         known = state.get("known") or {}
         if meta is None:
             meta = known if key is not None and known.get("videoKey") == key else {}
         tab = state.get("tab") or {}
         state["open"] = {
-            "key": key, "url": tab.get("url"), "mode": state.get("mode"), "start": ts, "beat": ts,
+            "key": key, "url": url or tab.get("url"), "mode": state.get("mode"), "start": ts, "beat": ts,
             "meta": {n: meta.get(n) for n in _META if meta.get(n)},
         }
 
@@ -100,9 +101,12 @@ class SegmentMachine:
                 state["known"] = song
             if segment and told is not None and told != segment["key"]:
                 out = self._close(state, ts)
-                self._open(state, ts, here["key"] or told, song)
+                url = song.get("videoUrl") or None
+                key = row.get("song_key") if url else (state.get("tab") or {}).get("key")
+                self._open(state, ts, key, song, url)
             elif segment:
                 segment["meta"].update({n: song[n] for n in _META if song.get(n)})
+                segment["url"] = song.get("videoUrl") or segment["url"]
         elif kind == "beat" and segment:
             segment["beat"] = ts
         return out

@@ -12,7 +12,7 @@ from songloom.sources import sinks
 
 T0 = datetime(2024, 1, 30, 22, tzinfo=timezone.utc)
 EVENTS = ("user string, ts timestamp, ord long, kind string, url string, mode string, "
-          "song struct<videoKey:string,songTitle:string,trackName:string,artistName:string>")
+          "song struct<videoKey:string,songTitle:string,trackName:string,artistName:string,videoUrl:string>")
 
 
 def key_of(url):
@@ -29,14 +29,14 @@ def spec(rows, silence):
     def close(end):
         nonlocal seg
         if seg and seg["key"] and math.floor((end - seg["start"]).total_seconds() + .5) >= 3:
-            out.append((seg["key"], seg["title"], seg["mode"], seg["start"], end))
+            out.append((seg["key"], seg["title"], seg["mode"], seg["url"], seg["start"], end))
         seg = None
 
-    def open_(ts, key, title):
+    def open_(ts, key, title, place=None):
         nonlocal seg
         if title is None and known and known[0] == key:
             title = known[1]
-        seg = {"key": key, "title": title, "mode": mode, "start": ts, "beat": ts}
+        seg = {"key": key, "title": title, "mode": mode, "start": ts, "beat": ts, "url": place or tab}
 
     for _, ts, _, kind, url, m, song in rows:
         if seg and silence is not None and (ts - last).total_seconds() > silence:
@@ -68,9 +68,10 @@ def spec(rows, silence):
             known = song if song[0] else known
             if seg and song[0] and song[0] != seg["key"]:
                 close(ts)
-                open_(ts, key_of(url) or song[0], song[1] or "")
-            elif seg and song[1]:
-                seg["title"] = song[1]
+                open_(ts, key_of(song[4] or tab), song[1] or "", song[4])
+            elif seg:
+                seg["title"] = song[1] or seg["title"]
+                seg["url"] = song[4] or seg["url"]
         elif kind == "beat" and seg:
             seg["beat"] = ts
     if seg:
@@ -86,7 +87,9 @@ def random_log(user, rng, n):
         kind = rng.choice(["start", "stop", "navigate", "song", "song", "mode", "beat", "beat", "close"])
         url = rng.choice(urls) if kind in ("start", "navigate") else None
         mode = rng.choice(["stft", "basic"]) if kind in ("start", "mode") else None
-        song = (rng.choice(["yt:a", "yt:b", None]), rng.choice(["A", "B", None]), None, None) if kind == "song" else None
+        named = rng.choice(["yt:a", "yt:b", "yt:c", None])
+        place = rng.choice(["https://youtube.com/watch?v=" + named[3:], None]) if named else None
+        song = (named, rng.choice(["A", "B", None]), None, None, place) if kind == "song" else None
         rows.append((user, ts, i, kind, url, mode, song))
     return rows
 
@@ -102,9 +105,9 @@ def test_segments_equal_sequential_meaning(spark, logs, silence):
     df = spark.createDataFrame([r for l in logs.values() for r in l], EVENTS)
     got = us.listen_segments(df, silence_seconds=silence, slice_seconds=900).collect()
     for user, rows in logs.items():
-        want = [(k, t, m, s.replace(tzinfo=None), e.replace(tzinfo=None)) for k, t, m, s, e in spec(rows, silence)]
-        have = sorted(((r["videoKey"], r["songTitle"], r["filterMode"], r["startedAt"], r["endedAt"])
-                       for r in got if r["user"] == user), key=lambda r: r[3])
+        want = [(k, t, m, u, s.replace(tzinfo=None), e.replace(tzinfo=None)) for k, t, m, u, s, e in spec(rows, silence)]
+        have = sorted(((r["videoKey"], r["songTitle"], r["filterMode"], r["videoUrl"], r["startedAt"], r["endedAt"])
+                       for r in got if r["user"] == user), key=lambda r: r[4])
         assert have == want and len(want) >= 5
 
 
