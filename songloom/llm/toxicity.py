@@ -151,7 +151,7 @@ def training_sets(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_P
         texts.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "label", "text").limit(4 * max_per_label).select("label", "text")
         .mapInArrow(_hashed, "label int, terms binary").collect()
     )  # at most four times the parameter
-    sets = [np.frombuffer(r["terms"], "<u4").astype(np.int64) for r in rows]
+    sets = [np.frombuffer(r["terms"], "<u4") for r in rows]
     return sets, np.array([r["label"] for r in rows], dtype=float)
 
 
