@@ -265,26 +265,48 @@ def links(docs: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return saved(both.mapInArrow(_verified, "key binary, n_links long, root binary"), "jaccard-links")
 
 
-def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """key and label (the smallest key) of the connected components of edges (a, b).
 
-    In each round every key takes the smallest label among its own and its neighbours', then
-    the label of that label, so paths halve; rounds end when none changed.
+    In each round every key points to its smallest neighbour. These pointers lead to pairs of
+    keys that point to each other, the smaller of which is the smallest key of all that lead
+    to it. All of them become this one key, and links within it vanish. A key with a link left
+    is never alone, so at least half of the keys vanish a round, whatever the shape of a
+    component; rounds end when no link is left. The labels are then read back from the last
+    round to the first.
     """
-    both = saved(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = saved(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "key"), "labels")
-    for _ in range(max_rounds):
-        near = both.join(labels.withColumnRenamed("key", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        taken = labels.join(near.withColumnRenamed("a", "key"), "key").select("key", "label", F.least("label", "near").alias("new"))
-        jump = labels.select(F.col("key").alias("new"), F.col("label").alias("further"))
-        moved = taken.join(jump, "new", "left").select(
-            "key", F.coalesce(F.least("new", "further"), F.col("new")).alias("label"), F.col("label").alias("before")
-        )
-        moved = saved(moved, "labels")
-        labels = moved.select("key", "label")
-        if moved.filter("label <> before").isEmpty():
-            return labels
-    raise RuntimeError(f"components not settled after {max_rounds} rounds")
+    pairs = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = saved(pairs.distinct(), "edges")
+    keys = both.select(F.col("a").alias("key")).distinct()
+    live = both.filter("a <> b")
+    rounds = []
+    while not live.isEmpty():
+        rounds.append(_roots(saved(live.groupBy("a").agg(F.min("b").alias("b")), "least")))
+        one, two = (rounds[-1].select(F.col("key").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b"))
+        moved = live.join(one, "a").join(two, "b").filter("root_a <> root_b")
+        live = saved(moved.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "edges")
+    if not rounds:
+        return keys.withColumn("label", F.col("key"))
+    labels = rounds.pop()
+    while rounds:
+        # the keys of a round are roots of the round before, or were settled by it
+        further = labels.select(F.col("key").alias("root"), F.col("root").alias("further"))
+        labels = saved(rounds.pop().join(further, "root", "left").select("key", F.coalesce("further", "root").alias("root")), "labels")
+    return keys.join(labels, "key", "left").select("key", F.coalesce("root", "key").alias("label"))
+
+
+def _roots(least: DataFrame) -> DataFrame:
+    """key and root of the trees of pointers from a to b, by following pointers of pointers."""
+    over = least.select(F.col("a").alias("b"), F.col("b").alias("c"))
+    # a key that is pointed back to is the root if it is the smaller; no other key has c = a
+    first = F.when(F.col("c") == F.col("a"), F.least("a", "b")).otherwise(F.least("b", "c"))
+    roots = saved(least.join(over, "b").select(F.col("a").alias("key"), first.alias("root")), "roots")
+    while True:
+        over = roots.select(F.col("key").alias("root"), F.col("root").alias("further"))
+        moved = saved(roots.join(over, "root").select("key", F.col("further").alias("root"), F.col("root").alias("before")), "roots")
+        roots = moved.select("key", "root")
+        if moved.filter("root <> before").isEmpty():
+            return roots
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -91,6 +91,21 @@ def test_paths_are_one_component(spark):
     assert labels == {i: 0 if i <= 30 else 31 for i in range(61)}
 
 
+def test_components_of_any_shape_settle(spark):
+    """Paths and chains in random key orders, a star, a lone key: rounds do not grow with their length."""
+    rnd = random.Random(5)
+    shapes = {"path": [(i, i + 1) for i in range(1999)], "chain": [(i, i + k) for i in range(600) for k in range(1, 9)]}
+    shapes["star"] = [(0, i) for i in range(1, 300)]
+    rows, want = [(b"lone", b"lone")], {b"lone": b"lone"}
+    for name, pairs in shapes.items():
+        order = list(range(max(map(max, pairs)) + 1))
+        rnd.shuffle(order)
+        rows += [(b"%s%05d" % (name.encode(), order[a]), b"%s%05d" % (name.encode(), order[b])) for a, b in pairs]
+        want |= {b"%s%05d" % (name.encode(), i): b"%s%05d" % (name.encode(), 0) for i in order}
+    edges = spark.createDataFrame(rows, "a binary, b binary")
+    assert {bytes(r["key"]): bytes(r["label"]) for r in j.components(edges).collect()} == want
+
+
 def test_odd_rows_and_empty_table(spark):
     docs = odd_docs(spark)
     assert found(docs) == brute([(r["doc_id"], r["text"]) for r in docs.collect()])
