@@ -34,10 +34,16 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 _ASSIGN_WORDS = re.compile(r"password|passwd|secret|token|api_?key", _CASELESS)
 
-#: Weak candidates.
-IDENTIFIER = re.compile(r"""\b(?:user(?:name|id)?|login|account|client_?id|key_?id)["']?\x20*[:=]\x20*["']?[\w.@+-]{3,}""", _CASELESS)
-SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,200}(?![A-Za-z0-9+/_=-])")
-ENDPOINT = re.compile(r"""\b[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]{4,}|\b(?:host|server|endpoint)["']?\x20*[:=]\x20*["']?[\w.-]{3,}(?::\d{2,5})?""", _CASELESS)
+#: Weak candidates. A field name may end a longer one (DB_USER, aws_access_key_id); a scan
+#: looks at each run of name characters once. Random runs may have any length.
+_PREFIX = r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_.-]*"
+_ACCOUNT = r"user(?:[_-]?(?:name|id))?|login|account|client[_-]?id|key[_-]?id|(?<!secret)(?<!secret[_.-])access[_-]?key"
+IDENTIFIER = re.compile(_PREFIX + rf"""(?:{_ACCOUNT})["']?\x20*[:=]\x20*["']?[\w.@+-]{{3,}}""", _CASELESS)
+SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+ENDPOINT = re.compile(
+    r"""\b[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]{4,}|""" + _PREFIX + r"""(?:host|server|endpoint)["']?\x20*[:=]\x20*["']?[\w.-]{3,}(?::\d{2,5})?""",
+    _CASELESS,
+)
 
 #: Kinds in the order in which spans with equal starts are listed, with their roles.
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")

@@ -55,6 +55,18 @@ def test_weak_parts_count_only_with_a_complement_near(spark):
     }
 
 
+def test_prefixed_names_and_long_runs_are_parts(spark):
+    random = "aB3dE5gH7jK9mN1pQ3sT5vX7"
+    names = ["DB_USER=admin", "aws_access_key_id = abc12", "user_id=abc12", "spring.datasource.username: admin", "my-account=abc"]
+    texts = [f"{name}\n{random}" for name in names] + [f"{h}=db.example.com:5432\n{random}" for h in ("DB_HOST", "mail.server")]
+    texts += ["user=maria " + random * 40, f"aws_secret_access_key: {random}", "DB_USER=admin alone"]
+    got = weak_kinds(spark, texts)
+    assert got == {**{i: ["identifier", "secret"] for i in range(5)}, 5: ["endpoint", "secret"], 6: ["endpoint", "secret"],
+                   7: ["identifier", "secret"], 8: [], 9: []}
+    spans = c.weak_spans("user=maria " + random * 40, [])
+    assert (11, 4, 11 + 24 * 40) in spans
+
+
 def test_reach_is_exact_across_scopes(spark):
     random = "aB3dE5gH7jK9mN1pQ3sT5vX7"
     cases = [(pad, gap) for pad in range(0, 60, 7) for gap in (1, 19, 20, 21, 45)]
