@@ -97,3 +97,13 @@ def test_identity_guard_stream(spark, tmp_path):
     left, right = (as_stream(spark, tmp_path / n, d, 1) for n, d in (("l", lyrics), ("r", ticks)))
     out = jobs.run_available(jobs.song_identity_guard(left, right))
     assert [r["id"] for r in out.collect()] == [1]
+
+
+def test_segments_stream_reads_folders_of_part_files(spark, data_dir, tmp_path):
+    from songloom.plans.queries import segments_stream
+
+    events = spark.read.parquet(f"{data_dir}/events.parquet")
+    latest_first = events.repartitionByRange(3, F.col("ts").desc())
+    latest_first.write.parquet(f"{tmp_path}/events.parquet")
+    whole, parts = (sorted(map(repr, segments_stream(spark, d).collect())) for d in (data_dir, str(tmp_path)))
+    assert parts == whole and whole
