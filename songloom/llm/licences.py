@@ -1,11 +1,13 @@
 """Licence notices in documents: a trained paragraph classifier, confirmed by templates.
 
-A paragraph (a line of a text) is described by its words and word pairs. A multinomial
-logistic regression over the ones that occur in training gives each paragraph a probability
+A paragraph (neighbouring lines with no blank line between them; lines of comment marks alone
+are blank) is looked at in windows of one or more whole lines, so that wrapped notices are
+found, and notices next to prose too. A window is described by its words and word pairs. A multinomial
+logistic regression over the ones that occur in training gives each window a probability
 per licence family and one for "unknown"; most of its weights are zero. The probabilities are calibrated on paragraphs kept out of training (a temperature on the
-scores). A predicted family counts only if the paragraph also covers most of one of the
-family's templates; paragraphs that hold too few of the templates' word pairs for that need
-no score.
+scores). A predicted family counts only if the window also covers most of one of the
+family's templates; paragraphs and windows that do not need no score. Of overlapping windows,
+the one that ends first counts, and of these the shortest.
 
 Training data are the templates with words dropped and with text of the corpus around them,
 and, as unknown, paragraphs of the corpus and phrases that merely speak of licences; the
@@ -170,24 +172,59 @@ def _temperature(scored: DataFrame) -> float:
     return grid[min(range(len(grid)), key=lambda i: (losses[i], abs(grid[i] - 1)))]
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """key, number, words of the paragraphs that can cover a template.
+_PLACE = ["key", "number", "start", "end"]
 
-    To hold ``COVERAGE`` of a template's grams, a paragraph must hold some of its word pairs
-    even if it holds all its words. Paragraphs with fewer pairs of all templates than the least
-    of these numbers cannot be confirmed, whatever their score, and are left out here.
+
+def _words(text: Column | str) -> Column:
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
+
+
+def _once(value: Column) -> Column:
+    """The value, in a generator: filters on it do not compute it anew for each use."""
+    return F.explode(F.array(value))
+
+
+def windows(docs: DataFrame) -> DataFrame:
+    """key, number of the paragraph, first and last line, and grams of the windows that cover a template.
+
+    What a window covers, its paragraph covers too, so most paragraphs are left out whole. To
+    hold ``COVERAGE`` of a template's grams, some of its word pairs are needed even if all its
+    words are there; a window of several lines begins and ends with lines that add to these.
     """
     forms = templates(docs.sparkSession).select(grams("text").alias("grams")).collect()  # fixed size
     pairs = sorted({g for f in forms for g in f["grams"] if " " in g})
-    least = min(ceil(COVERAGE * len(f["grams"])) - sum(" " not in g for g in f["grams"]) for f in forms)
-    lines = docs.select(F.unhex(F.md5("text")).alias("key"), F.posexplode(F.split("text", "\n")).alias("number", "line"))
-    words = lines.select("key", "number", F.array_remove(F.split(F.lower("line"), r"[^\p{L}\p{N}]+"), "").alias("words"))
+    singles = [sum(" " not in g for g in f["grams"]) for f in forms]
+    least = max(1, min(ceil(COVERAGE * len(f["grams"])) - n for f, n in zip(forms, singles)))
     known = F.array(*[F.lit(p) for p in pairs])
-    return words.filter(F.size(F.array_intersect(_pairs_of(F.col("words")), known)) >= max(least, 1))
+    # a notice has at least one word in each of its lines
+    longest = max(len(t.split()) for name in FAMILIES for t in TEMPLATES[name]) + 1
+    covers = F.lit(False)
+    for f in forms:
+        shared = F.size(F.array_intersect(F.array(*[F.lit(g) for g in f["grams"]]), "grams"))
+        covers = covers | (shared >= COVERAGE * len(f["grams"]))
+    cut = F.split("text", r"\n[^\p{L}\p{N}\n]*(?=\n)")
+    parts = docs.select(F.unhex(F.md5("text")).alias("key"), F.posexplode(cut).alias("number", "part"))
+    parts = parts.withColumn("words", _words("part")).filter(F.size(F.array_intersect(_pairs_of(F.col("words")), known)) >= least)
+    parts = parts.select("key", "number", "part", _once(_grams_of(F.col("words"))).alias("grams")).filter(covers)
+    lines = F.filter(F.transform(F.split("part", "\n"), _words), lambda x: F.size(x) > 0)
+    parts = parts.select("key", "number", _once(lines).alias("lines"))
+    # pairs of a line, with the one across its end
+    joined = lambda x, i: F.concat(x, F.slice(F.coalesce(F.get("lines", i + 1), F.array().cast("array<string>")), 1, 1))
+    added = F.transform("lines", lambda x, i: F.size(F.array_intersect(_pairs_of(joined(x, i)), known)))
+    parts = parts.select("key", "number", "lines", _once(added).alias("added"))
+    at = parts.select("*", F.explode(F.sequence(F.lit(0), F.size("lines") - 1)).alias("start"))
+    last = F.least(F.size("lines") - 1, F.col("start") + longest - 1)
+    at = at.select("*", F.explode(F.sequence(F.col("start"), last)).alias("end"))
+    ends = (F.get("added", "start") > 0) & ((F.get("added", "end") > 0) | (F.get("added", F.col("end") - 1) > 0))
+    within = F.slice("added", F.col("start") + 1, F.col("end") - F.col("start") + 1)
+    enough = F.aggregate(within, F.lit(0), lambda a, b: a + b) >= least
+    at = at.filter(((F.col("start") == F.col("end")) | ends) & enough)
+    text = F.flatten(F.slice("lines", F.col("start") + 1, F.col("end") - F.col("start") + 1))
+    return at.select(*_PLACE, _once(_grams_of(text)).alias("grams")).filter(covers)
 
 
 def notices(docs: DataFrame, weights: DataFrame, bias: list[float]) -> DataFrame:
-    """key, number, family, probability and coverage of every confirmed paragraph."""
+    """key, family and probability of every confirmed notice."""
     spark = docs.sparkSession
     forms = templates(spark).select("family", "template", grams("text").alias("grams"))
     form_grams = forms.select("family", "template", F.size("grams").alias("size"), F.explode("grams").alias("g"))
@@ -196,23 +233,29 @@ def notices(docs: DataFrame, weights: DataFrame, bias: list[float]) -> DataFrame
     # one bounded table of all grams that matter, in the model or in a template
     known = saved(weights.join(in_forms, "gram", "full"), "licence-grams")
     found = (
-        paragraphs(docs).select("key", "number", F.explode(F.transform(_grams_of(F.col("words")), lambda g: F.xxhash64(g))).alias("gram"))
+        windows(docs).select(*_PLACE, F.explode(F.transform("grams", lambda g: F.xxhash64(g))).alias("gram"))
         .join(F.broadcast(known), "gram")  # at most GRAMS and the templates' grams
-        .groupBy("key", "number", "gram").agg(F.first("weights").alias("weights"), F.first("forms").alias("forms"))
+        .groupBy(*_PLACE, "gram").agg(F.first("weights").alias("weights"), F.first("forms").alias("forms"))
     )  # copies of a text give its grams once
     found = saved(found, "licence-found")
     sums = [F.coalesce(F.sum(F.get("weights", F.lit(i))), F.lit(0.0)) + b for i, b in enumerate(bias)]
-    scored = found.groupBy("key", "number").agg(F.array(*sums).alias("s"))
+    scored = found.groupBy(*_PLACE).agg(F.array(*sums).alias("s"))
     top = F.array_max("s")
     total = F.aggregate(F.transform("s", lambda x: F.exp(x - top)), F.lit(0.0), lambda a, b: a + b)
-    predicted = scored.select("key", "number", (F.array_position("s", top) - 1).cast("int").alias("family"), (1 / total).alias("probability"))
+    predicted = scored.select(*_PLACE, (F.array_position("s", top) - 1).cast("int").alias("family"), (1 / total).alias("probability"))
     predicted = predicted.filter((F.col("family") != UNKNOWN) & (F.col("probability") >= PROBABILITY))
     covered = (
-        found.select("key", "number", F.explode("forms").alias("f")).select("key", "number", "f.*")
-        .groupBy("key", "number", "family", "template").agg((F.count("*") / F.first("size")).alias("coverage"))
-        .groupBy("key", "number", "family").agg(F.max("coverage").alias("coverage"))
+        found.select(*_PLACE, F.explode("forms").alias("f")).select(*_PLACE, "f.*")
+        .groupBy(*_PLACE, "family", "template").agg((F.count("*") / F.first("size")).alias("coverage"))
+        .groupBy(*_PLACE, "family").agg(F.max("coverage").alias("coverage"))
     )
-    return predicted.join(covered, ["key", "number", "family"]).filter(F.col("coverage") >= COVERAGE)
+    confirmed = predicted.join(covered, [*_PLACE, "family"]).filter(F.col("coverage") >= COVERAGE)
+    window = F.struct("end", (-F.col("start")).alias("back"), "family", "probability")
+    listed = confirmed.groupBy("key", "number").agg(F.array_sort(F.collect_list(window)).alias("w"))
+    none = F.slice("w", 1, 0)
+    after = lambda kept, w: (F.size(kept) == 0) | (-w["back"] > F.element_at(kept, F.greatest(F.size(kept), F.lit(1)))["end"])
+    kept = F.aggregate("w", none, lambda k, w: F.when(F.size(k) == 0, F.array(w)).when(after(k, w), F.concat(k, F.array(w))).otherwise(k))
+    return listed.select("key", F.explode(kept).alias("w")).select("key", "w.family", "w.probability")
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import textwrap
+
 import pytest
 from cases import DOCS, no_docs, odd_docs, prose
 
@@ -24,6 +26,22 @@ def test_families_are_found_and_confirmed(spark, texts):
     assert got[[i for i, (_, f) in enumerate(texts) if f == ["cc-by", "mit"]][0]]["n_notices"] == 3
 
 
+def test_wrapped_notices_of_each_family_are_found(spark, texts):
+    """Wrapped at 40 characters, as plain lines or as comments, with prose right before and after."""
+    rows = []
+    for family in l.FAMILIES:
+        longest = max(l.TEMPLATES[family], key=len)
+        for mark in ("", "# ", " * "):
+            lines = [mark + x for x in textwrap.wrap(longest, 40)]
+            rows.append((prose(30, len(rows)) + "\n\n" + "\n".join(lines) + "\n\n" + prose(9, 7), [family]))
+            rows.append((prose(9, len(rows)) + "\n" + "\n".join(lines) + "\n" + prose(9, 8), [family]))
+    rows += texts
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, (t, _) in enumerate(rows)], DOCS)
+    got = {r["doc_id"]: (list(r["families"]), r["n_notices"]) for r in l.scan(docs).collect()}
+    wrapped = len(rows) - len(texts)
+    assert [got[i] for i in range(wrapped)] == [(f, 1) for _, f in rows[:wrapped]]
+
+
 def test_odd_rows_and_empty_table(spark):
     assert l.scan(odd_docs(spark)).count() == 13
     assert l.scan(no_docs(spark)).collect() == []
