@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from songloom.llm import credentials, jaccard, licences, mixing, periods, sharding, supervision, token_files, toxicity, warc, winnowing
+from songloom.llm import (
+    credentials, hard_negatives, jaccard, licences, mixing, nearest, periods, sharding, supervision, token_files, toxicity, warc, winnowing,
+)
 from songloom.session import load
 
 #: Rows per Arrow batch, so that a batch of very long texts stays small.
@@ -92,6 +94,17 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents")).drop("key", "class_key")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of other labels that score nearly as high as an anchor's positives."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, moved)
+
+
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows found of every hundredth vector."""
+    return nearest.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words in all documents, some of which are given a periodic end."""
     found = periods.periodic_runs(_table(spark, sf_dir, "documents"), rewrite=periods.planted)
@@ -114,10 +127,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_mixing": op9_mixing,
     "op10_jaccard": op10_jaccard,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_nearest": op12_nearest,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE: dict[str, str] = {
     "op2_warc": warc.ROUND_TRIP_SQL,
     "op7_decontamination": winnowing.CONTAMINATION_SQL.format(documents="documents"),
+    "op11_hard_negatives": hard_negatives.MINE_SQL.format(embeddings="embeddings"),
 }
