@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ def url_parts(url: Column | str) -> Column:
     return F.when(url.rlike(_URL), F.struct(*(f.alias(n) for f, n in zip(found, names))))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def query_param(query: Column, name: str) -> Column:
     """First value of a query parameter, decoded; empty when absent."""
     raw = F.regexp_extract(query, rf"(?:^|&){name}=([^&]*)", 1)
@@ -39,17 +46,19 @@ def _first_segment(path: Column) -> Column:
 
 def derive_video_key(url: Column | str) -> Column:
     """``yt:<id>``, ``sp:<id>``, or host and path; null when malformed."""
-    u = url_parts(url)
-    host, path = _bare_host(u), u["path"]
+    return _once(url_parts(url), lambda u: _once(_bare_host(u), lambda host: F.when(u.isNotNull(), _key_at(u, host))))
+
+
+def _key_at(u: Column, host: Column) -> Column:
+    path = u["path"]
     video = query_param(u["query"], "v")
     short = _first_segment(path)
     track = F.regexp_extract(path, r"/track/([0-9A-Za-z]{22})(?:/|\z)", 1)
-    return F.when(
-        u.isNotNull(),
+    return (
         F.when(host.rlike(r"(?:^|\.)youtube\.com\z") & (video != ""), F.concat(F.lit("yt:"), video))
         .when((host == "youtu.be") & (short != ""), F.concat(F.lit("yt:"), short))
         .when((host == "open.spotify.com") & (track != ""), F.concat(F.lit("sp:"), track))
-        .otherwise(F.concat(host, F.regexp_replace(path, r"/+\z", ""))),
+        .otherwise(F.concat(host, F.regexp_replace(path, r"/+\z", "")))
     )
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.clock import round_half_up
-from ..functions.urls import derive_video_key, is_different_path
+from ..functions.urls import derive_video_key, url_parts
+from ..session import cut
 from .linkage import top_k
 from .ordered import neighbours, time_slice
 
@@ -37,121 +38,119 @@ def listen_segments(
 ) -> DataFrame:
     """T1, T2 in batch: one row per closed segment of one song in one mode.
 
-    A start resets everything before it, so a user's log is cut at its starts into
-    captures, and only the pass that finds the start of each row looks along the whole
-    user; it works on time slices. All other windows run inside one capture. The rows of
-    a segment are contiguous, hence a segment ends at the event after its last row.
-
-    A song report with another key than the open segment's opens the segment of its own URL
-    (which is taken to be the URL of that key), or of the tab when it has none; one with the
-    same key, or none, adds what it knows to the open segment.
+    What a row needs to know of the rows before it is always the newest of some kind (the last
+    start, move, claim of a key, opening), so it is carried along a user by time slices: each
+    slice hands on what is newest at its end, and no window holds more than a slice. One log
+    without a second start, of any length, spreads over tasks. Three such passes follow each
+    other: what events say, what is open and under which key, and which segment it is.
+
+    The key of an open segment is that of the place its tab shows, from a start, a move or a
+    change of mode on. A song report with a URL and another key opens the segment of that URL
+    (which is taken to be the URL of that key); one without a URL that names another key than
+    the open segment's opens the segment of the tab. A report of the same key adds what it
+    knows to the open segment.
     With ``silence_seconds``, a source silent for longer is taken as gone: its segment
     ends at its last beat and later events find nothing open. A log's open end is
     treated the same way.
     """
-    keys = [user]
-    order = ["ts", "ord"]
-    base = events.withColumn(
-        "_key", F.when(F.col("url").isNotNull(), derive_video_key("url"))
-    )
-    started = F.col("kind") == "start"
-    reported = (F.col("kind") == "song") & F.col("song.videoKey").isNotNull()
-    capture = F.struct(F.col("ts").alias("ts"), F.col("ord").alias("ord"))
+    keys, order = [user], ["ts", "ord"]
+    piece = time_slice("ts", slice_seconds)
+    place = F.struct(*order)
+    started, sung = F.col("kind") == "start", F.col("kind") == "song"
+    spot = url_parts("url")
+    at = F.struct(
+        F.col("url").alias("url"), derive_video_key("url").alias("key"),
+        F.struct(*(spot[n] for n in ("scheme", "host", "port", "path"))).alias("path"), spot.isNotNull().alias("known"),
+    )
+    base = events.withColumns({
+        "_at": F.when(F.col("url").isNotNull(), at),
+        "_told": F.when(sung, F.col("song.videoKey")),
+        "_told_url": F.when(sung, F.nullif(F.col("song.videoUrl"), F.lit(""))),
+    })
+    base = base.withColumn("_told_key", F.when(F.col("_told").isNotNull(), derive_video_key("_told_url")))
+    moved = F.col("kind").isin("start", "navigate")
+    by_tab = started | (F.col("kind") == "mode") | ((F.col("kind") == "navigate") & F.col("_at.key").isNotNull())
+    by_url = F.col("_told").isNotNull() & F.col("_told_url").isNotNull()
+    by_name = F.col("_told").isNotNull() & F.col("_told_url").isNull()
+
+    # What the events say: start, tab, mode and song in force, and the name told last.
     known = neighbours(
-        base,
-        keys,
-        order,
-        time_slice("ts", slice_seconds),
+        base, keys, order, piece,
         following={"_next": F.col("ts")},
         last={
-            "_start": F.when(started, capture),
+            "_start": F.when(started, place),
+            "_tab": F.when(started | (moved & F.col("url").isNotNull()), F.struct(F.col("_at").alias("at"))),
             "_set_mode": F.when((F.col("kind") == "mode") | started, F.col("mode")),
-            "_known": F.when(reported, F.col("song")),
+            "_known": F.when(F.col("_told").isNotNull(), F.col("song")),
+            "_name": F.when(by_tab, F.struct(F.lit(None).cast("string").alias("k")))
+            .when(by_url, F.struct(F.col("_told_key").alias("k")))
+            .when(by_name, F.struct(F.col("_told").alias("k"))),
         },
-    )
-    known = known.withColumn("_start", F.when(started, capture).otherwise(F.col("_start")))
-    rows = known.filter("_start is not null")
-
-    # Inside one capture. The tab is where the capture runs: its start or last move.
-    inside = W.partitionBy(*keys, "_start").orderBy(*order)
-    before = inside.rowsBetween(W.unboundedPreceding, -1)
-    until = inside.rowsBetween(W.unboundedPreceding, 0)
-    moved_to = F.when(F.col("kind").isin("start", "navigate") & F.col("url").isNotNull(), F.col("url"))
-    rows = rows.withColumn("_tab", F.last(moved_to, ignorenulls=True).over(before))
-    away = (F.col("kind") == "navigate") & is_different_path(F.col("_tab"), F.col("url"))
+    )
+    known = known.withColumns({
+        "_start": F.when(started, place).otherwise(F.col("_start")),
+        "_tab": F.when(~started, F.col("_tab.at")),
+    })
+    rows = cut(known.filter("_start is not null"))
+
+    # What is open, and its key: null stands for the key of the tab. Of reports without a URL
+    # only one that names another key than was told before it can matter.
+    both = F.coalesce(F.col("_at.known") & F.col("_tab.known"), F.lit(False))
+    same_place = F.when(both, F.col("_at.path") == F.col("_tab.path")).otherwise(F.col("url").eqNullSafe(F.col("_tab.url")))
+    ends = ((F.col("kind") == "navigate") & ~same_place) | F.col("kind").isin("stop", "close")
     silent = F.lit(False)
     if silence_seconds is not None:
         silent = F.coalesce((_micros("_next") - _micros("ts")) > silence_seconds * 1_000_000, F.lit(False))
-    ends = F.coalesce(away, F.lit(False)) | F.col("kind").isin("stop", "close")
     rows = rows.withColumns({"_ends": ends, "_silent": silent})
-    state = F.when(F.col("_silent") | F.col("_ends"), F.lit(False)).when(started, F.lit(True))
-    tab_key = derive_video_key(F.col("_tab"))
-    told_url = F.when(F.col("kind") == "song", F.nullif(F.col("song.videoUrl"), F.lit("")))
-    report_key = derive_video_key(F.coalesce(told_url, F.col("_tab")))
-    # A report whose key is not that of the place it opens (the tab) leaves a segment of its own
-    # key alone: what it claims depends on what is open.
-    odd = reported & told_url.isNull() & ~report_key.eqNullSafe(F.col("song.videoKey"))
-    claimed = (
-        F.when(started, F.struct(F.col("_key").alias("k")))
-        .when((F.col("kind") == "mode"), F.struct(tab_key.alias("k")))
-        .when((F.col("kind") == "navigate") & F.col("_key").isNotNull(), F.struct(F.col("_key").alias("k")))
-        .when(reported & ~odd, F.struct(report_key.alias("k")))
-    )
-    rows = rows.withColumns({"_state": state, "_claim": claimed, "_odd": odd, "_report_key": report_key, "_told_url": told_url})
-    # Between two rows that claim outright, the first odd report that differs from the claim
-    # moves the segment to the tab, where it stays.
-    rows = rows.withColumns({
-        "_run": F.last(F.when(F.col("_claim").isNotNull(), capture), ignorenulls=True).over(until),
-        "_base": F.last("_claim", ignorenulls=True).over(before),
-    })
-    moves = F.col("_odd") & ~F.col("song.videoKey").eqNullSafe(F.col("_base")["k"])
-    in_run = W.partitionBy(*keys, "_start", "_run").orderBy(*order)
-    moved = F.first(F.when(moves, F.struct(F.col("_report_key").alias("k"))), ignorenulls=True)
-    rows = rows.withColumn("_moved", moved.over(in_run.rowsBetween(W.unboundedPreceding, 0)))
-    rows = rows.withColumn("_here", F.coalesce("_claim", "_moved"))
-    rows = rows.withColumns(
-        {
-            "_open": F.coalesce(F.last("_state", ignorenulls=True).over(before), F.lit(False)),
-            "_current": F.last("_here", ignorenulls=True).over(before)["k"],
-        }
+    other = by_name & ~F.col("_told").eqNullSafe(F.col("_name.k"))
+    rows = neighbours(
+        rows, keys, order, piece,
+        last={
+            "_open": F.when(F.col("_silent") | F.col("_ends"), F.lit(False)).when(started, F.lit(True)),
+            "_here": F.when(by_tab | other, F.struct(F.lit(True).alias("tab"), F.lit(None).cast("string").alias("k")))
+            .when(by_url, F.struct(F.lit(False).alias("tab"), F.col("_told_key").alias("k"))),
+        },
+    )
+    rows = rows.withColumn("_open", F.coalesce("_open", F.lit(False)) & ~started).filter(F.col("_open") | started)
+    current = F.when(F.col("_here.tab"), F.col("_tab.key")).otherwise(F.col("_here.k"))
+    new_key = (
+        F.when(moved, F.col("_at.key"))
+        .when(sung & F.col("_told_url").isNotNull(), F.col("_told_key"))
+        .otherwise(F.col("_tab.key"))
     )
-    new_key = F.when(F.col("_odd"), F.col("_report_key")).otherwise(F.col("_claim")["k"])
-    told = F.when(F.col("kind") == "song", F.col("song.videoKey")).when(F.col("kind") == "navigate", new_key)
-    changes = told.isNotNull() & ~told.eqNullSafe(F.col("_current"))
+    told = F.when(sung, F.col("_told")).when(F.col("kind") == "navigate", F.col("_at.key"))
+    changes = told.isNotNull() & ~told.eqNullSafe(current)
     opens = started | (F.col("_open") & ~F.col("_ends") & ((F.col("kind") == "mode") | changes))
-    closes = F.col("_open") & F.col("_ends")
-    rows = rows.filter(F.col("_open") | started).withColumns({"_opens": opens, "_closes": closes})
-    rows = rows.withColumn(
-        "_segment", F.last(F.when(F.col("_opens"), capture), ignorenulls=True).over(until)
-    )
-    place = F.struct(*order)
-    # A mode change hands its metadata on; a start or move takes the last report of the
-    # same key.
-    seeded = F.col("_opens") & F.col("kind").isin("start", "navigate")
-    seed = F.when(seeded & (F.col("_known")["videoKey"] == F.col("_key")), F.col("_known"))
-    report = F.when(F.col("kind") == "song", F.col("song"))
-
-    rows = rows.withColumn("_mode_now", F.coalesce(F.col("mode"), F.col("_set_mode")))
-    rows = rows.withColumn("_reset", F.when(F.col("_opens") & (F.col("kind") != "mode"), capture))
-    rows = rows.withColumn("_meta_from", F.last("_reset", ignorenulls=True).over(until))
-    meta = W.partitionBy(*keys, "_start", "_meta_from").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumns({"_opens": opens, "_closes": F.col("_open") & F.col("_ends"), "_new_key": new_key})
+
+    # Which segment it is, and what is known of its song. A mode change hands its metadata on; a
+    # start or move takes the last report of the same key.
+    reset = F.col("_opens") & (F.col("kind") != "mode")
+    seed = F.when(F.col("_opens") & moved & (F.col("_known.videoKey") == F.col("_at.key")), F.col("_known"))
+    report = F.when(sung, F.col("song"))
     fields = ("songTitle", "trackName", "artistName")
-    rows = rows.withColumns(
-        {
-            f"_{f}": F.last(F.nullif(F.coalesce(report[f], seed[f]), F.lit("")), ignorenulls=True).over(meta)
-            for f in fields
-        }
-    )
-    rows = rows.withColumn("_tab_now", F.coalesce(moved_to, F.col("_tab")))
+    said = {f: F.nullif(F.coalesce(report[f], seed[f]), F.lit("")) for f in fields}
+    rows = rows.withColumns({
+        "_opened": F.when(F.col("_opens"), place),
+        **{f"_is_{f}": F.when(reset | said[f].isNotNull(), F.struct(said[f].alias("v"))) for f in fields},
+    })
+    rows = neighbours(
+        rows, keys, order, piece,
+        last={"_segment": F.col("_opened"), **{f"_was_{f}": F.col(f"_is_{f}") for f in fields}},
+    )
+    rows = rows.withColumns({
+        "_segment": F.coalesce("_opened", "_segment"),
+        **{f"_{f}": F.coalesce(f"_is_{f}", f"_was_{f}")["v"] for f in fields},
+    })
     opened = F.col("_opens")
-    url = F.when(opened & (F.col("kind") != "song"), F.col("_tab_now")).when(opened, F.coalesce("_told_url", "_tab")).otherwise(F.col("_told_url"))
-    segments = rows.groupBy(*keys, "_start", "_segment").agg(
-        F.max(F.when(opened, new_key)).alias("videoKey"),
+    tab_now = F.coalesce(F.when(moved, F.col("url")), F.col("_tab.url"))
+    url = F.when(opened & ~sung, tab_now).when(opened, F.coalesce("_told_url", "_tab.url")).otherwise(F.col("_told_url"))
+    mode_now = F.coalesce("mode", "_set_mode")
+    segments = rows.groupBy(*keys, "_segment").agg(
+        F.max(F.when(opened, F.col("_new_key"))).alias("videoKey"),
         F.max_by(url, F.when(url.isNotNull(), place)).alias("videoUrl"),
-        F.max_by("_songTitle", place).alias("songTitle"),
-        F.max_by("_trackName", place).alias("trackName"),
-        F.max_by("_artistName", place).alias("artistName"),
-        F.max(F.when(opened, F.col("_mode_now"))).alias("filterMode"),
+        *(F.max_by(f"_{f}", place).alias(f) for f in fields),
+        F.max(F.when(opened, mode_now)).alias("filterMode"),
         F.min(F.when(opened, F.col("ts"))).alias("startedAt"),
         F.max(F.when(F.col("kind").isin("beat") | opened, F.col("ts"))).alias("_beat"),
         F.min(F.when(F.col("_closes"), F.col("ts"))).alias("_closed"),

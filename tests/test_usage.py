@@ -111,6 +111,29 @@ def test_segments_equal_sequential_meaning(spark, logs, silence):
         assert have == want and len(want) >= 5
 
 
+@pytest.mark.parametrize("silence", [None, 600])
+def test_one_start_spreads_over_slices(spark, silence):
+    """A log of one start that nothing ends; every pass works on slices of an hour."""
+    rng, rows, ts = random.Random(9), [], T0
+    for i in range(8000):
+        ts += timedelta(seconds=rng.choice([1, 5, 60, 300, 700]))
+        kind = "start" if not i else rng.choice(["navigate", "song", "song", "song", "mode"] + ["beat"] * 4)
+        url = "https://youtube.com/watch?v=" + rng.choice("ab") if kind in ("start", "navigate") else None
+        named = rng.choice(["yt:a", "yt:b", "yt:c", None])
+        place = rng.choice(["https://youtube.com/watch?v=" + named[3:], None, None]) if named else None
+        song = (named, rng.choice(["A", "B", None]), None, None, place) if kind == "song" else None
+        rows.append(("hot", ts, i, kind, url, "stft" if kind in ("start", "mode") else None, song))
+    df = spark.createDataFrame(rows, EVENTS)
+    found = us.listen_segments(df, silence_seconds=silence)
+    got = sorted(((r["videoKey"], r["songTitle"], r["filterMode"], r["videoUrl"], r["startedAt"], r["endedAt"])
+                  for r in found.collect()), key=lambda r: r[4])
+    assert got == [(k, t, m, u, s.replace(tzinfo=None), e.replace(tzinfo=None)) for k, t, m, u, s, e in spec(rows, silence)]
+    # rows meet their neighbours by (user, slice); only what slices hand on is sorted by user alone
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and all("_slice" in line.rpartition("], [user")[2] or "_s_" in line for line in windows)
+
+
 @pytest.fixture(scope="module")
 def segments(spark):
     def row(u, k, mode, s, day):
