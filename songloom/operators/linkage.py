@@ -266,10 +266,16 @@ def search_broad(wants: DataFrame, catalog: DataFrame, share: float = 0.5) -> Da
 
 
 # ── Fuzzy join ───────────────────────────────────────────────────────────────
-# Pigeonhole blocking after Pass-Join (Li, Deng, Wang, Feng, VLDB 2011): cut a string
-# into k+1 segments; within k edits at least one segment survives in the other string,
-# at a start position the edit budget bounds. k depends on the longer of the two
-# lengths, so it is part of the join key together with the row length.
+# Pigeonhole blocking after Pass-Join (Li, Deng, Wang, Feng, VLDB 2011). k edits between two
+# strings leave one of k+1 segments of the longer one unharmed, at a place in the shorter one
+# that the edits left and right of it bound. k depends on the longer length alone, so the
+# longer string is cut for its own k, and the shorter one lists its substrings of the lengths
+# such segments can have, once for all partners. They meet on the hash of the piece, a
+# stretch of places and a class of lengths; the bounds are checked on what meets.
+
+#: Places of a stretch.
+STRETCH = 16
+
 
 def _limit(length: Column, percent: int, least: int) -> Column:
     return F.greatest(F.lit(least), F.floor(length * percent / 100).cast("int"))
@@ -281,57 +287,90 @@ def _longest_partner(length: Column, percent: int, least: int) -> Column:
     return F.greatest(length + least, by_share)
 
 
-def segment_index(strings: DataFrame, name: str, percent: int, least: int) -> DataFrame:
-    """Rows of the index side: one per (k, segment) of each string."""
-    n = F.length(name)
-    ks = F.array_distinct(
-        F.transform(
-            F.sequence(n, _longest_partner(n, percent, least)), lambda m: _limit(m, percent, least)
-        )
-    )
-    df = strings.select("*", n.alias("n"), F.explode(ks).alias("k"))
-    df = df.select("*", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("seg"))
-    start = F.floor(F.col("seg") * F.col("n") / (F.col("k") + 1)).cast("int")
-    end = F.floor((F.col("seg") + 1) * F.col("n") / (F.col("k") + 1)).cast("int")
-    return df.withColumn("piece", F.substr(F.col(name), start + 1, end - start))
-
-
-def segment_probes(strings: DataFrame, name: str, percent: int, least: int) -> DataFrame:
-    """Rows of the probe side: every substring a segment of a partner can match."""
-    m = F.length(name)
-    shortest = F.greatest(F.lit(1), m - _limit(m, percent, least))
-    lengths = F.sequence(shortest, _longest_partner(m, percent, least))
-    df = strings.select("*", F.explode(lengths).alias("n"))
-    df = df.withColumn("k", _limit(F.greatest(m, F.col("n")), percent, least))
-    df = df.filter(F.abs(m - F.col("n")) <= F.col("k"))
-    df = df.select("*", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("seg"))
+def _length_class(length: Column) -> Column:
+    return F.floor(F.log(F.greatest(length, F.lit(1)).cast("double")) * 4)
+
+
+def _stretch(place: Column) -> Column:
+    return F.floor(place / STRETCH)
+
+
+def long_pieces(strings: DataFrame, percent: int, least: int) -> DataFrame:
+    """Segments of each string ``s`` as the longer one of a pair: ``id, n, k, seg, start, key``."""
     n, k, seg = F.col("n"), F.col("k"), F.col("seg")
+    df = strings.withColumn("n", F.length("s")).withColumn("k", _limit(n, percent, least))
+    # a string shorter than k + 1 has empty segments, which are in all strings: the first is enough
+    segments = F.when(n <= k, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), k))
+    df = df.withColumn("seg", F.explode(segments))
     start = F.floor(seg * n / (k + 1)).cast("int")
     size = F.floor((seg + 1) * n / (k + 1)).cast("int") - start
-    # Edits left of the segment are at most ``seg``, right of it at most ``k − seg``.
-    shift = m - n
-    low = F.greatest(F.lit(0), start - seg, start + shift - (k - seg))
-    high = F.least(m - size, start + seg, start + shift + (k - seg))
-    df = df.withColumns({"size": size, "low": low, "high": high}).filter("low <= high")
-    pieces = F.transform(
-        F.sequence("low", "high"), lambda at: F.substr(F.col(name), at + 1, F.col("size"))
-    )
-    df = df.withColumn("piece", F.explode(F.array_distinct(pieces)))
-    return df.drop("size", "low", "high")
+    df = df.withColumns({"start": start, "size": size})
+    # Edits left of the segment are at most ``seg``, right of it at most ``k - seg``.
+    low = F.greatest(F.lit(0), F.col("start") - seg)
+    high = F.least(F.col("start") + F.least(seg, k - seg), n - F.col("size"))
+    df = df.withColumn("stretch", F.explode(F.sequence(_stretch(low), _stretch(high))))
+    df = df.withColumn("class", F.explode(F.sequence(_length_class(n - k), _length_class(n))))
+    piece = F.substr(F.col("s"), F.col("start") + 1, F.col("size"))
+    return df.select("id", "n", "k", "seg", "start", F.xxhash64("block", piece, "stretch", "class").alias("key"))
+
+
+def short_pieces(strings: DataFrame, percent: int, least: int) -> DataFrame:
+    """Substrings of each string ``s`` as the shorter one of a pair: ``id, m, place, key``."""
+    m = F.col("m")
+    df = strings.withColumn("m", F.length("s"))
+
+    def sizes(n: Column) -> Column:
+        """Lengths of the segments of a partner of ``n`` characters."""
+        cut_into = _limit(n, percent, least) + 1
+        return F.sequence(F.floor(n / cut_into).cast("int"), F.ceil(n / cut_into).cast("int"))
+
+    partners = F.sequence(m, _longest_partner(m, percent, least))
+    wanted_sizes = F.array_distinct(F.flatten(F.transform(partners, sizes)))
+    df = df.withColumn("size", F.explode(F.filter(wanted_sizes, lambda x: x <= m)))
+    places = F.when(F.col("size") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), m - F.col("size")))
+    df = df.withColumn("place", F.explode(places))
+    piece = F.substr(F.col("s"), F.col("place") + 1, F.col("size"))
+    return df.select("id", "m", "place", F.xxhash64("block", piece, _stretch(F.col("place")), _length_class(m)).alias("key"))
+
+
+def similar_rows(
+    left: DataFrame, right: DataFrame, a: str, b: str, percent: int, least: int,
+    blocks: tuple[DataFrame, DataFrame] | None = None,
+) -> DataFrame:
+    """Pairs of distinct rows whose strings ``a`` and ``b`` are within
+    ``max(least, ⌊percent·longer⌋)`` edits.
+
+    With ``blocks`` (the rows of either side, with a column ``block``; a row may be in several)
+    only rows that share a block must be found. Rows travel as hashes of their columns; texts are
+    fetched for the pairs that meet and compared, so hashes that collide do no harm.
+    """
+    lefts, rights = blocks or (left, right)
+
+    def listed(df: DataFrame, columns: list[str], name: str) -> DataFrame:
+        block = F.col("block") if blocks else F.lit(0)
+        return df.select(F.xxhash64(*columns).alias("id"), F.col(name).alias("s"), block.alias("block")).distinct()
 
+    def meet(longer: DataFrame, shorter: DataFrame, gap: int, names: tuple[str, str]) -> DataFrame:
+        met = long_pieces(longer, percent, least).withColumnRenamed("id", names[0]).join(
+            short_pieces(shorter, percent, least).withColumnRenamed("id", names[1]), "key"
+        )
+        apart, moved = F.col("n") - F.col("m"), F.col("place") - F.col("start")
+        possible = apart.between(F.lit(gap), F.col("k")) & (F.abs(moved) <= F.col("seg"))
+        return met.filter(possible & (F.abs(moved + apart) <= F.col("k") - F.col("seg"))).select("lid", "rid")
 
-_BLOCK = ["n", "k", "seg", "piece"]
+    of_left, of_right = listed(lefts, left.columns, a), listed(rights, right.columns, b)
+    pairs = meet(of_left, of_right, 0, ("lid", "rid")).union(meet(of_right, of_left, 1, ("rid", "lid"))).distinct()
+    texts = [df.withColumn(name, F.xxhash64(*df.columns)) for df, name in ((left, "lid"), (right, "rid"))]
+    near = tx.within(F.col(a), F.col(b), tx.tolerance(F.col(a), F.col(b), percent, least))
+    return pairs.join(texts[0], "lid").join(texts[1], "rid").filter(near).drop("lid", "rid")
 
 
 def similar_strings(
     left: DataFrame, right: DataFrame, a: str, b: str, percent: int, least: int
 ) -> DataFrame:
     """Distinct pairs ``(a, b)`` within ``max(least, ⌊percent·longer⌋)`` edits."""
-    probes = segment_probes(left.select(a).filter(F.col(a) != "").distinct(), a, percent, least)
-    index = segment_index(right.select(b).filter(F.col(b) != "").distinct(), b, percent, least)
-    pairs = probes.join(index, _BLOCK).select(a, b)
-    near = tx.within(F.col(a), F.col(b), tx.tolerance(F.col(a), F.col(b), percent, least))
-    return pairs.filter(near).distinct()
+    strings = [df.select(c).filter(F.col(c) != "").distinct() for df, c in ((left, a), (right, b))]
+    return similar_rows(*strings, a, b, percent, least)
 
 
 def containing_strings(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
@@ -369,12 +408,6 @@ def _buckets(c: str, width: int, spread: int = 0) -> Column:
     return F.explode(F.array(*(base + i for i in range(-spread, spread + 1))))
 
 
-def _near(probes: DataFrame, index: DataFrame, on: list[str], percent: int, least: int, keep: list[str]) -> DataFrame:
-    wt, rt = F.col("w_track"), F.col("r_track")
-    near = tx.within(wt, rt, tx.tolerance(wt, rt, percent, least))
-    return probes.join(index, on).select(*keep).filter(near).distinct()
-
-
 def fuzzy_link(wants: DataFrame, rows: DataFrame) -> DataFrame:
     """Every pair of want and row signatures that passes P2.
 
@@ -410,23 +443,24 @@ def fuzzy_link(wants: DataFrame, rows: DataFrame) -> DataFrame:
         .join(timed_rows.withColumn("slot", _buckets("r_duration", 5, 1)), ["r_track", "slot"])
         .filter(apart <= 5)
     )
-    pair = ["w_artist", "w_track", "r_artist", "r_track"]
-    by_artist = _near(
-        segment_probes(named.select("w_artist", "w_track").distinct(), "w_track", 30, 3).join(artists, "w_artist"),
-        segment_index(rows.select("r_artist", "r_track").distinct(), "r_track", 30, 3),
-        ["r_artist", *_BLOCK], 30, 3, pair,
-    )
+    # Only strong artists, and only lengths near each other, must meet on pieces of titles.
+    songs = named.select("w_artist", "w_track").distinct()
+    titled = rows.select("r_artist", "r_track").distinct()
+    artist = F.xxhash64("r_artist").alias("block")
+    by_artist = similar_rows(
+        songs, titled, "w_track", "r_track", 30, 3,
+        (songs.join(artists, "w_artist").select("w_artist", "w_track", artist), titled.select("*", artist)),
+    ).filter(tx.keys_strong(F.col("r_artist"), F.col("w_artist")))
     path_a = named.join(by_artist, ["w_artist", "w_track"]).join(rows, ["r_artist", "r_track"])
 
     slotted_wants = timed_wants.withColumn("slot", F.floor(F.col("w_duration") / 3))
     slotted_rows = timed_rows.withColumn("slot", _buckets("r_duration", 3, 1))
-    by_slot = _near(
-        segment_probes(slotted_wants.select("w_track", "slot").distinct(), "w_track", 35, 4),
-        segment_index(slotted_rows.select("r_track", "slot").distinct(), "r_track", 35, 4),
-        ["slot", *_BLOCK], 35, 4, ["w_track", "r_track", "slot"],
+    by_slot = similar_rows(
+        timed_wants.select("w_track").distinct(), timed_rows.select("r_track").distinct(), "w_track", "r_track", 35, 4,
+        tuple(df.select(c, F.col("slot").alias("block")) for df, c in ((slotted_wants, "w_track"), (slotted_rows, "r_track"))),
     )
     path_b = (
-        slotted_wants.join(by_slot, ["w_track", "slot"])
+        slotted_wants.join(by_slot, "w_track")
         .join(slotted_rows, ["r_track", "slot"])
         .filter(apart <= 3)
     )

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from songloom.functions import text as tx
 from songloom.operators import linkage as lk
 
 WANTS = "want_id int, artist string, track string, duration double"
@@ -69,6 +70,33 @@ def test_blocked_join_equals_brute_force(spark, seed):
     assert len(got) == len(set(got)) and set(got) == expected and len(expected) > 100
 
 
+@pytest.mark.parametrize("percent, least", [(15, 2), (20, 2), (30, 3), (35, 4)])
+def test_similar_strings_of_all_lengths(spark, percent, least):
+    """Strings of 1 to 120 letters with edits around the tolerance, against all pairs."""
+    rng = random.Random(percent)
+    rows = ["".join(rng.choice("abcd ") for _ in range(n)) for n in [*range(1, 12), *range(14, 121, 9)]]
+
+    def edited(s):
+        for _ in range(int(max(least, len(s) * percent / 100) * rng.choice([0.5, 0.9, 1, 1.1, 1.3]))):
+            i = rng.randint(0, len(s))
+            s = rng.choice([s[:i] + rng.choice("abcd") + s[i:], s[:i] + s[i + 1 :], s[:i] + "e" + s[i + 1 :]])
+        return s
+
+    wants = [edited(s) for s in rows for _ in range(4)] + rows[::3]
+    left, right = (spark.createDataFrame([(x,) for x in xs], f"{c} string") for xs, c in ((wants, "a"), (rows, "b")))
+    near = tx.within(F.col("a"), F.col("b"), tx.tolerance(F.col("a"), F.col("b"), percent, least))
+    want = {tuple(r) for r in left.crossJoin(right).filter("a <> ''").filter(near).collect()}
+    got = [tuple(r) for r in lk.similar_strings(left, right, "a", "b", percent, least).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > len(rows)
+
+
+@pytest.mark.parametrize("percent, least", [(30, 3), (35, 4)])
+def test_pieces_of_long_titles_are_few(spark, percent, least):
+    title = "".join(random.Random(1).choice("abcdefghij ") for _ in range(100))
+    df = spark.createDataFrame([(1, title, 0)], "id long, s string, block int")
+    assert lk.long_pieces(df, percent, least).count() + lk.short_pieces(df, percent, least).count() < 1000
+
+
 def test_pick_best_keeps_the_synced_copy_and_ties_in_order(spark):
     catalog = rows_df(spark, [
         (1, "Adele", "Hello", None, 295.0, None, "plain"),
