@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 FFT, HOP = 2048, 512
@@ -106,8 +107,14 @@ def _spans(clips: DataFrame, blocks: int, before: Column, after: Column) -> Data
     return clips.withColumn("span", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
 
 
-def _stack(pdf: pd.DataFrame, side: str) -> np.ndarray:
-    return np.concatenate(pdf[side].to_numpy()).astype(np.float64)
+def _placed(pdf: pd.DataFrame, side: str, first: int, count: int, block: int) -> np.ndarray:
+    """Samples of ``count`` blocks from block ``first`` on; blocks that are missing are silent."""
+    out = np.zeros((count, block))
+    at = pdf["block_idx"].to_numpy() - first
+    inside = (at >= 0) & (at < count)
+    if inside.any():
+        out[at[inside]] = np.stack(pdf[side].to_numpy()[inside])
+    return out.reshape(-1)
 
 
 def _blocks_of(left: np.ndarray, right: np.ndarray, size: int) -> tuple[list, list]:
@@ -203,56 +210,74 @@ def overlap_add(frame_table: DataFrame) -> DataFrame:
     return met.select("clip_id", "hop_idx", total("left"), total("right"))
 
 
+def _spectral(left: np.ndarray, right: np.ndarray, sr: int, atten: float, depth: float) -> tuple[np.ndarray, np.ndarray]:
+    """X2–X5 over a stretch of whole hops: the sum of its filtered frames."""
+    total_l, total_r = np.zeros(len(left)), np.zeros(len(right))
+    count = max(0, (len(left) - FFT) // HOP + 1)
+    if count:
+        view = np.lib.stride_tricks.sliding_window_view
+        out_l, out_r = _filtered(view(left, FFT)[::HOP][:count], view(right, FFT)[::HOP][:count], sr, atten, depth)
+        for i in range(OVERLAP):  # frames i, i+4, … do not overlap each other
+            tiles = out_l[i::OVERLAP]
+            at = slice(i * HOP, i * HOP + tiles.size)
+            total_l[at] += tiles.reshape(-1)
+            total_r[at] += out_r[i::OVERLAP].reshape(-1)
+    return total_l, total_r
+
+
+def _with_last(clips: DataFrame) -> DataFrame:
+    """Blocks with the last block of their clip, from a pass over block numbers only."""
+    return clips.join(clips.groupBy("clip_id").agg(F.max("block_idx").alias("_last")), "clip_id")
+
+
+def _span_blocks(pdf: pd.DataFrame, block: int, span_blocks: int, halo: int, kernel) -> pd.DataFrame:
+    """Blocks of one span after ``kernel(left, right)`` over the span and its halos.
+
+    The kernel returns the samples and by how many blocks they come late. The output goes on from
+    the clip's first block number 0 to its last, whether or not blocks are missing.
+    """
+    clip, span, last = pdf["clip_id"].iloc[0], int(pdf["span"].iloc[0]), int(pdf["_last"].iloc[0])
+    low, high = span * span_blocks, min((span + 1) * span_blocks, last + 1)
+    if low > last:  # the span only holds the halo of the one before
+        return pd.DataFrame(columns=["clip_id", "block_idx", "left", "right"], dtype=object)
+    origin = max(0, low - halo)
+    count = min((span + 1) * span_blocks + halo, last + 1) - origin
+    left, right, delay = kernel(*(_placed(pdf, side, origin, count, block) for side in ("left", "right")))
+    size = slice((low - origin) * block, (high - origin) * block)
+    blocks_l, blocks_r = _blocks_of(left[size], right[size], block)
+    out = pd.DataFrame({"clip_id": clip, "block_idx": np.arange(low, high) + delay, "left": blocks_l, "right": blocks_r})
+    return out[out["block_idx"] <= last]
+
+
+def _lead(clips: DataFrame, block: int) -> DataFrame:
+    """The silence before the first filtered frame: one block for each of the first blocks."""
+    silence = F.array_repeat(F.lit(0.0).cast("float"), block)
+    first = clips.groupBy("clip_id").agg(F.max("block_idx").alias("_last"))
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.least(F.col("_last"), F.lit(FFT // block - 1)))
+    return first.select("clip_id", F.explode(numbers).alias("block_idx"), silence.alias("left"), silence.alias("right"))
+
+
+def _of_span(clips: DataFrame, span_blocks: int, halo: Column, run, schema: str) -> DataFrame:
+    return _spans(_with_last(clips), span_blocks, halo, halo).groupBy("clip_id", "span").applyInPandas(run, schema)
+
+
 def remove_center(
     clips: DataFrame, atten: float = 0.85, depth: float = 0.0, block: int = BLOCK, span_hops: int = SPAN_HOPS
 ) -> DataFrame:
-    """X1–X5 in one stage: filtered blocks, one frame late, as many as came in.
+    """X1–X5 in one stage: filtered blocks from 0 to the clip's last, one frame late.
 
     A span of hops needs the frames that touch it, hence a frame less one hop on either
-    side. Frames are views into the span, so overlapping samples are never shuffled.
+    side. Frames are views into the span, so overlapping samples are never shuffled. Blocks are
+    placed by their number; missing ones are silent.
     """
     atten, depth = min(max(atten, 0.0), 1.0), min(max(depth, 0.0), 1.0)
-    per_hop = HOP // block
-    halo = (OVERLAP - 1) * per_hop
-    span_blocks = span_hops * per_hop
-    # Output block b is the sum at block b − delay: spans are laid over that source.
-    delay = FFT // block
-    sizes = clips.groupBy("clip_id").agg(F.max("block_idx").alias("_last"))
+    halo, span_blocks = (OVERLAP - 1) * HOP // block, span_hops * HOP // block
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block_idx")
-        clip, sr, span = pdf["clip_id"].iloc[0], int(pdf["sr"].iloc[0]), int(pdf["span"].iloc[0])
-        first = int(pdf["block_idx"].iloc[0])
-        left, right = _stack(pdf, "left"), _stack(pdf, "right")
-        origin = first // per_hop  # spans and halos are whole hops
-        count = max(0, (len(left) - FFT) // HOP + 1)
-        total_l, total_r = np.zeros(len(left)), np.zeros(len(right))
-        if count:
-            view = np.lib.stride_tricks.sliding_window_view
-            out_l, out_r = _filtered(
-                view(left, FFT)[::HOP][:count], view(right, FFT)[::HOP][:count], sr, atten, depth
-            )
-            for i in range(OVERLAP):  # frames i, i+4, … do not overlap each other
-                tiles = out_l[i::OVERLAP]
-                at = slice(i * HOP, i * HOP + tiles.size)
-                total_l[at] += tiles.reshape(-1)
-                total_r[at] += out_r[i::OVERLAP].reshape(-1)
-        low = span * span_blocks - origin * per_hop
-        high = min(low + span_blocks, len(left) // block)
-        size = slice(low * block, high * block)
-        blocks_l, blocks_r = _blocks_of(total_l[size], total_r[size], block)
-        idx = np.arange(low, high) + first + delay
-        return pd.DataFrame({"clip_id": clip, "block_idx": idx, "left": blocks_l, "right": blocks_r})
-
-    spans = _spans(clips, span_blocks, F.lit(halo), F.lit(halo))
-    schema = _BLOCK_SCHEMA.format(id=_id_type(clips))
-    delayed = spans.groupBy("clip_id", "span").applyInPandas(run, schema)
-    silence = F.array_repeat(F.lit(0.0).cast("float"), block)
-    lead = clips.filter(F.col("block_idx") < delay).select(
-        "clip_id", "block_idx", silence.alias("left"), silence.alias("right")
-    )
-    kept = delayed.join(sizes, "clip_id").filter(F.col("block_idx") <= F.col("_last")).drop("_last")
-    return lead.unionByName(kept)
+        sr = int(pdf["sr"].iloc[0])
+        return _span_blocks(pdf, block, span_blocks, halo, lambda l, r: (*_spectral(l, r, sr, atten, depth), FFT // block))
+
+    return _lead(clips, block).unionByName(_of_span(clips, span_blocks, F.lit(halo), run, _BLOCK_SCHEMA.format(id=_id_type(clips))))
 
 
 # ── Basic mode ───────────────────────────────────────────────────────────────
@@ -294,32 +319,80 @@ def _low_pass(x: np.ndarray, a: float, width: int = 64) -> np.ndarray:
     return rows.reshape(-1)[: len(x)]
 
 
-def center_cancel(clips: DataFrame, mix: float = 0.85, block: int = BLOCK, span_hops: int = SPAN_HOPS) -> DataFrame:
+def bass_states(clips: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Blocks with ``low_l`` and ``low_r``, the low-pass of either side just before the block.
+
+    Over a block the low-pass is an affine map of its state: it keeps ``d = (1 - a)^block`` of it and
+    adds what the block leaves from rest. Composed along blocks this is a sum weighted by
+    powers of ``d``, taken in slices in which no power leaves the range of doubles; a slice hands
+    its last state to the next one, and what is older has vanished (``e^-250`` at most). Missing
+    blocks count as silence.
+    """
+    dt = 1.0 / F.col("sr").cast("double")
+    a = dt / (F.lit(1.0 / (2.0 * math.pi * BASS_CUTOFF)) + dt)
+    decay = -F.log1p(-F.col("_a")) * block  # of a block, as a logarithm
+    per_slice = F.greatest(F.lit(1), F.floor(500 / F.col("_decay")))
+
+    def left_behind(side: str) -> Column:
+        return F.aggregate(side, F.lit(0.0), lambda acc, x: acc + F.col("_a") * (x.cast("double") - acc))
+
+    base = clips.withColumn("_a", a).withColumn("_decay", decay).withColumn("_per", per_slice)
+    base = base.withColumn("_slice", F.floor(F.col("block_idx") / F.col("_per")))
+    base = base.withColumn("_at", F.col("block_idx") - F.col("_slice") * F.col("_per"))
+    base = base.withColumns({"_e_l": left_behind("left"), "_e_r": left_behind("right")})
+    weight = F.exp(F.col("_decay") * F.col("_at"))
+    to_end = F.exp(F.col("_decay") * (F.col("_at") - F.col("_per") + 1))
+    before = W.partitionBy("clip_id", "_slice").orderBy("block_idx").rowsBetween(W.unboundedPreceding, -1)
+    local = base.withColumns({f"_s_{x}": F.sum(weight * F.col(f"_e_{x}")).over(before) for x in "lr"})
+    ends = base.groupBy("clip_id", (F.col("_slice") + 1).alias("_slice")).agg(*(F.sum(to_end * F.col(f"_e_{x}")).alias(f"_c_{x}") for x in "lr"))
+
+    def state(x: str) -> Column:
+        inside = F.exp(-F.col("_decay") * (F.col("_at") - 1)) * F.coalesce(f"_s_{x}", F.lit(0.0))
+        return inside + F.exp(-F.col("_decay") * F.col("_at")) * F.coalesce(f"_c_{x}", F.lit(0.0))
+
+    both = local.join(ends, ["clip_id", "_slice"], "left")
+    return both.select(*clips.columns, state("l").alias("low_l"), state("r").alias("low_r"))
+
+
+def _low_pass_rows(x: np.ndarray, a: float, state: np.ndarray, width: int = 64) -> np.ndarray:
+    """The low-pass along each row, from a state of its own."""
+    out, carry = np.empty_like(x), state.copy()
+    for at in range(0, x.shape[1], width):
+        part = x[:, at : at + width]
+        n = part.shape[1]
+        lag = np.subtract.outer(np.arange(n), np.arange(n))
+        decay = (1.0 - a) ** np.arange(n + 1)
+        response = np.where(lag >= 0, a * decay[np.maximum(lag, 0)], 0.0)
+        out[:, at : at + n] = part @ response.T + carry[:, None] * decay[1:]
+        carry = out[:, at + n - 1]
+    return out
+
+
+def _cancelled(left: np.ndarray, right: np.ndarray, low_l: np.ndarray, low_r: np.ndarray, mix: float):
+    side = ((left - low_l) - (right - low_r)) / 2.0
+    return left * (1.0 - mix) + (low_l + side) * mix, right * (1.0 - mix) + (low_r - side) * mix
+
+
+def center_cancel(clips: DataFrame, mix: float = 0.85, block: int = BLOCK) -> DataFrame:
     """Cancel the center above 150 Hz; the low band stays. ``mix`` 0 changes nothing.
 
-    The low-pass is a recurrence over the whole clip, but it forgets: each span starts
-    from rest a halo earlier, long enough for what it missed to vanish in doubles.
+    The low-pass is a linear recurrence over the whole clip: :func:`bass_states` finds the state
+    before every block, and with it each block is filtered where it lies.
     """
     if mix == 0:
         return clips.select("clip_id", "block_idx", "left", "right")
-    span_blocks = span_hops * HOP // block
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block_idx")
-        sr, span = int(pdf["sr"].iloc[0]), int(pdf["span"].iloc[0])
-        left, right = _stack(pdf, "left"), _stack(pdf, "right")
-        a = bass_coefficient(sr)
-        low_l, low_r = _low_pass(left, a), _low_pass(right, a)
-        side = ((left - low_l) - (right - low_r)) / 2.0
-        out_l = left * (1.0 - mix) + (low_l + side) * mix
-        out_r = right * (1.0 - mix) + (low_r - side) * mix
-        blocks_l, blocks_r = _blocks_of(out_l, out_r, block)
-        out = pdf[["clip_id", "block_idx"]].assign(left=blocks_l, right=blocks_r)
-        return out[out["block_idx"] >= span * span_blocks]
-
-    schema = _BLOCK_SCHEMA.format(id=_id_type(clips))
-    spans = _spans(clips, span_blocks, F.ceil(bass_halo(F.col("sr")) / block), F.lit(0))
-    return spans.groupBy("clip_id", "span").applyInPandas(run, schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for sr, part in pdf.groupby("sr"):
+                a = bass_coefficient(int(sr))
+                left, right = (np.stack(part[s].to_numpy()).astype(np.float64) for s in ("left", "right"))
+                low_l, low_r = (_low_pass_rows(x, a, part[c].to_numpy()) for x, c in ((left, "low_l"), (right, "low_r")))
+                out = (x.astype(np.float32) for x in _cancelled(left, right, low_l, low_r, mix))
+                yield part[["clip_id", "block_idx"]].assign(**{n: list(x) for n, x in zip(("left", "right"), out)})
+
+    ready = bass_states(clips, block).select("clip_id", "sr", "block_idx", "left", "right", "low_l", "low_r")
+    return ready.mapInPandas(run, _BLOCK_SCHEMA.format(id=_id_type(clips)))
 
 
 # ── Modes and quality ────────────────────────────────────────────────────────
@@ -332,21 +405,37 @@ def stereo(clips: DataFrame) -> DataFrame:
     return clips.withColumn("right", F.coalesce("right", "left"))
 
 
-def mode_dispatch(clips: DataFrame, amount: float = 0.85, block: int = BLOCK) -> DataFrame:
-    """Each clip through the filter its ``mode`` names; unknown modes are basic."""
-    both = stereo(clips)
+def mode_dispatch(clips: DataFrame, amount: float = 0.85, block: int = BLOCK, span_hops: int = SPAN_HOPS) -> DataFrame:
+    """Each clip through the filter its ``mode`` names; unknown modes are basic.
+
+    One grouped stage for all modes: the samples are read and shuffled once, and a span takes along
+    the larger of the halos, that of the low-pass (which forgets what came before it).
+    """
+    depths = {"stft": 0.0, "stft_deep": 1.0}
     mode = F.coalesce("mode", F.lit("basic"))
-    base = both.drop("mode")
-    spectral = [
-        remove_center(base.filter(mode == name), amount, depth, block)
-        for name, depth in (("stft", 0.0), ("stft_deep", 1.0))
-    ]
-    silence = F.transform("left", lambda _: F.lit(0.0).cast("float"))
-    muted = base.filter(mode == "passthrough_muted").select(
-        "clip_id", "block_idx", silence.alias("left"), silence.alias("right")
-    )
-    basic = center_cancel(base.filter(~mode.isin(*MODES[1:])), amount, block)
-    return basic.unionByName(spectral[0]).unionByName(spectral[1]).unionByName(muted)
+    named = F.when(mode.isin(*MODES), mode).otherwise(F.lit("basic"))
+    base = stereo(clips).withColumn("mode", named)
+    span_blocks = span_hops * HOP // block
+    forgets = F.ceil(bass_halo(F.col("sr")) / block)
+    halo = F.greatest(forgets, F.lit((OVERLAP - 1) * HOP // block))
+    whole_hops = F.ceil(halo * block / HOP) * (HOP // block)  # frames begin at whole hops
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sr, name, reach = int(pdf["sr"].iloc[0]), pdf["mode"].iloc[0], int(pdf["_halo"].iloc[0])
+
+        def kernel(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+            if name in depths:
+                return *_spectral(left, right, sr, amount, depths[name]), FFT // block
+            if name == "passthrough_muted":
+                return np.zeros_like(left), np.zeros_like(right), 0
+            a = bass_coefficient(sr)
+            return *_cancelled(left, right, _low_pass(left, a), _low_pass(right, a), amount), 0
+
+        return _span_blocks(pdf, block, span_blocks, reach, kernel)
+
+    ready = base.withColumn("_halo", whole_hops.cast("long"))
+    lead = _lead(base.filter(F.col("mode").isin(*depths)), block)
+    return lead.unionByName(_of_span(ready, span_blocks, F.col("_halo"), run, _BLOCK_SCHEMA.format(id=_id_type(clips))))
 
 
 def _square_sum(c: str) -> Column:

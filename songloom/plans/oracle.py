@@ -467,6 +467,88 @@ ORACLE["signal_quality"] = f"""
 with {_CLIP}, e as (select sqrt(sum(list_sum(list_transform(l, lambda x: x * x))) / sum(len(l))) as rms from clip)
 select 'all' as clip_id, 0.5::double as ratio, true as finite, round(rms, 4) as rms_in from e"""
 
+# Fourier sums in two steps: 2048 = 64 x 32, so a sum over all samples is one over 64 of them for each
+# of 32 remainders, then one over the remainders. Blocks hold 32 samples at 48 kHz.
+_SAMPLES = f"""{_CLIP},
+samples as (select block_idx * 32 + i - 1 as t, l[i]::double as l, r[i]::double as r from clip, range(1, 33) _(i)),
+extent as (select max(t) + 1 as size from samples),
+turn as (select list(cos(2 * pi() * j / 2048) order by j) as c, list(sin(2 * pi() * j / 2048) order by j) as s from range(0, 2048) _(j)),
+starts as (select f from extent, range(0, ((size - 2048) // 512 + 1)::bigint) _(f) where size >= 2048),
+framed as (select f, t - f * 512 as n, (0.5 - 0.5 * cos(2 * pi() * (t - f * 512) / 2048)) as w, l, r from starts join samples on t >= f * 512 and t < f * 512 + 2048),
+inner1 as (select f, n % 32 as q, k6, sum(l * w * c[1 + 32 * ((n // 32) * k6 % 64)]) as lc, sum(l * w * s[1 + 32 * ((n // 32) * k6 % 64)]) as ls,
+    sum(r * w * c[1 + 32 * ((n // 32) * k6 % 64)]) as rc, sum(r * w * s[1 + 32 * ((n // 32) * k6 % 64)]) as rs
+  from framed, turn, range(0, 64) _(k6) group by all),
+spectrum as (select f, k, sum(lc * c[1 + k * q % 2048] - ls * s[1 + k * q % 2048]) as la, sum(-lc * s[1 + k * q % 2048] - ls * c[1 + k * q % 2048]) as lb,
+    sum(rc * c[1 + k * q % 2048] - rs * s[1 + k * q % 2048]) as ra, sum(-rc * s[1 + k * q % 2048] - rs * c[1 + k * q % 2048]) as rb
+  from inner1, turn, range(0, 1025) _(k) where k % 64 = k6 group by all)"""
+
+
+def _centered(depth: float) -> str:
+    """Centerness of each bin."""
+    power = max(1.5 - 1.2 * depth, 0.3)
+    return f"""parts{depth:.0f} as (select *, la * la + lb * lb as pl, ra * ra + rb * rb as pr, k * 48000 / 2048 as hz from spectrum),
+sharp{depth:.0f} as (select *, pow(2 * sqrt(pl * pr) / (pl + pr + 1e-9) * least(1, greatest(0, (la * ra + lb * rb) / (sqrt(pl * pr) + 1e-9))), {power}) as x from parts{depth:.0f}),
+centered{depth:.0f} as (select *, x + {0.2 * depth} * (1 - x) as centerness from sharp{depth:.0f})"""
+
+
+def _trapezoid_sql(a: float, b: float, c: float, d: float) -> str:
+    return f"(0.5 - 0.5 * cos(pi() * least(1, greatest(0, (hz - {a}) / ({b} - {a})), greatest(0, ({d} - hz) / ({d} - {c})))))"
+
+
+def _filtered_sql(depth: float, atten: float) -> str:
+    """Blocks of the filtered clip, from block 64 on (a frame late): ``out{depth}(block_idx, i, l, r)``."""
+    n = f"{depth:.0f}"
+    band = _trapezoid_sql(90, 160 - 60 * depth, 9000 + 1500 * depth, 12000 + 1500 * depth)
+    strength = atten + depth * (1 - atten) * 0.85
+    return f"""{_centered(depth)},
+gain{n} as (select *, case when k = 0 then 0 else {band} end as band, 1 - {0.7 * depth} * {_trapezoid_sql(180, 300, 5000, 8000)} as thin from centered{n}),
+kept{n} as (select f, k, la, lb, ra, rb, 1 - least(1, {strength} * band * centerness) as mid, case when band > 0 then thin else 1 end as side from gain{n}),
+half{n} as (select f, k, (mid * (la + ra) + side * (la - ra)) / 2 as la, (mid * (lb + rb) + side * (lb - rb)) / 2 as lb,
+    (mid * (la + ra) - side * (la - ra)) / 2 as ra, (mid * (lb + rb) - side * (lb - rb)) / 2 as rb from kept{n}),
+full{n} as (select f, k, la, case when k in (0, 1024) then 0 else lb end as lb, ra, case when k in (0, 1024) then 0 else rb end as rb from half{n}
+  union all select f, 2048 - k, la, -lb, ra, -rb from half{n} where k between 1 and 1023),
+back{n} as (select f, k % 32 as b, n6, sum(la * c[1 + 32 * ((k // 32) * n6 % 64)] - lb * s[1 + 32 * ((k // 32) * n6 % 64)]) as lx, sum(la * s[1 + 32 * ((k // 32) * n6 % 64)] + lb * c[1 + 32 * ((k // 32) * n6 % 64)]) as ly,
+    sum(ra * c[1 + 32 * ((k // 32) * n6 % 64)] - rb * s[1 + 32 * ((k // 32) * n6 % 64)]) as rx, sum(ra * s[1 + 32 * ((k // 32) * n6 % 64)] + rb * c[1 + 32 * ((k // 32) * n6 % 64)]) as ry
+  from full{n}, turn, range(0, 64) _(n6) group by all),
+waves{n} as (select f, n, sum((0.5 - 0.5 * cos(2 * pi() * n / 2048)) / 2048 * (lx * c[1 + b * n % 2048] - ly * s[1 + b * n % 2048])) as l,
+    sum((0.5 - 0.5 * cos(2 * pi() * n / 2048)) / 2048 * (rx * c[1 + b * n % 2048] - ry * s[1 + b * n % 2048])) as r
+  from back{n}, turn, range(0, 2048) _(n) where n % 64 = n6 group by all),
+added{n} as (select f * 512 + n + 2048 as t, sum(l) as l, sum(r) as r from waves{n} group by all),
+out{n} as (select s.t // 32 as block_idx, s.t % 32 as i, coalesce(a.l, 0)::float::double as l, coalesce(a.r, 0)::float::double as r from samples s left join added{n} a using (t))"""
+
+
+ORACLE["frame_features"] = f"""
+with {_SAMPLES}, {_centered(0.0)}
+select f as frame_idx, round(avg(centerness), 4) as centerness from centered0 group by all"""
+
+ORACLE["stft_filter"] = f"""
+with {_SAMPLES}, {_filtered_sql(0.0, 0.85)}
+select block_idx, round(sqrt(avg(l * l)), 4) as rms from out0 group by all"""
+
+# The low-pass at 150 Hz, block by block: what is left of the state, and what the block adds.
+_STEP = "((1.0 / 48000) / (1.0 / (2.0 * pi() * 150.0) + 1.0 / 48000))"
+_BASIC = f"""
+adds as (select block_idx, l, r, list_sum(list_transform(range(1, 33), lambda i: {_STEP} * pow(1 - {_STEP}, 32 - i) * l[i])) as el,
+    list_sum(list_transform(range(1, 33), lambda i: {_STEP} * pow(1 - {_STEP}, 32 - i) * r[i])) as er from clip),
+states as (select 0::bigint as block_idx, 0.0::double as cl, 0.0::double as cr
+  union all select s.block_idx + 1, pow(1 - {_STEP}, 32) * cl + coalesce(el, 0), pow(1 - {_STEP}, 32) * cr + coalesce(er, 0)
+    from states s left join adds a using (block_idx) where s.block_idx < (select max(block_idx) from clip)),
+lows as (select block_idx, i, l[i] as l, r[i] as r,
+    pow(1 - {_STEP}, i) * cl + list_sum(list_transform(range(1, i + 1), lambda j: {_STEP} * pow(1 - {_STEP}, i - j) * l[j])) as bl,
+    pow(1 - {_STEP}, i) * cr + list_sum(list_transform(range(1, i + 1), lambda j: {_STEP} * pow(1 - {_STEP}, i - j) * r[j])) as br
+  from states join clip using (block_idx), range(1, 33) _(i)),
+basic as (select block_idx, i - 1 as i, (l * 0.15 + (bl + (l - bl - r + br) / 2) * 0.85)::float::double as l, (r * 0.15 + (br - (l - bl - r + br) / 2) * 0.85)::float::double as r from lows)"""
+
+ORACLE["basic_mode"] = f"""
+with recursive {_CLIP}, {_BASIC}
+select block_idx, round(sqrt(avg(l * l)), 4) as rms from basic group by all"""
+
+ORACLE["modes"] = f"""
+with recursive {_SAMPLES}, {_BASIC}, {_filtered_sql(0.0, 0.85)}, {_filtered_sql(1.0, 0.85)},
+every as (select 'basic' as clip_id, * from basic union all select 'other', * from basic union all select 'stft', * from out0 union all select 'stft_deep', * from out1
+  union all select 'passthrough_muted', block_idx, i, 0.0, 0.0 from basic)
+select clip_id, block_idx, round(sqrt(avg(l * l)), 4) as rms_left, round(sqrt(avg(r * r)), 4) as rms_right from every group by all"""
+
 # ── Records ──────────────────────────────────────────────────────────────────
 
 ORACLE["request_outcomes"] = """

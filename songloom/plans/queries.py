@@ -636,7 +636,7 @@ def default_lists(spark, sf):
 
 @query
 def center_cancel(spark, sf):
-    """X6 without bass protection: embeddings as stereo blocks, energy per block."""
+    """The blend of X6 alone, without its low-pass (basic_mode is X6): energy per block."""
     clip = inp.vector_clip(spark, sf)
     left, right = sg.mid_side_blend(
         F.transform("left", lambda x: x.cast("double")), F.transform("right", lambda x: x.cast("double")), 0.85
@@ -662,6 +662,16 @@ def stft_filter(spark, sf):
     return out.select("block_idx", F.round(rms, 4).alias("rms"))
 
 
+@query
+def modes(spark, sf):
+    """The clip through every mode, and one that is unknown, in one pass; RMS per block."""
+    name = F.explode(F.array(*[F.lit(m) for m in (*sg.MODES, "other")]))
+    clips = inp.vector_clip(spark, sf).withColumn("mode", name).withColumn("clip_id", F.col("mode"))
+    out = sg.mode_dispatch(clips, 0.85, block=32)
+    rms = {f"rms_{s}": F.round(F.sqrt(sg._square_sum(s) / F.size(s)), 4) for s in ("left", "right")}
+    return out.select("clip_id", "block_idx", *(c.alias(n) for n, c in rms.items()))
+
+
 @query
 def frame_features(spark, sf):
     """Mean centerness per frame."""

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,7 +50,9 @@ def test_basic_mode_bounds(clips):
 
 def test_spans_do_not_show(clips):
     one = clips.filter("clip_id = 'noise'")
-    for job in (lambda n: sg.remove_center(one, 0.85, 1.0, span_hops=n), lambda n: sg.center_cancel(one, 0.85, span_hops=n)):
+    jobs = [lambda n: sg.remove_center(one, 0.85, 1.0, span_hops=n)]
+    jobs += [lambda n, m=m: sg.mode_dispatch(one.withColumn("mode", F.lit(m)), span_hops=n) for m in ("basic", "stft_deep")]
+    for job in jobs:
         whole, cut = signal(job(256), "noise"), signal(job(6), "noise")
         assert len(whole) == len(cut) == N and np.allclose(whole, cut, atol=1e-7)
     low = np.zeros(N)
@@ -86,3 +89,48 @@ def test_features_weights_and_modes(spark, clips):
     quality = ratios(modes, sg.mode_dispatch(modes), 32, 95)
     assert quality["center-passthrough_muted"][0] == 0 and quality["center-stft"][0] < 0.5
     assert quality["center-stft_deep"][0] < quality["center-stft"][0] and quality["center-basic"][0] < 0.4
+
+
+@pytest.mark.parametrize("sr, block", [(48000, 128), (8000, 128), (44100, 4096)])
+def test_states_equal_a_loop_over_a_million_samples(spark, sr, block):
+    """Also with blocks missing, which count as silence."""
+    n = 10**6 // block
+    rng = np.random.default_rng(7)
+    x = rng.normal(0, 0.3, (n, block)).astype(np.float32)
+    x[n // 3 : n // 3 + 5] = 0
+    there = [i for i in range(n) if not n // 3 <= i < n // 3 + 5]
+    table = pd.DataFrame({"clip_id": "c", "sr": sr, "block_idx": there, "left": [x[i].tolist() for i in there], "right": [x[i, ::-1].tolist() for i in there]})
+    clips = spark.createDataFrame(table, "clip_id string, sr int, block_idx bigint, left array<float>, right array<float>")
+    states = sg.bass_states(clips, block).select("block_idx", "low_l", "low_r").toPandas().set_index("block_idx").sort_index()
+    a = sg.bass_coefficient(sr)
+    for side, column in ((x, "low_l"), (x[:, ::-1], "low_r")):
+        y, want = 0.0, []
+        for row in side.astype(np.float64).tolist():
+            want.append(y)
+            for v in row:
+                y += a * (v - y)
+        assert np.abs(states[column].to_numpy() - np.array(want)[there]).max() < 1e-12
+
+
+def test_missing_blocks_are_silent(clips):
+    one = clips.filter("clip_id = 'noise'")
+    gap = F.col("block_idx").between(40, 47)
+    zero = F.transform("left", lambda _: F.lit(0.0).cast("float"))
+    silent = one.withColumns({s: F.when(gap, zero).otherwise(F.col(s)) for s in ("left", "right")})
+    holed = one.filter(~gap)
+    for job in (lambda d: sg.remove_center(d, span_hops=6), lambda d: sg.mode_dispatch(d.withColumn("mode", F.lit("basic")), span_hops=6)):
+        assert np.allclose(signal(job(holed), "noise"), signal(job(silent), "noise"), atol=1e-7)
+    kept = sg.center_cancel(silent).filter(~gap)
+    assert np.allclose(signal(sg.center_cancel(holed), "noise"), signal(kept, "noise"), atol=1e-7)
+
+
+def test_modes_read_the_samples_once(spark, clips, tmp_path):
+    clips.write.parquet(str(tmp_path / "clips"))
+    plan = sg.mode_dispatch(spark.read.parquet(str(tmp_path / "clips")))._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert sum("left" in line for line in scans) == 1 and plan.count("FlatMapGroupsInPandas") == 1
+    noise = clips.filter("clip_id = 'noise'")
+    one = noise.withColumn("mode", F.lit("stft_deep"))
+    assert np.allclose(signal(sg.mode_dispatch(one), "noise"), signal(sg.remove_center(noise, 0.85, 1.0), "noise"), atol=1e-7)
+    basic = noise.withColumn("mode", F.lit("no such mode"))
+    assert np.allclose(signal(sg.mode_dispatch(basic), "noise"), signal(sg.center_cancel(noise), "noise"), atol=1e-6)
