@@ -303,13 +303,12 @@ _SEGMENT_COLUMNS = """select "user", "videoKey", "filterMode", "songTitle", "tra
 
 ORACLE["listen_segments"] = f"with {_SEGMENTS} {_SEGMENT_COLUMNS}"
 
-# The stream has a watermark ten minutes behind the newest event, in whole milliseconds.
+# The stream knows no silence: a segment is open until an event ends it, or the log.
 ORACLE["segments_stream"] = f"""
 with {_segments("false")},
-timed as (select *, coalesce(closed_at, after) as ended from closed2),
+timed as (select *, coalesce(closed_at, after, beat) as ended from closed2),
 seg as (select "user", "videoKey", "filterMode", "songTitle", "trackName", "artistName", floor((epoch_us(ended) - epoch_us(started)) / 1000000 + 0.5)::bigint as seconds, started, ended
-  from timed where ended is not null and floor((epoch_us(ended) - epoch_us(started)) / 1000000 + 0.5) >= 3
-  and epoch_us(ended) <= (select (epoch_ms(max(ts)) - 600000) * 1000 from events))
+  from timed where floor((epoch_us(ended) - epoch_us(started)) / 1000000 + 0.5) >= 3)
 {_SEGMENT_COLUMNS}"""
 
 ORACLE["usage_totals"] = f"""

@@ -386,13 +386,15 @@ def listen_segments(spark, sf):
 
 @query
 def segments_stream(spark, sf):
-    """T1 as a stream over the event table; segments whose end the watermark passed."""
+    """T1 as a stream over the event table; when it has been read, each user's log is ended."""
     inp.ensure_settings(spark)
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     # a pattern may name a file as well as a folder of part files; a plain path must be a folder
     raw = spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]")
     log = inp.listen_log(_StreamTables(spark, raw.withColumn("ts", F.col("ts").cast("timestamp"))), sf)
-    return _segment_columns(jobs.run_available(jobs.listen_segments(log)))
+    ended, ends = jobs.with_end(log)
+    close = lambda: jobs.end_markers(inp.listen_log(spark, sf)).write.mode("append").parquet(ends)
+    return _segment_columns(jobs.run_available(jobs.listen_segments(ended), then=close))
 
 
 class _StreamTables:

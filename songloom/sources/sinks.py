@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 SEGMENT = [
@@ -37,6 +41,44 @@ def write_segments(segments: DataFrame, path: str, checkpoint: str, user: str =
     )
 
 
+def keyed_batches(path: str, source: str, user: str = "user") -> Callable[[DataFrame, int], None]:
+    """What a micro-batch of closed segments adds to the table at ``path``.
+
+    A batch has a folder of its own, named after its ``source`` (a checkpoint) and number, so a
+    replayed batch replaces itself. The segments of all other batches are the ledger: one that is
+    there already, by (user, videoKey, startedAt), is not added again, so neither is what a query
+    started anew from the beginning repeats. Only the days of the batch are looked up.
+    """
+    keys = ["day", user, "videoKey", "startedAt"]
+
+    def add(batch: DataFrame, number: int) -> None:
+        spark, name = batch.sparkSession, f"{source}-{number}"
+        records = segment_records(batch, user).persist()  # a stateful stream must not be run twice
+        try:
+            spark.createDataFrame([], records.drop("day").schema).write.mode("ignore").parquet(f"{path}/batch=none/day=1970-01-01")
+            days = records.agg(F.min("day").alias("low"), F.max("day").alias("high")).first()
+            stored = spark.read.schema(T.StructType([*records.drop("day").schema, T.StructField("batch", T.StringType()), records.schema["day"]]))
+            ledger = stored.parquet(path).filter((F.col("batch") != name) & F.col("day").between(days["low"], days["high"]))
+            fresh = records.dropDuplicates(keys).join(ledger.select(keys), keys, "left_anti")
+            fresh.select(records.columns).write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={name}")
+        finally:
+            records.unpersist()
+
+    return add
+
+
+def write_keyed_segments(segments: DataFrame, path: str, checkpoint: str, user: str = "user") -> StreamingQuery:
+    """Add a stream of closed segments, each once, whatever is replayed or started anew."""
+    source = hashlib.sha1(checkpoint.encode()).hexdigest()[:12]
+    return (
+        segments.writeStream.foreachBatch(keyed_batches(path, source, user))
+        .outputMode("append")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def append_segments(segments: DataFrame, path: str, batch: str | None = None, user: str = "user") -> str:
     """S10 in batch: add a batch under its id, in a folder of its own; returns the id.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -116,22 +117,56 @@ def apply_mutations(log: DataFrame, user: str = "user", delay: str = DELAY, **ca
     return out.withColumn("ts", F.timestamp_micros("ts"))
 
 
-def run_available(stream: DataFrame, path: str | None = None) -> DataFrame:
+def end_markers(events: DataFrame, user: str = "user", delay: str = DELAY) -> DataFrame:
+    """One closing row per key of a finished log, later than all its rows, and one more that
+    takes the watermark past them."""
+    pause = F.expr(f"INTERVAL {delay}")
+    last = events.groupBy(user).agg(F.max("ts").alias("_own"))
+    newest = events.agg(F.max("ts").alias("_newest"), F.min(user).alias("_first"))
+    placed = last.join(F.broadcast(newest))  # one row
+    times = F.array(F.lit(0), F.lit(1))
+    spread = placed.withColumn("_i", F.explode(times)).filter((F.col("_i") == 0) | (F.col(user) == F.col("_first")))
+    at = F.col("_newest") + pause + F.when(F.col("_i") == 1, pause + pause).otherwise(F.expr("INTERVAL 0 seconds"))
+    own = {user, "ts", "ord", "kind"}
+    rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema.fields if f.name not in own]
+    row = spread.select(
+        F.col(user), at.alias("ts"), F.col("_i").cast(events.schema["ord"].dataType).alias("ord"), F.lit(m.END).alias("kind"), *rest
+    )
+    return row.select(events.columns)
+
+
+def with_end(stream: DataFrame) -> tuple[DataFrame, str]:
+    """``stream`` and a folder beside it, whose rows are part of the stream once they are written."""
+    spark = stream.sparkSession
+    path = f"{shared_dir(spark)}/ends-{uuid.uuid4().hex}"
+    spark.createDataFrame([], stream.schema).write.parquet(path)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(path)), path
+
+
+def run_available(stream: DataFrame, path: str | None = None, then: Callable[[], None] | None = None) -> DataFrame:
     """Run a stream over everything available now and read back what it appended.
 
-    Output and checkpoint live in a fresh folder under the shared one.
+    ``then`` may add to its sources; the query is started again for that. Output and checkpoint
+    live in a fresh folder under the shared one.
     """
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
     if path is None:
         path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    query = (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", f"{path}/out")
-        .option("checkpointLocation", f"{path}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+
+    def run() -> None:
+        query = (
+            stream.writeStream.format("parquet")
+            .outputMode("append")
+            .option("path", f"{path}/out")
+            .option("checkpointLocation", f"{path}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+
+    run()
+    if then:
+        then()
+        run()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")

@@ -11,6 +11,8 @@ from ..operators.usage import MIN_SECONDS
 from .ordered import Row, State
 
 SECOND = 1_000_000
+#: Kind of the row that ends the input of a key.
+END = "end of input"
 
 
 class Untimed:
@@ -82,6 +84,9 @@ class SegmentMachine:
             self._open(state, ts, here["key"], None)
         elif kind in ("stop", "close"):
             out = self._close(state, ts)
+        elif kind == END:  # nothing follows: what is open ends at its last beat
+            out = self.expire(state, ts)
+            state.clear()
         elif kind == "mode":
             state["mode"] = row.get("mode") or state.get("mode")
             if segment:
@@ -152,21 +157,32 @@ class PauseMachine(Untimed):
         return [(row["ts"], row["position"], row["ts"] - state["at"] > self.stall)]
 
 
-class OutcomeMachine(Untimed):
+class OutcomeMachine:
     """Requests not held back by an outcome or miss still in force.
 
     Rows are outcomes (``reason``) or requests (``reason`` null). ``miss`` holds back
-    for 10 minutes and ``refresh`` clears a miss.
+    for 10 minutes and ``refresh`` clears a miss. What has expired is forgotten as event time
+    passes it, so its key leaves the store (the store's own time to live runs on the clock of the
+    machine, which a replay does not follow).
     """
 
+    def wake_at(self, state: State) -> int | None:
+        held = state.get("until")
+        return None if held is None or held == "ever" else held
+
+    def expire(self, state: State, watermark: int) -> list[tuple]:
+        held = self.wake_at(state)
+        if held is not None and held <= watermark:
+            del state["until"]
+        return []
+
     def step(self, state: State, row: Row) -> list[tuple]:
         reason, ts = row["reason"], row["ts"]
         if reason is None:
             held = state.get("until")
-            free = held is None or held != "ever" and held <= ts
-            return [(ts,)] if free else []
+            return [(ts,)] if held is None or held != "ever" and held <= ts else []
         if reason == "refresh":
-            state["until"] = None
+            state.pop("until", None)
         elif reason == "miss":
             state["until"] = ts + MISS_TTL * SECOND
         elif reason in OUTCOME_TTL:

@@ -4,8 +4,10 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from songloom.operators import feedback as fb
 from songloom.operators import playlists as pl
 from songloom.operators import usage as us
+from songloom.sources import sinks
 from songloom.streaming import jobs
 
 from test_playlists import LOG, random_log as random_mutations
@@ -99,6 +101,87 @@ def test_identity_guard_stream(spark, tmp_path):
     assert [r["id"] for r in out.collect()] == [1]
 
 
+@pytest.mark.parametrize("seed", [5, 6])
+def test_outcome_stream_equals_batch_and_forgets(spark, tmp_path, seed):
+    """Random logs over several micro-batches; what has expired leaves the state store."""
+    rng, rows = random.Random(seed), []
+    kinds = [None, None, None, "queued", "rate_limited", "upstream", "recently_failed", "already_synced"]
+    for i in range(600):
+        # batch after batch a year goes by; an outcome of the same instant comes before the request
+        rows.append((f"k{rng.randrange(12)}", T0 + timedelta(hours=12 * i, minutes=rng.randrange(600)), i, rng.choice(kinds)))
+    df = spark.createDataFrame(rows, "k string, ts timestamp, ord long, reason string")
+    want = fb.unrequested(df.filter("reason is null").drop("reason"), df.filter("reason is not null"), "k")
+    src = str(tmp_path / "in")
+    for i in range(0, 600, 150):
+        df.filter(F.col("ord").between(i, i + 149)).coalesce(1).write.mode("append").parquet(src)
+    # outcomes last a month, so a year after the log only those without end are remembered
+    ends = [("zz", END + timedelta(days=400 * i), 9, None) for i in (0, 1)]
+    for end in ends:
+        spark.createDataFrame([end], df.schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    out = jobs.run_available(jobs.unsuppressed(stream, "k", "1 day"), str(tmp_path / "run"))
+    got = sorted((r["k"], r["ts"]) for r in out.filter("k <> 'zz'").collect())
+    assert got == sorted((r["k"], r["ts"]) for r in want.collect()) and len(got) > 50
+    left = spark.read.format("statestore").option("stateVarName", "state").load(str(tmp_path / "run" / "checkpoint")).collect()
+    held = {r["key"]["k"]: r["value"]["json"] for r in left}
+    last = {k: reason for k, _, _, reason in rows if reason not in (None, "upstream")}
+    assert set(held) - {"zz"} == {k for k, reason in last.items() if reason == "already_synced"}
+
+
+def test_segments_stream_over_batches_with_ends(spark, tmp_path):
+    """Files in time order, one a batch; the end of input closes what is open, so the stream is whole."""
+    rng = random.Random(8)
+    rows = [r for u in ("u1", "u2", "u3") for r in random_log(u, rng, 400)]
+    df = spark.createDataFrame(rows, EVENTS)
+    path = str(tmp_path / "in")
+    cuts = sorted(r[1] for r in rows)[::300] + [END]
+    for low, high in zip(cuts, cuts[1:]):
+        df.filter((F.col("ts") >= F.lit(low)) & (F.col("ts") < F.lit(high))).coalesce(1).write.mode("append").parquet(path)
+    stream, ends = jobs.with_end(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path))
+    out = jobs.run_available(jobs.listen_segments(stream), then=lambda: jobs.end_markers(df).write.mode("append").parquet(ends))
+    want = sorted(str(tuple(r)) for r in us.listen_segments(df, slice_seconds=900).select(out.columns).collect())
+    assert sorted(str(tuple(r)) for r in out.collect()) == want and len(want) > 100
+
+
+def test_more_rows_wait_than_a_chunk_holds(spark, tmp_path):
+    rows = [("a", 10 * i, str(i // 7)) for i in range(3000)]
+    random.Random(1).shuffle(rows)
+    got = run(spark, tmp_path, rows, "v string", lambda s: jobs.distinct_until_changed(s, "k", "v"))
+    assert sorted((ms(t), v) for _, t, v in got) == [(70 * i, str(i)) for i in range(429)]
+
+
+def test_keyed_sink_adds_every_segment_once(spark, tmp_path):
+    rng = random.Random(3)
+    df = spark.createDataFrame([r for u in ("u1", "u2") for r in random_log(u, rng, 120)], EVENTS)
+    segments = us.listen_segments(df, slice_seconds=900)
+    path, src = str(tmp_path / "table"), str(tmp_path / "in")
+    parts = segments.withColumn("part", F.pmod(F.xxhash64("startedAt"), F.lit(3))).cache()
+    for i in range(3):
+        parts.filter(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(src)
+    parts.filter("part = 1").drop("part").coalesce(1).write.mode("append").parquet(src)  # told twice
+
+    def stream():
+        return spark.readStream.schema(segments.schema).option("maxFilesPerTrigger", 1).parquet(src)
+
+    def stored():
+        table = spark.read.parquet(path)
+        return sorted(str(tuple(r)) for r in table.select(*sinks.SEGMENT).collect())
+
+    want = sorted(str(tuple(r)) for r in segments.select(*sinks.SEGMENT).collect())
+    sinks.write_keyed_segments(stream(), path, str(tmp_path / "c1")).awaitTermination()
+    assert stored() == want and len(want) > 10
+    add = sinks.keyed_batches(path, "other")
+    for _ in range(2):  # a replayed batch
+        add(parts.filter("part = 0").drop("part"), 7)
+        assert stored() == want
+    sinks.write_keyed_segments(stream(), path, str(tmp_path / "c2")).awaitTermination()  # started anew
+    assert stored() == want
+    late = segments.limit(1).withColumn("startedAt", F.col("startedAt") - F.expr("INTERVAL 1 second"))
+    add(late, 8)
+    add(late, 8)
+    assert len(stored()) == len(want) + 1
+
+
 def test_segments_stream_reads_folders_of_part_files(spark, data_dir, tmp_path):
     from songloom.plans.queries import segments_stream
 
