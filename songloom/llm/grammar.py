@@ -3,8 +3,9 @@
 A frame holds whole documents of a shard, about ``FRAME_TOKENS`` ids. Its ids are rewritten in
 rounds: pairs of neighbours are counted, the frequent ones that cannot overlap each other get
 a rule each, most frequent first, and all their occurrences are replaced from left to right;
-the next round counts pairs of what is left. It ends when no pair is frequent. With each
-rule its expansion length is stored, so an id range is decoded without the rest of the frame.
+the next round counts pairs of what is left. It ends when no pair occurs ``MIN_COUNT`` times, or
+when a round shortens the sequence by less than ``MIN_GAIN`` (rarer pairs cost as much as they
+save). With each rule its expansion length is stored, so an id range is decoded without the rest of the frame.
 
 A frame is bytes: the magic, five counts, the document lengths, the rules (two symbols each)
 with the number of rules of each round, the expansion lengths, the sequence; symbols take
@@ -22,7 +23,7 @@ import numpy as np
 FIRST_RULE = 1 << 17
 FRAME_TOKENS = 1 << 20
 #: A pair needs so many occurrences in a frame to get a rule.
-MIN_COUNT = 24
+MIN_COUNT = 8
 #: Rounds end when one shortens the sequence by less than this share.
 MIN_GAIN = 0.01
 _MAGIC = b"PAIR"
@@ -137,22 +138,38 @@ class Frame:
     rounds: list[int]
     rule_lengths: np.ndarray
 
-    def _tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start and length in ``flat`` of every symbol; rules of a round use earlier ones only."""
-        size = FIRST_RULE + len(self.rules)
-        flat, starts, lengths = [np.arange(FIRST_RULE)], np.zeros(size, np.int64), np.ones(size, np.int64)
-        starts[:FIRST_RULE], lengths[FIRST_RULE:] = flat[0], self.rule_lengths
+    def _reached(self, symbols: np.ndarray) -> np.ndarray:
+        """Which rules the expansion of ``symbols`` uses; those of a round use earlier ones only."""
+        needed = np.zeros(len(self.rules), dtype=bool)
+        needed[symbols[symbols >= FIRST_RULE] - FIRST_RULE] = True
+        stop = len(self.rules)
+        for n in reversed(self.rounds):
+            own = self.rules[stop - n : stop][needed[stop - n : stop]].reshape(-1)
+            needed[own[own >= FIRST_RULE] - FIRST_RULE] = True
+            stop -= n
+        return needed
+
+    def _tables(self, needed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The expansions of the rules needed, one after the other, and where each symbol's starts."""
+        starts = np.zeros(FIRST_RULE + len(self.rules), np.int64)
+        lengths = np.ones(len(starts), np.int64)
+        starts[:FIRST_RULE], lengths[FIRST_RULE:] = np.arange(FIRST_RULE), self.rule_lengths
+        flat = np.empty(FIRST_RULE + int(self.rule_lengths[needed].sum()), np.int64)
+        flat[:FIRST_RULE] = starts[:FIRST_RULE]
         done, filled = 0, FIRST_RULE
         for n in self.rounds:
-            sizes = self.rule_lengths[done : done + n]
-            starts[FIRST_RULE + done : FIRST_RULE + done + n] = filled + np.cumsum(sizes) - sizes
-            flat = [np.concatenate([*flat, _expand(self.rules[done : done + n].reshape(-1), starts, lengths, np.concatenate(flat))])]
-            done, filled = done + n, len(flat[0])
-        return starts, lengths, flat[0]
+            own = done + np.flatnonzero(needed[done : done + n])
+            sizes = self.rule_lengths[own]
+            starts[FIRST_RULE + own] = filled + np.cumsum(sizes) - sizes
+            stop = filled + int(sizes.sum())
+            flat[filled:stop] = _expand(self.rules[own].reshape(-1), starts, lengths, flat)
+            done, filled = done + n, stop
+        return starts, flat
 
     def ids(self, start: int = 0, stop: int | None = None) -> np.ndarray:
-        """Ids ``start`` to ``stop``; only the symbols that cover them are expanded."""
-        starts, lengths, flat = self._tables()
+        """Ids ``start`` to ``stop``; only the symbols that cover them, and their rules, are expanded."""
+        lengths = np.ones(FIRST_RULE + len(self.rules), np.int64)
+        lengths[FIRST_RULE:] = self.rule_lengths
         ends = np.cumsum(lengths[self.seq])
         total = int(ends[-1]) if len(ends) else 0
         stop = total if stop is None else min(stop, total)
@@ -160,7 +177,9 @@ class Frame:
             return np.empty(0, dtype="<u4")
         first, last = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left")
         skipped = int(ends[first] - lengths[self.seq[first]])
-        return _expand(self.seq[first : last + 1], starts, lengths, flat)[start - skipped : stop - skipped].astype("<u4")
+        covering = self.seq[first : last + 1]
+        starts, flat = self._tables(self._reached(covering))
+        return _expand(covering, starts, lengths, flat)[start - skipped : stop - skipped].astype("<u4")
 
     def document(self, number: int) -> np.ndarray:
         before = int(self.doc_lengths[:number].sum())

@@ -6,7 +6,8 @@ Parquet rows (shard, frame, n_tokens, payload), shards ascending with the ids. R
 the frames and nothing else.
 
 Null texts count as empty and give the end id only. Null ids come first; equal ids stay next
-to each other, ordered by text. An empty table gives no rows. Only doc_id and text are read.
+to each other, ordered by text. Very long texts are encoded whole and lie in one frame. An empty table gives no
+rows. Only doc_id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ _JOINED_SPACE = ("  ", " \n", "\n ", "\n\n")
 #: order, for the characters from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_SYMBOLS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_BLANK = chr(_BYTE_SYMBOLS[32])
 
 
 class Encoder:
@@ -53,7 +55,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._bytes = [i.to_bytes(4, "little") for i in range(self._tokenizer.get_vocab_size())]
         self._kept, self._first, self._later = kept, {}, {}
         self._merge = self._tokenizer.model.tokenize
         self._line = self.whole("\n")
@@ -65,39 +68,37 @@ class Encoder:
     def _piece(self, text: str) -> bytes:
         """Ids of a chunk; one of letters alone (after a blank) needs no splitting, only merging."""
         letters = text[1:] if text[:1] == " " else text
-        if letters.isalpha() and max(letters) < _LETTERS_END:
-            symbols = text.encode().decode("latin-1").translate(_BYTE_SYMBOLS)
-            return np.array([t.id for t in self._merge(symbols)], dtype="<u4").tobytes()
+        if letters.isalpha():
+            if letters.isascii():
+                symbols = _BLANK + letters if len(letters) < len(text) else text
+            elif max(letters) < _LETTERS_END:
+                symbols = text.encode().decode("latin-1").translate(_BYTE_SYMBOLS)
+            else:
+                return self.whole(text)
+            known = self._bytes
+            return b"".join([known[t.id] for t in self._merge(symbols)])
         return self.whole(text)
 
-    def _missing(self, chunks: list[str], known: dict[str, bytes], lead: str) -> list[bytes]:
-        if len(known) > self._kept:
-            known.clear()
-        out = []
-        for chunk in chunks:
-            found = known.get(chunk)
-            if found is None:
-                # a mark after a letter is a token of its own
-                if chunk[-1:] in self._marks and chunk[-2:-1].isalpha():
-                    stem = known.get(chunk[:-1])
-                    if stem is None:
-                        stem = known[chunk[:-1]] = self._piece(lead + chunk[:-1])
-                    found = stem + self._marks[chunk[-1]]
-                else:
-                    found = self._piece(lead + chunk)
-                known[chunk] = found
-            out.append(found)
-        return out
+    def _new(self, chunk: str, known: dict[str, bytes], lead: str) -> bytes:
+        # a mark after a letter is a token of its own
+        if chunk[-1:] in self._marks and chunk[-2:-1].isalpha():
+            stem = known.get(chunk[:-1])
+            if stem is None:
+                stem = known[chunk[:-1]] = self._piece(lead + chunk[:-1])
+            return stem + self._marks[chunk[-1]]
+        return self._piece(lead + chunk)
 
     def _encoded(self, chunks: list[str], known: dict[str, bytes], lead: str) -> list[bytes]:
-        try:
-            return [known[c] for c in chunks]
-        except KeyError:
-            return self._missing(chunks, known, lead)
+        if len(known) > self._kept:
+            known.clear()
+        for chunk in set(chunks).difference(known):
+            if chunk not in known:  # it may have come as another one's stem
+                known[chunk] = self._new(chunk, known, lead)
+        return [known[c] for c in chunks]
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if any(s in text for s in _JOINED_SPACE) or any(s in text for s in _OTHER_SPACE):
+        if any(s in text for s in _JOINED_SPACE) or any(s in text for s in _OTHER_SPACE) or any(s in text for s in self._added):
             return self.whole(text)
         lines = [line.split(" ") for line in text.split("\n")]
         starts = self._encoded([line[0] for line in lines], self._first, "")
@@ -116,21 +117,21 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-_FRAMES = pa.schema([("frame", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.int64()), ("payload", pa.binary())])
-_FRAMES_SQL = "frame int, doc_ids array<long>, n_tokens long, payload binary"
+_FRAMES = pa.schema([("frame", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.int64()), ("payload", pa.binary())])
+_FRAMES_SQL = "frame int, before long, doc_ids array<long>, n_tokens long, payload binary"
 
 
 def _packer(path: str, frame_tokens: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(path), np.array([END_ID], dtype="<u4").tobytes()
-        number, size = 0, 0
+        number, size, before = 0, 0, 0  # before: ids of the earlier frames of the shard
         ids: list = []
         parts: list[bytes] = []
 
         def frame() -> pa.RecordBatch:
             data = b"".join(parts)
             payload = pack(np.frombuffer(data, "<u4"), np.array([len(p) // 4 for p in parts]))
-            row = {"frame": number, "doc_ids": ids, "n_tokens": len(data) // 4, "payload": payload}
+            row = {"frame": number, "before": before, "doc_ids": ids, "n_tokens": len(data) // 4, "payload": payload}
             return pa.RecordBatch.from_pylist([row], schema=_FRAMES)
 
         for batch in batches:
@@ -140,7 +141,7 @@ def _packer(path: str, frame_tokens: int) -> Callable[[Iterator[pa.RecordBatch]]
                 size += len(parts[-1]) // 4
                 if size >= frame_tokens:
                     yield frame()
-                    number, size, ids, parts = number + 1, 0, [], []
+                    number, before, size, ids, parts = number + 1, before + size, 0, [], []
         if parts:
             yield frame()
 
@@ -179,16 +180,14 @@ def _unpacker(with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 def read_documents(spark, folder: str, with_ids: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 and, if asked for, the ids of every document."""
     frames = spark.read.schema(_FRAMES_SQL + ", shard int").parquet(folder)
-    # two levels of running totals: few rows a shard, one row a shard
+    # frames know what comes before them in their shard; the shards' totals are summed here
     total, starts = 0, []
     for row in frames.groupBy("shard").agg(F.sum("n_tokens").alias("n")).orderBy("shard").collect():  # one row a shard
         starts.append((row["shard"], total))
         total += row["n"]
     offsets = F.broadcast(spark.createDataFrame(starts, "shard int, shard_start long"))  # one row a shard
-    before = F.expr("sum(n_tokens) over (partition by shard order by frame rows between unbounded preceding and 1 preceding)")
-    places = frames.select("shard", "frame", (F.coalesce(before, F.lit(0))).alias("frame_start"))
-    placed = frames.join(places, ["shard", "frame"]).join(offsets, "shard")
-    rows = placed.select("doc_ids", "payload", (F.col("shard_start") + F.col("frame_start")).alias("start"))
+    placed = frames.join(offsets, "shard")
+    rows = placed.select("doc_ids", "payload", (F.col("shard_start") + F.col("before")).alias("start"))
     return rows.mapInArrow(_unpacker(with_ids), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 

@@ -35,6 +35,13 @@ def test_symbols_beyond_16_bits_are_kept():
     assert (grammar.unpack(grammar.pack(ids, np.array([len(ids)]), 3)).ids() == ids).all()
 
 
+def plain(text):
+    """The library, as it is loaded."""
+    from tokenizers import Tokenizer
+
+    return np.array(Tokenizer.from_file(VOCABULARY).encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
 @given(st.text(alphabet=" \n\t\r.,!'’aébZ1²中ー　\xa0́\U0001f600", max_size=24))
 @settings(max_examples=500, deadline=None)
 def test_chunks_encode_like_whole_texts(text):
@@ -42,11 +49,26 @@ def test_chunks_encode_like_whole_texts(text):
     assert encode(text) == encode.whole(text)
 
 
+def test_texts_encode_as_the_library_does(spark, data_dir):
+    encode = token_files.encoder(VOCABULARY)
+    table = spark.read.parquet(f"{data_dir}/documents.parquet").limit(40).collect()  # some texts of the table
+    texts = [r["text"] for r in table if r["text"]] + ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>\n<|endoftext", "Straße naïve, œuvre."]
+    assert [encode(t) for t in texts] == [plain(t) for t in texts]
+    assert plain("<|endoftext|>") == (50256).to_bytes(4, "little")
+
+
+def test_a_range_expands_only_the_rules_it_needs():
+    rng = np.random.default_rng(1)
+    ids = np.concatenate((np.tile([1, 2, 3, 4], 500), rng.integers(5, 50, 4000), np.tile([60, 61, 62], 400)))
+    frame = grammar.unpack(grammar.pack(ids, np.array([2000, 4000, 1200])))
+    assert (frame.document(2) == ids[6000:]).all() and (frame.document(1) == ids[2000:6000]).all()
+    assert frame._reached(frame.seq[-3:]).sum() < len(frame.rules) / 2
+
+
 def expected(rows):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(VOCABULARY)
-    tokenizer.encode_special_tokens = True
     out, start = [], 0
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
         ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], dtype="<u4")
