@@ -6,21 +6,24 @@ found, and notices next to prose too. A window is described by its words and wor
 logistic regression over the ones that occur in training gives each window a probability
 per licence family and one for "unknown"; most of its weights are zero. The probabilities are calibrated on paragraphs kept out of training (a temperature on the
 scores). A predicted family counts only if the window also covers most of one of the
-family's templates; paragraphs and windows that do not need no score. Of overlapping windows,
+family's templates, holds the words that it cannot lack ("lesser", "noncommercial", a version) and
+none that make it another licence's; paragraphs and windows that cover none need no score. Of overlapping windows,
 the one that ends first counts, and of these the shortest.
 
-Training data are the templates with words dropped and with text of the corpus around them,
-and, as unknown, paragraphs of the corpus and phrases that merely speak of licences; the
-corpus sample is bounded by ``SAMPLE``. Scanning covers all paragraphs of all texts and uses
+Training data are the templates with words dropped, with usual words before them and with text of
+the corpus around them,
+and, as unknown, lines of the corpus, templates without the words that tell them from others, and
+phrases that merely speak of licences; the corpus sample is bounded by ``SAMPLE``. Scanning covers all paragraphs of all texts and uses
 DataFrame functions only.
 
 Null and empty texts have no paragraph; texts are known by a digest, so copies are scored
-alike; repeated paragraphs are counted each; an empty table gives no rows. Only doc_id and
-text are read.
+alike; repeated paragraphs are counted each; very long texts are read whole; an empty table gives no
+rows. Only doc_id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
+import re
 from math import ceil
 
 from pyspark.ml.classification import LogisticRegression
@@ -30,43 +33,92 @@ from pyspark.sql import functions as F
 
 from songloom.llm.tables import saved
 
-#: Usual notices of licence families.
+#: Usual notices of licence families, each with the words (or word pairs) it cannot
+#: lack and those that make it another licence's.
+_GPL_KIN = ("lesser general", "library general", "affero general")
+_CC_KIN = {"nc": ("by nc", "attribution noncommercial"), "sa": ("by sa", "nc sa", "attribution sharealike", "noncommercial sharealike"),
+           "nd": ("by nd", "nc nd", "attribution noderivatives", "attribution noderivs", "noncommercial noderivatives")}
+
+
+def _cc(code: str, name: str, *kin: str) -> list[tuple[str, tuple, tuple]]:
+    """Notices of a Creative Commons licence; ``kin`` are the conditions it does not have."""
+    bars = tuple(gram for k in kin for gram in _CC_KIN[k])
+    marks = [w for w in code.lower().split("-") if w != "by"]
+    words = name.lower().split("-")
+    return [
+        (f"Licensed under CC {code} 4.0.", ("cc", "by", *marks), bars),
+        (f"This work is licensed under a Creative Commons {name} 4.0 International License.", ("commons", *words), bars),
+        (f"SPDX-License-Identifier: CC-{code}-4.0", ("spdx", "cc by", *marks), bars),
+    ]
+
+
 TEMPLATES = {
+    "agpl": [
+        ("This work is licensed under the GNU Affero General Public License, version 3.", ("affero", "gnu"), ()),
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation.", ("affero", "gnu"), ()),
+        ("SPDX-License-Identifier: AGPL-3.0-or-later", ("spdx", "agpl"), ()),
+    ],
     "apache": [
-        "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
-        "SPDX-License-Identifier: Apache-2.0",
+        ("Licensed under the Apache License, Version 2.0.", ("apache",), ()),
+        ("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", ("apache",), ()),
+        ("SPDX-License-Identifier: Apache-2.0", ("spdx", "apache"), ()),
     ],
     "bsd": [
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-        "Licensed under the BSD 3-Clause License.",
-        "SPDX-License-Identifier: BSD-3-Clause",
+        ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", ("redistribution", "binary"), ()),
+        ("Licensed under the BSD 3-Clause License.", ("bsd", "3 clause"), ()),
+        ("SPDX-License-Identifier: BSD-3-Clause", ("spdx", "bsd", "3 clause"), ()),
     ],
-    "cc-by": [
-        "Licensed under CC BY 4.0.",
-        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "bsd-2": [
+        ("Licensed under the BSD 2-Clause License.", ("bsd", "2 clause"), ()),
+        ("SPDX-License-Identifier: BSD-2-Clause", ("spdx", "bsd", "2 clause"), ()),
     ],
-    "cc-by-nc": [
-        "Licensed under CC BY-NC 4.0.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc-by": _cc("BY", "Attribution", "nc", "sa", "nd"),
+    "cc-by-nc": _cc("BY-NC", "Attribution-NonCommercial", "sa", "nd"),
+    "cc-by-nc-nd": _cc("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives", "sa"),
+    "cc-by-nc-sa": _cc("BY-NC-SA", "Attribution-NonCommercial-ShareAlike", "nd"),
+    "cc-by-nd": _cc("BY-ND", "Attribution-NoDerivatives", "nc", "sa"),
+    "cc-by-sa": _cc("BY-SA", "Attribution-ShareAlike", "nc", "nd"),
+    "cc0": [
+        ("This work is dedicated to the public domain under CC0 1.0 Universal.", ("cc0", "universal"), ()),
+        ("SPDX-License-Identifier: CC0-1.0", ("spdx", "cc0"), ()),
     ],
-    "cc-by-sa": [
-        "Licensed under CC BY-SA 4.0.",
-        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "epl": [
+        ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.", ("eclipse",), ()),
+        ("SPDX-License-Identifier: EPL-2.0", ("spdx", "epl"), ()),
     ],
     "gpl": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
-        "SPDX-License-Identifier: GPL-3.0-or-later",
+        ("This work is licensed under the GNU General Public License, version 3.", ("gnu", "version 3"), _GPL_KIN),
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.", ("gnu general",), _GPL_KIN),
+        ("SPDX-License-Identifier: GPL-3.0-or-later", ("spdx", "gpl 3"), ()),
+        ("SPDX-License-Identifier: GPL-3.0-only", ("spdx", "gpl 3"), ()),
+    ],
+    "gpl-2": [
+        ("This work is licensed under the GNU General Public License, version 2.", ("gnu", "version 2"), _GPL_KIN),
+        ("SPDX-License-Identifier: GPL-2.0-or-later", ("spdx", "gpl 2"), ()),
+        ("SPDX-License-Identifier: GPL-2.0-only", ("spdx", "gpl 2"), ()),
+    ],
+    "isc": [
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", ("fee", "distribute"), ()),
+        ("Licensed under the ISC License.", ("isc",), ()),
+        ("SPDX-License-Identifier: ISC", ("spdx", "isc"), ()),
+    ],
+    "lgpl": [
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", ("lesser", "gnu"), ()),
+        ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.", ("lesser", "gnu"), ()),
+        ("SPDX-License-Identifier: LGPL-3.0-or-later", ("spdx", "lgpl"), ()),
     ],
     "mit": [
-        "Released under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
-        "SPDX-License-Identifier: MIT",
+        ("Released under the MIT License.", ("mit license",), ()),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.", ("charge", "deal"), ()),
+        ("SPDX-License-Identifier: MIT", ("spdx", "mit"), ()),
     ],
     "mpl": [
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-        "SPDX-License-Identifier: MPL-2.0",
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", ("mozilla",), ()),
+        ("SPDX-License-Identifier: MPL-2.0", ("spdx", "mpl"), ()),
+    ],
+    "unlicense": [
+        ("This is free and unencumbered software released into the public domain.", ("unencumbered",), ()),
+        ("SPDX-License-Identifier: Unlicense", ("spdx", "unlicense"), ()),
     ],
 }
 #: Phrases that speak of licences and are none.
@@ -79,7 +131,11 @@ OTHERS = [
     "The creative commons of the village is open to any person without restriction.",
     "All rights reserved.",
     "Permission to enter is granted to the following persons.",
+    "Licensed under the Elastic License 2.0.",
+    "This work is licensed under the European Union Public Licence, version 1.2.",
 ]
+#: What often stands before a notice, whatever the licence.
+LEADS = ["This code is", "This file is", "The software is", "All content of this work is", "This program is", "The text is"]
 FAMILIES = sorted(TEMPLATES)
 UNKNOWN = len(FAMILIES)
 #: Bounds: corpus paragraphs in training, variants per template, grams in the model.
@@ -103,9 +159,39 @@ def _grams_of(words: Column) -> Column:
 
 
 def templates(spark) -> DataFrame:
-    """family (number), template (number), text."""
-    rows = [(f, 10 * f + i, t) for f, name in enumerate(FAMILIES) for i, t in enumerate(TEMPLATES[name])]
-    return spark.createDataFrame(rows, "family int, template int, text string")
+    """family (number), template (number), text, needs, bars."""
+    rows = [(f, 10 * f + i, t, list(needs), list(bars)) for f, name in enumerate(FAMILIES) for i, (t, needs, bars) in enumerate(TEMPLATES[name])]
+    return spark.createDataFrame(rows, "family int, template int, text string, needs array<string>, bars array<string>")
+
+
+def template_words(text: str) -> list[str]:
+    """Distinct lower-case words of a template, as :func:`grams` finds them."""
+    return list(dict.fromkeys(re.findall(r"[a-z0-9]+", text.lower())))
+
+
+def template_grams(text: str) -> set[str]:
+    words = re.findall(r"[a-z0-9]+", text.lower())
+    return {*words, *map(" ".join, zip(words, words[1:]))}
+
+
+def probe_words(frequency: dict[str, int]) -> list[list[str]]:
+    """Per template, words of which every window that covers it holds one.
+
+    Such a window lacks at most ``size - ceil(COVERAGE * size)`` of the template's grams, so not
+    all grams of a set of words that is in more grams than that. Of all such sets, one of words
+    that are rare by ``frequency``.
+    """
+    found = []
+    for text in (t for name in FAMILIES for t, _, _ in TEMPLATES[name]):
+        whole = template_grams(text)
+        spare = len(whole) - ceil(COVERAGE * len(whole))
+        chosen: list[str] = []
+        for word in sorted(template_words(text), key=lambda w: (frequency.get(w, 0), -len(w), w)):
+            chosen.append(word)
+            if sum(any(w in chosen for w in g.split()) for g in whole) > spare:
+                break
+        found.append(chosen)
+    return found
 
 
 def training_rows(docs: DataFrame, sample: int = SAMPLE, variants: int = VARIANTS) -> DataFrame:
@@ -126,14 +212,22 @@ def training_rows(docs: DataFrame, sample: int = SAMPLE, variants: int = VARIANT
     ).join(F.broadcast(around), "slot", "left")  # at most 97 rows
     # a third of the variants stand inside other text
     inside = F.concat_ws(" ", F.substring("around", 1, 60), "text", F.substring("around", 61, 60))
-    positives = varied.select("label", F.when(F.col("variant") % 3 == 2, inside).otherwise(F.col("text")).alias("text"))
+    leads = F.array(*[F.lit(x) for x in LEADS])
+    led = F.concat_ws(" ", F.get(leads, F.col("slot") % len(LEADS)), "text")
+    turn = F.col("variant") % 3
+    positives = varied.select("label", F.when(turn == 2, inside).when(turn == 1, led).otherwise(F.col("text")).alias("text"))
     whole = grams("text")
     notice = F.lit(False)
-    for form in (grams(F.lit(t)) for name in FAMILIES for t in TEMPLATES[name]):
+    for form in (grams(F.lit(t)) for name in FAMILIES for t, _, _ in TEMPLATES[name]):
         notice = notice | (F.size(F.array_intersect(form, whole)) >= COVERAGE * F.size(form))
     unknown = chosen.filter(~notice).select(F.lit(UNKNOWN).alias("label"), "text")
+    # a notice without what tells its licence from others is one of a licence that is not known
+    bare = many.filter("variant < 8").select(
+        F.lit(UNKNOWN).alias("label"),
+        F.array_join(F.filter(words, lambda w, i: ~F.exists("needs", lambda n: F.contains(F.lower(w), F.element_at(F.split(n, " "), 1))) & (chance(i) >= 8)), " ").alias("text"),
+    )
     others = spark.createDataFrame([(UNKNOWN, t) for t in OTHERS for _ in range(10)], "label int, text string")
-    rows = positives.unionByName(unknown).unionByName(others)
+    rows = positives.unionByName(unknown).unionByName(bare).unionByName(others)
     return saved(
         rows.select("label", grams("text").alias("grams"), (F.pmod(F.xxhash64("text", F.lit(3)), F.lit(5)) == 0).alias("held")),
         "licence-training",
@@ -184,52 +278,107 @@ def _once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
-def windows(docs: DataFrame) -> DataFrame:
-    """key, number of the paragraph, first and last line, and grams of the windows that cover a template.
+def word_frequency(docs: DataFrame, sample: int = SAMPLE) -> dict[str, int]:
+    """In how many of a bounded sample of texts each word of a template occurs. It only chooses which
+    words are looked for first; what is found does not depend on it."""
+    words = sorted({w for name in FAMILIES for t, _, _ in TEMPLATES[name] for w in template_words(t)})
+    first = docs.select("text").orderBy(F.xxhash64("text"), "text").limit(sample)
+    seen = first.select(F.explode(F.array_intersect(_words("text"), F.array(*[F.lit(w) for w in words]))).alias("w"))
+    return {r["w"]: r["count"] for r in seen.groupBy("w").count().collect()}  # at most the words
+
+
+def form_grams(spark) -> DataFrame:
+    """family, template, gram, role (1 one of the template's grams, 2 needed too, 3 barred), and of the
+    template: size, needed (grams it cannot lack), enough (grams that make a cover)."""
+    rows = []
+    for f, name in enumerate(FAMILIES):
+        for i, (text, needs, bars) in enumerate(TEMPLATES[name]):
+            whole = template_grams(text)
+            shape = (len(whole), len(needs), ceil(COVERAGE * len(whole)))
+            rows += [(f, 10 * f + i, g, 2 if g in needs else 1, *shape) for g in sorted(whole)] + [(f, 10 * f + i, g, 3, *shape) for g in bars]
+    return spark.createDataFrame(rows, "family int, template int, gram string, role int, size int, needed int, enough int")
 
-    What a window covers, its paragraph covers too, so most paragraphs are left out whole. To
-    hold ``COVERAGE`` of a template's grams, some of its word pairs are needed even if all its
-    words are there; a window of several lines begins and ends with lines that add to these.
+
+def windows(docs: DataFrame) -> DataFrame:
+    """key, number of the paragraph, first and last line, and grams of the smallest windows that
+    cover a template and hold the grams it cannot lack, of at most :func:`longest` lines.
+
+    What a window covers, its paragraph and its text cover too, so most texts and paragraphs are
+    left out whole: those without any of the words of which a cover needs one, then those that
+    lack more words of every template than a cover may. In the others the template's grams are
+    placed: from a first line on, a gram is held as of the line of its first occurrence, so
+    the window ends where enough grams, and all needed ones, have come.
     """
-    forms = templates(docs.sparkSession).select(grams("text").alias("grams")).collect()  # fixed size
-    pairs = sorted({g for f in forms for g in f["grams"] if " " in g})
-    singles = [sum(" " not in g for g in f["grams"]) for f in forms]
-    least = max(1, min(ceil(COVERAGE * len(f["grams"])) - n for f, n in zip(forms, singles)))
-    known = F.array(*[F.lit(p) for p in pairs])
-    # a notice has at least one word in each of its lines
-    longest = max(len(t.split()) for name in FAMILIES for t in TEMPLATES[name]) + 1
-    covers = F.lit(False)
-    for f in forms:
-        shared = F.size(F.array_intersect(F.array(*[F.lit(g) for g in f["grams"]]), "grams"))
-        covers = covers | (shared >= COVERAGE * len(f["grams"]))
+    spark, reach = docs.sparkSession, longest()
+    texts = [t for name in FAMILIES for t, _, _ in TEMPLATES[name]]
+    probes = probe_words(word_frequency(docs))
+    rare = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(sorted({w for p in probes for w in p}))})(?![\p{{L}}\p{{N}}])"
+    hopeful = F.lit(False)
+    for text, probe in zip(texts, probes):
+        size, words = len(template_grams(text)), template_words(text)
+        there = F.size(F.array_intersect(F.array(*[F.lit(w) for w in words]), "words"))
+        spare = size - ceil(COVERAGE * size)
+        hopeful = hopeful | (F.arrays_overlap(F.array(*[F.lit(w) for w in probe]), "words") & (there >= len(words) - spare))
     cut = F.split("text", r"\n[^\p{L}\p{N}\n]*(?=\n)")
-    parts = docs.select(F.unhex(F.md5("text")).alias("key"), F.posexplode(cut).alias("number", "part"))
-    parts = parts.withColumn("words", _words("part")).filter(F.size(F.array_intersect(_pairs_of(F.col("words")), known)) >= least)
-    parts = parts.select("key", "number", "part", _once(_grams_of(F.col("words"))).alias("grams")).filter(covers)
+    some = docs.filter(F.lower("text").rlike(rare))
+    parts = some.select(F.unhex(F.md5("text")).alias("key"), F.posexplode(cut).alias("number", "part"))
+    parts = parts.filter(F.lower("part").rlike(rare)).select("key", "number", "part", _once(_words("part")).alias("words")).filter(hopeful)
     lines = F.filter(F.transform(F.split("part", "\n"), _words), lambda x: F.size(x) > 0)
-    parts = parts.select("key", "number", _once(lines).alias("lines"))
-    # pairs of a line, with the one across its end
-    joined = lambda x, i: F.concat(x, F.slice(F.coalesce(F.get("lines", i + 1), F.array().cast("array<string>")), 1, 1))
-    added = F.transform("lines", lambda x, i: F.size(F.array_intersect(_pairs_of(joined(x, i)), known)))
-    parts = parts.select("key", "number", "lines", _once(added).alias("added"))
-    at = parts.select("*", F.explode(F.sequence(F.lit(0), F.size("lines") - 1)).alias("start"))
-    last = F.least(F.size("lines") - 1, F.col("start") + longest - 1)
-    at = at.select("*", F.explode(F.sequence(F.col("start"), last)).alias("end"))
-    ends = (F.get("added", "start") > 0) & ((F.get("added", "end") > 0) | (F.get("added", F.col("end") - 1) > 0))
-    within = F.slice("added", F.col("start") + 1, F.col("end") - F.col("start") + 1)
-    enough = F.aggregate(within, F.lit(0), lambda a, b: a + b) >= least
-    at = at.filter(((F.col("start") == F.col("end")) | ends) & enough)
+    parts = saved(parts.dropDuplicates(["key", "number"]).select("key", "number", lines.alias("lines")), "licence-parts")
+
+    # words, pairs of a line, and the pair across its end
+    line = parts.select("key", "number", "lines", F.posexplode("lines").alias("first", "words"))
+    across = F.slice(F.coalesce(F.get("lines", F.col("first") + 1), F.array().cast("array<string>")), 1, 1)
+    pair = F.when(F.size(across) > 0, F.concat_ws(" ", F.element_at("words", -1), across[0]))
+    inside = F.transform(_grams_of(F.col("words")), lambda g: F.struct(g.alias("gram"), F.col("first").alias("last")))
+    over = F.array(F.struct(pair.alias("gram"), (F.col("first") + 1).alias("last")))
+    placed = line.select("key", "number", "first", F.explode(F.concat(inside, over)).alias("x")).select("key", "number", "first", "x.gram", "x.last")
+    forms = form_grams(spark).filter("role < 3")
+    met = placed.join(F.broadcast(forms), "gram")  # the templates' grams
+    # a stretch of lines holds the windows that begin in its first half
+    half = F.floor(F.col("first") / reach)
+    met = met.withColumn("stretch", F.explode(F.filter(F.array(half, half - 1), lambda x: x >= 0)))
+    group = ["key", "number", "stretch", "template"]
+    held = met.groupBy(*group, "gram").agg(
+        F.sort_array(F.collect_set(F.struct("first", "last"))).alias("at"), *(F.first(c).alias(c) for c in ("role", "enough", "needed"))
+    )
+    gram = F.struct("at", (F.col("role") == 2).alias("need"))
+    sets = held.groupBy(*group).agg(
+        F.collect_list(gram).alias("grams"), F.first("enough").alias("enough"), F.first("needed").alias("needed")
+    ).filter((F.size("grams") >= F.col("enough")) & (F.size(F.filter("grams", lambda g: g["need"])) == F.col("needed")))
+
+    def come(grams: Column, start: Column) -> Column:
+        """Lines as of which the grams are held from line ``start`` on, sorted."""
+        lines_of = F.transform(grams, lambda g: F.get(F.filter(g["at"], lambda x: x["first"] >= start), F.lit(0))["last"])
+        return F.array_sort(F.array_compact(lines_of))
+
+    def window(start: Column) -> Column:
+        every, needs = come(F.col("grams"), start), come(F.filter("grams", lambda g: g["need"]), start)
+        end = F.greatest(F.get(every, F.col("enough") - 1), F.when(F.size(needs) == F.col("needed"), F.element_at(needs, -1)))
+        whole = (F.size(every) >= F.col("enough")) & (F.size(needs) == F.col("needed"))
+        return F.struct(start.alias("start"), F.when(whole, end).alias("end"))
+
+    starts = F.array_sort(F.array_distinct(F.flatten(F.transform("grams", lambda g: g["at"]["first"]))))
+    mine = F.filter(starts, lambda s: F.floor(s / reach) == F.col("stretch"))
+    found = sets.select("key", "number", "template", F.explode(F.transform(mine, window)).alias("w")).select("key", "number", "template", "w.*")
+    found = found.filter(F.col("end").isNotNull() & (F.col("end") - F.col("start") < reach))
+    # of windows with one end, the one that begins last is the smallest
+    smallest = found.groupBy("key", "number", "template", "end").agg(F.max("start").alias("start")).select("key", "number", "start", "end").distinct()
     text = F.flatten(F.slice("lines", F.col("start") + 1, F.col("end") - F.col("start") + 1))
-    return at.select(*_PLACE, _once(_grams_of(text)).alias("grams")).filter(covers)
+    return smallest.join(parts, ["key", "number"]).select(*_PLACE, _grams_of(text).alias("grams"))
+
+
+def longest() -> int:
+    """Lines of a window at most: a notice has a word in each of its lines, but for one."""
+    return max(len(t.split()) for name in FAMILIES for t, _, _ in TEMPLATES[name]) + 1
 
 
 def notices(docs: DataFrame, weights: DataFrame, bias: list[float]) -> DataFrame:
     """key, family and probability of every confirmed notice."""
     spark = docs.sparkSession
-    forms = templates(spark).select("family", "template", grams("text").alias("grams"))
-    form_grams = forms.select("family", "template", F.size("grams").alias("size"), F.explode("grams").alias("g"))
-    form_grams = form_grams.select("family", "template", "size", F.xxhash64("g").alias("gram"))
-    in_forms = form_grams.groupBy("gram").agg(F.collect_list(F.struct("family", "template", "size")).alias("forms"))
+    in_forms = form_grams(spark).groupBy(F.xxhash64("gram").alias("gram")).agg(
+        F.collect_list(F.struct("family", "template", "size", "needed", "role")).alias("forms")
+    )
     # one bounded table of all grams that matter, in the model or in a template
     known = saved(weights.join(in_forms, "gram", "full"), "licence-grams")
     found = (
@@ -244,10 +393,12 @@ def notices(docs: DataFrame, weights: DataFrame, bias: list[float]) -> DataFrame
     total = F.aggregate(F.transform("s", lambda x: F.exp(x - top)), F.lit(0.0), lambda a, b: a + b)
     predicted = scored.select(*_PLACE, (F.array_position("s", top) - 1).cast("int").alias("family"), (1 / total).alias("probability"))
     predicted = predicted.filter((F.col("family") != UNKNOWN) & (F.col("probability") >= PROBABILITY))
+    role = lambda n: F.sum((F.col("role") == n).cast("int"))
     covered = (
         found.select(*_PLACE, F.explode("forms").alias("f")).select(*_PLACE, "f.*")
-        .groupBy(*_PLACE, "family", "template").agg((F.count("*") / F.first("size")).alias("coverage"))
-        .groupBy(*_PLACE, "family").agg(F.max("coverage").alias("coverage"))
+        .groupBy(*_PLACE, "family", "template", "size", "needed").agg(role(1).alias("plain"), role(2).alias("needs"), role(3).alias("bars"))
+        .filter((F.col("needs") == F.col("needed")) & (F.col("bars") == 0))
+        .groupBy(*_PLACE, "family").agg(F.max((F.col("plain") + F.col("needs")) / F.col("size")).alias("coverage"))
     )
     confirmed = predicted.join(covered, [*_PLACE, "family"]).filter(F.col("coverage") >= COVERAGE)
     window = F.struct("end", (-F.col("start")).alias("back"), "family", "probability")

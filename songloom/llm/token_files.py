@@ -42,6 +42,17 @@ _BYTE_SYMBOLS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not
 _BLANK = chr(_BYTE_SYMBOLS[32])
 
 
+class _Known(dict):
+    """Chunks and their ids; a chunk that is not there is encoded when it is looked up."""
+
+    def __init__(self, encode: Callable[[str, dict], bytes]):
+        self._encode = encode
+
+    def __missing__(self, chunk: str) -> bytes:
+        found = self[chunk] = self._encode(chunk, self)
+        return found
+
+
 class Encoder:
     """Encodes with the tokenizers library; equal chunks of text are encoded once.
 
@@ -57,7 +68,8 @@ class Encoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._bytes = [i.to_bytes(4, "little") for i in range(self._tokenizer.get_vocab_size())]
-        self._kept, self._first, self._later = kept, {}, {}
+        self._kept = kept
+        self._first, self._later = (_Known(lambda chunk, known, lead=lead: self._new(chunk, known, lead)) for lead in ("", " "))
         self._merge = self._tokenizer.model.tokenize
         self._line = self.whole("\n")
         self._marks = {c: self.whole(c) for c in ",.;:!?"}
@@ -82,27 +94,21 @@ class Encoder:
     def _new(self, chunk: str, known: dict[str, bytes], lead: str) -> bytes:
         # a mark after a letter is a token of its own
         if chunk[-1:] in self._marks and chunk[-2:-1].isalpha():
-            stem = known.get(chunk[:-1])
-            if stem is None:
-                stem = known[chunk[:-1]] = self._piece(lead + chunk[:-1])
-            return stem + self._marks[chunk[-1]]
+            return known[chunk[:-1]] + self._marks[chunk[-1]]
         return self._piece(lead + chunk)
 
-    def _encoded(self, chunks: list[str], known: dict[str, bytes], lead: str) -> list[bytes]:
+    def _encoded(self, chunks: list[str], known: dict[str, bytes]) -> list[bytes]:
         if len(known) > self._kept:
             known.clear()
-        for chunk in set(chunks).difference(known):
-            if chunk not in known:  # it may have come as another one's stem
-                known[chunk] = self._new(chunk, known, lead)
-        return [known[c] for c in chunks]
+        return list(map(known.__getitem__, chunks))
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if any(s in text for s in _JOINED_SPACE) or any(s in text for s in _OTHER_SPACE) or any(s in text for s in self._added):
             return self.whole(text)
         lines = [line.split(" ") for line in text.split("\n")]
-        starts = self._encoded([line[0] for line in lines], self._first, "")
-        rest = self._encoded([c for line in lines for c in line[1:]], self._later, " ")
+        starts = self._encoded([line[0] for line in lines], self._first)
+        rest = self._encoded([c for line in lines for c in line[1:]], self._later)
         out, at = [], 0
         for line, start in zip(lines, starts):
             stop = at + len(line) - 1
