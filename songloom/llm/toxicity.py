@@ -6,14 +6,15 @@ more together than apart (an insult next to the mention of a group), which no ad
 weights express. The pair sum takes one pass per factor.
 
 Training: labelled rows outside the held-out fold, at most ``max_per_label`` of each label,
-chosen by a hash of their ids. Tasks hash their terms; the driver gets these sets, keeps the
-``max_terms`` terms that tell the labels apart best and fits the machine to them. Scoring is
-one pass over all whole texts with a model of bounded size.
+chosen by a hash of their ids. Tasks hash their terms; the driver gets these sets and fits the
+machine to all terms that more than one text holds, however little each tells alone. Scoring
+is one pass over all whole texts with a model of bounded size (2^20 hashed terms).
 
 Null and empty texts have no terms and get the score of the bias. Labels other than 0 and 1,
 and labels without a document, are not learnt from; a document with several equal ids is
-learnt from once per row and label. Without labels of both kinds every score is 0. Every row
-gives one row; an empty table gives none.
+learnt from once per label. Without labels of both kinds every score is 0. Very long texts are
+scored whole. Every row gives one row; an empty table gives none. Columns of other names are not
+read here, and ``harmless`` hands them on whatever they are called.
 """
 
 from __future__ import annotations
@@ -32,14 +33,17 @@ from songloom.llm.tables import saved, unused
 
 BITS = 20
 FACTORS = 4
-#: Bounds of the training sample: documents per label, and terms kept in the model.
+#: Bound of the training sample: documents per label. Terms are bounded by their hashes.
 MAX_PER_LABEL = 4000
-MAX_TERMS = 512
+#: A term that one text alone holds says nothing of others.
+MIN_TEXTS = 2
 #: Beginnings of words that are terms of their own.
 BEGINNINGS = (4, 5, 6)
 THRESHOLD = 0.3
-#: Training takes at least so many steps, however few rows there are.
-STEPS = 1200
+#: Passes over the sample, documents of a step, and fewest steps, however few rows there are.
+EPOCHS, BATCH, STEPS = 20, 128, 1200
+#: Decay of weights and of factors.
+DECAY = (1e-5, 1e-3)
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -67,92 +71,82 @@ class Model:
 
     def margin(self, rows: list[int]) -> float:
         """Margin of a set of row numbers of the kept terms."""
-        v = self.factors[rows]
+        v = self.factors[rows].astype(np.float64)
         summed = v.sum(axis=0)
-        return float(self.bias + self.weights[rows].sum() + 0.5 * (summed @ summed - (v * v).sum()))
+        return float(self.bias + self.weights[rows].sum(dtype=np.float64) + 0.5 * (summed @ summed - (v * v).sum()))
 
 
 def _sigmoid(x: np.ndarray | float) -> np.ndarray | float:
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
-def _telling(sets: list[np.ndarray], labels: np.ndarray, max_terms: int) -> np.ndarray:
-    """The terms whose presence tells the labels apart best, by chi-square; of at least 5 texts."""
-    size = 1 << BITS
-    toxic = np.zeros(size)
-    clean = np.zeros(size)
-    for terms, label in zip(sets, labels):
-        (toxic if label else clean)[terms] += 1
-    a, b, n1, n0 = toxic, clean, labels.sum(), len(labels) - labels.sum()
-    seen = a + b
-    expected = seen * n1 / (n1 + n0)
-    spread = expected * (1 - seen / (n1 + n0)) * n0 / (n1 + n0)
-    chi = np.where(seen >= 5, (a - expected) ** 2 / np.maximum(spread, 1e-9), 0)
-    best = np.argsort(-chi, kind="stable")[:max_terms]
-    return np.sort(best[chi[best] > 20])
-
-
-def train(sets: list[np.ndarray], labels: np.ndarray, max_terms: int = MAX_TERMS, epochs: int = 25, seed: int = 1) -> Model:
-    """Fit by Adam on the logistic loss, with decay; batches of whole documents."""
+def train(sets: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 1) -> Model:
+    """Fit to all terms of at least ``MIN_TEXTS`` texts by Adam on the logistic loss, with decay.
+
+    Batches are whole documents; a step touches the terms of its batch only.
+    """
     if not len(labels) or labels.min() == labels.max():
         return Model()
-    terms = _telling(sets, labels, max_terms)
-    row_of = np.full(1 << BITS, -1, dtype=np.int64)
-    row_of[terms] = np.arange(len(terms))
-    kept = [r[r >= 0] for r in (row_of[np.unique(s)] for s in sets)]
+    seen = np.bincount(np.concatenate([np.unique(s) for s in sets]).astype(np.int64), minlength=1 << BITS)
+    terms = np.flatnonzero(seen >= MIN_TEXTS)
+    row_of = np.full(1 << BITS, -1, dtype=np.int32)
+    row_of[terms] = np.arange(len(terms), dtype=np.int32)
+    kept = [r[r >= 0] for r in (row_of[np.unique(s).astype(np.int64)] for s in sets)]
     rng = np.random.default_rng(seed)
-    bias, w, v = 0.0, np.zeros(len(terms)), rng.normal(0, 0.05, (len(terms), FACTORS))
-    moments = [np.zeros(1), np.zeros(1), np.zeros_like(w), np.zeros_like(w), np.zeros_like(v), np.zeros_like(v)]
+    bias, w = np.zeros(1), np.zeros((len(terms), 1), dtype=np.float32)
+    v = rng.normal(0, 0.05, (len(terms), FACTORS)).astype(np.float32)
+    moments = {name: (np.zeros_like(x), np.zeros_like(x)) for name, x in (("bias", bias), ("w", w), ("v", v))}
     step = 0
-    batches = max(1, len(labels) // 128)
+
+    def move(name: str, value: np.ndarray, at: np.ndarray | slice, slope: np.ndarray) -> None:
+        m, s = moments[name]
+        m[at] += 0.1 * (slope - m[at])
+        s[at] += 0.001 * (slope**2 - s[at])
+        value[at] -= 0.03 * (m[at] / (1 - 0.9**step)) / (np.sqrt(s[at] / (1 - 0.999**step)) + 1e-8)
+
+    batches = max(1, len(labels) // BATCH)
     for _ in range(max(epochs, STEPS // batches)):
         order = rng.permutation(len(labels))
         for batch in np.array_split(order, batches):
             sizes = np.array([len(kept[i]) for i in batch])
-            rows = np.concatenate([kept[i] for i in batch])
+            touched, rows = np.unique(np.concatenate([kept[i] for i in batch]), return_inverse=True)
             doc = np.repeat(np.arange(len(batch)), sizes)
-            vr = v[rows]
+            wr, vr = w[touched, 0][rows], v[touched][rows]
             summed = np.stack([np.bincount(doc, vr[:, f], len(batch)) for f in range(FACTORS)], axis=1)
             squares = np.bincount(doc, (vr * vr).sum(axis=1), len(batch))
-            margin = bias + np.bincount(doc, w[rows], len(batch)) + 0.5 * ((summed**2).sum(axis=1) - squares)
+            margin = bias[0] + np.bincount(doc, wr, len(batch)) + 0.5 * ((summed**2).sum(axis=1) - squares)
             slope = (_sigmoid(margin) - labels[batch]) / len(batch)
-            gw = np.bincount(rows, slope[doc], len(w)) + 1e-5 * w
             each = slope[doc, None] * (summed[doc] - vr)
-            gv = np.stack([np.bincount(rows, each[:, f], len(w)) for f in range(FACTORS)], axis=1) + 1e-3 * v
             step += 1
-            for i, (value, slopes) in enumerate(((None, np.array([slope.sum()])), (w, gw), (v, gv))):
-                m, s = moments[2 * i], moments[2 * i + 1]
-                m += 0.1 * (slopes - m)
-                s += 0.001 * (slopes**2 - s)
-                change = 0.03 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
-                if value is None:
-                    bias -= float(change[0])
-                else:
-                    value -= change
-    return Model(bias, terms, w, v)
+            move("bias", bias, slice(None), np.array([slope.sum()]))
+            move("w", w, touched, np.bincount(rows, slope[doc], len(touched))[:, None] + DECAY[0] * w[touched])
+            by_factor = [np.bincount(rows, each[:, f], len(touched)) for f in range(FACTORS)]
+            move("v", v, touched, np.stack(by_factor, axis=1) + DECAY[1] * v[touched])
+    return Model(float(bias[0]), terms, w[:, 0], v)
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [np.unique([t for w in words(x) for t in word_terms(w)]).astype("<u4").tobytes() for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["label", "terms"])
+        sets = [np.unique([t for w in words(x) for t in word_terms(w)]).astype("<u4").tobytes() for x in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sets, pa.binary())], names=["doc_id", "label", "terms"])
 
 
 def training_sets(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PER_LABEL) -> tuple[list[np.ndarray], np.ndarray]:
-    """Hashed terms and labels of the training sample: at most ``max_per_label`` documents each."""
+    """Hashed terms and labels of the training sample: at most ``max_per_label`` documents each.
+
+    Tasks hash the terms where the texts lie; rows with one id and label are reduced to one.
+    """
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
-    known = labels.select("doc_id", F.col("toxic").alias("label")).filter((fold != 2) & F.col("label").isin(0, 1)).distinct()
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).filter((fold != 2) & F.col("label").isin(0, 1)).distinct()
     ranked = [
         known.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_label) for k in (0, 1)
     ]
     chosen = saved(ranked[0].unionByName(ranked[1]), "toxicity-sample")  # bounded by the parameter
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = (
-        texts.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "label", "text").limit(4 * max_per_label).select("label", "text")
-        .mapInArrow(_hashed, "label int, terms binary").collect()
-    )  # at most four times the parameter
-    sets = [np.frombuffer(r["terms"], "<u4") for r in rows]
-    return sets, np.array([r["label"] for r in rows], dtype=float)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    hashed = texts.select("doc_id", "label", "text").mapInArrow(_hashed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label int, terms binary")
+    rows = hashed.groupBy("doc_id", "label").agg(F.min("terms").alias("terms")).collect()  # at most twice the parameter
+    rows.sort(key=lambda r: (r["doc_id"], r["label"]))
+    return [np.frombuffer(r["terms"], "<u4") for r in rows], np.array([r["label"] for r in rows], dtype=float)
 
 
 def _scorer(model: Model, name: str = "score", kept: int = 100_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -1,5 +1,7 @@
+import zlib
+
 import numpy as np
-from cases import no_docs, odd_docs
+from cases import DOCS, no_docs, odd_docs
 
 from songloom.llm import toxicity as t
 
@@ -35,6 +37,56 @@ def test_pairs_are_learnt_that_single_weights_miss():
     assert ((scores(additive, held) >= t.THRESHOLD) == truth).mean() < 0.99
 
 
+def test_many_weak_terms_mean_much_together():
+    """60 insults and 60 groups; each word alone says almost nothing, whatever it stands beside."""
+
+    def texts_of(seed, n):
+        rnd = np.random.default_rng(seed)
+        filler, insults, groups = ([f"{p}{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(k)] for p, k in (("word", 300), ("insult", 60), ("group", 60)))
+        out, labels = [], []
+        for _ in range(n):
+            kind = rnd.random()
+            words = list(rnd.choice(filler, 10))
+            if kind < 0.7:  # an insult, a group, or both
+                words += [rnd.choice(insults)] * (kind < 0.25 or kind >= 0.45) + [rnd.choice(groups)] * (kind >= 0.25)
+            out.append(" ".join(rnd.permutation(words)))
+            labels.append(float(0.45 <= kind < 0.7))
+        return out, np.array(labels)
+
+    texts, labels = texts_of(1, 8000)
+    model = t.train(hashed(texts), labels)
+    held, truth = texts_of(2, 1000)
+    assert ((scores(model, held) >= t.THRESHOLD) == truth).mean() >= 0.99
+
+
+def test_scores_by_every_pair(spark, data_dir):
+    """Training, folds and scores of the query, with the margin summed pair by pair."""
+    docs, labels = (spark.read.parquet(f"{data_dir}/{n}.parquet") for n in ("documents", "labels"))
+    model = t.fit(docs, labels)
+    rows = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    fold = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in rows}
+    told = {(r["doc_id"], r["toxic"]) for r in labels.collect() if r["doc_id"] in rows and not fold[r["doc_id"]] and r["toxic"] in (0, 1)}
+    sets, given = t.training_sets(docs, labels)
+    assert len(sets) == len(told) and sorted(given) == sorted(float(x) for _, x in told)
+    place = {int(h): i for i, h in enumerate(model.terms)}
+    got = {r["doc_id"]: r for r in t.classify(docs, labels).collect()}
+    for i in sorted(rows)[:40]:
+        found = sorted({place[h] for w in t.words(rows[i]) for h in t.word_terms(w) if h in place})[:400]
+        if len({h for w in t.words(rows[i]) for h in t.word_terms(w) if h in place}) > 400:
+            continue
+        f = model.factors[found].astype(float)
+        margin = model.bias + model.weights[found].astype(float).sum() + sum((f[a] * f[a + 1 :]).sum() for a in range(len(found)))
+        assert got[i]["held_out"] == fold[i] and abs(got[i]["score"] - t._sigmoid(margin)) < 1e-6
+        assert got[i]["predicted"] == int(got[i]["score"] >= 0.3)
+
+
+def test_repeated_ids_are_learnt_from_once(spark):
+    docs = spark.createDataFrame([(1, f"bad words here {i}", "en", "s", 1) for i in range(50)] + [(3, "fine words", "en", "s", 1)], DOCS)
+    labels = spark.createDataFrame([(1, 0, 1), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    sets, given = t.training_sets(docs, labels, max_per_label=1)
+    assert given.tolist() == [1.0, 0.0] and len(sets) == 2
+
+
 def test_margin_is_the_sum_over_pairs():
     rnd = np.random.default_rng(3)
     model = t.Model(0.5, np.arange(6), rnd.normal(size=6), rnd.normal(size=(6, t.FACTORS)))
