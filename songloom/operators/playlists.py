@@ -5,8 +5,9 @@ Log columns: ``user, seq, action, list_id, name, video_key, title, url`` with ac
 ``seq`` is unique per user and gives the order; ids of created lists are unique.
 
 Most lists never reach a cap, and without caps every outcome follows from the row before
-on the same key: that part is joins and slices. Only users or lists that do reach a cap
-go through an ordered fold, which reads sorted rows and holds at most ``cap`` keys.
+on the same key: that part is joins and slices. For users or lists that do reach a cap, the few
+rows that can change something go through an ordered fold, which holds at most ``cap`` keys
+(see :func:`capped`); the outcomes of all others follow from theirs.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.records import NAME_MAX, TITLE_MAX
@@ -66,6 +68,40 @@ def _fold(df: DataFrame, group: list[str], key: str, cap: int, grow: str) -> Dat
     return ordered.mapInPandas(partial(bounded_fold, group=group, key=key, cap=cap, grow=grow), schema)
 
 
+def capped(df: DataFrame, group: list[str], key: str, cap: int, grow: str) -> DataFrame:
+    """``df`` with ``effective`` and ``result``: sets of at most ``cap`` keys per group.
+
+    Only a removal of a key that an earlier row added can make room, so these cut a group into
+    epochs. In an epoch the set never shrinks: after the first ``cap`` keys that it names, new or
+    held, the set is full, and nothing after them changes it. So the fold reads, of any
+    number of rows, the removals and up to ``cap`` rows per epoch; another addition names a
+    key that the epoch has named, or comes when the set is full, which its size so far tells.
+    """
+    adds = F.col("action") == grow
+    per_key = [*group, key]
+    seen = neighbours(df, per_key, ["seq"], _slice(), previous={"_before": F.col("action")})
+    # a null key is a key like any other
+    frees = ~adds & F.coalesce(F.col("_before") == grow, F.lit(False))
+    seen = seen.withColumn("_frees", frees)
+    epochs = neighbours(seen, group, ["seq"], _slice(), total={"_epoch": F.col("_frees").cast("long")})
+    known = neighbours(epochs, per_key, ["seq"], _slice(), previous={"_named": F.struct("_epoch", F.col("action").alias("a"))})
+    again = (F.col("_named.a") == grow) & (F.col("_named._epoch") == F.col("_epoch"))
+    known = cut(known.withColumn("_first", adds & ~F.coalesce(again, F.lit(False))).drop("_before", "_named"))
+    rank = F.row_number().over(W.partitionBy(*group, "_epoch").orderBy("seq"))  # cut before the shuffle
+    early = known.filter("_first").select(*per_key, "seq", "action", "_epoch").withColumn("_rank", rank)
+    matter = early.filter(F.col("_rank") <= cap).drop("_rank", "_epoch").unionByName(
+        known.filter("_frees").select(*per_key, "seq", "action")
+    )
+    folded = _fold(matter, group, key, cap, grow).select(*group, "seq", "effective", "result")
+    told = known.join(cut(folded), [*group, "seq"], "left")
+    step = F.when(F.col("effective"), F.when(adds, 1).otherwise(-1)).otherwise(0)
+    left = neighbours(told, group, ["seq"], _slice(), total={"_size": step})
+    otherwise = F.when(~adds, F.lit("removed")).when(F.col("_size") >= cap, "full").otherwise("duplicate")
+    return left.select(
+        *df.columns, F.coalesce("effective", F.lit(False)).alias("effective"), F.coalesce("result", otherwise).alias("result")
+    )
+
+
 def list_lives(log: DataFrame, max_lists: int = MAX_LISTS) -> DataFrame:
     """Accepted lists: ``[user, list_id, name, from_seq, to_seq]``, ``to_seq`` null if alive."""
     keys = ["user", "list_id"]
@@ -84,16 +120,14 @@ def list_lives(log: DataFrame, max_lists: int = MAX_LISTS) -> DataFrame:
     counted = neighbours(steps, ["user"], ["seq"], _slice(), total={"n": F.col("step")})
     over = counted.filter(F.col("n") > max_lists).select("user").distinct()
     free = lives.join(over, "user", "left_anti")
-    folded = _fold(
-        events.join(over, "user", "left_semi").select("user", "seq", "action", "list_id", "name"),
-        ["user"], "list_id", max_lists, "create",
-    ).filter("effective")
-    capped = folded.groupBy(*keys).agg(
+    crowded = events.join(over, "user", "left_semi").select("user", "seq", "action", "list_id", "name")
+    kept = capped(crowded, ["user"], "list_id", max_lists, "create").filter("effective")
+    accepted = kept.groupBy(*keys).agg(
         F.max(F.when(F.col("action") == "create", F.col("name"))).alias("name"),
         F.min(F.when(F.col("action") == "create", F.col("seq"))).alias("from_seq"),
         F.max(F.when(F.col("action") == "delete", F.col("seq"))).alias("to_seq"),
     )
-    return free.unionByName(capped)
+    return free.unionByName(accepted)
 
 
 def _item_steps(log: DataFrame, lives: DataFrame, max_items: int) -> DataFrame:
@@ -115,9 +149,8 @@ def _item_steps(log: DataFrame, lives: DataFrame, max_items: int) -> DataFrame:
     over = counted.filter((F.col("action") == "add") & (before >= max_items)).select(*group).distinct()
     result = F.when(~adds, "removed").when(F.col("effective"), "added").otherwise("duplicate")
     free = counted.join(over, group, "left_anti").drop("n").withColumn("result", result)
-    capped = counted.join(over, group, "left_semi").drop("n", "effective")
-    folded = _fold(capped.select(*items.columns), group, "video_key", max_items, "add")
-    return free.unionByName(folded)
+    full = counted.join(over, group, "left_semi").select(*items.columns)
+    return free.unionByName(capped(full, group, "video_key", max_items, "add"))
 
 
 def apply_mutations(

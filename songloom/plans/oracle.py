@@ -438,6 +438,26 @@ select l."user", l.seq, l.action,
     when not l.alive then 'no_list' when l.action = 'rename' then 'ok' when l.action = 'remove' then 'removed' when s.held then 'duplicate' else 'added' end as result
 from lg l left join steps s on s."user" = l."user" and s.seq = l.seq"""
 
+# One change of every user a step; items are kept as list|key.
+ORACLE["playlist_caps"] = f"""
+with recursive {_LISTS},
+turns as (select "user", seq, action, case when action = 'create' then 'L' || seq when made is null then 'none' else 'L' || made end as lid, video_key as vkey, row_number() over (partition by "user" order by seq) as rn from lg),
+run as (
+  select "user", 0::bigint as rn, []::varchar[] as lists, []::varchar[] as items, null::bigint as seq, null::varchar as action, null::boolean as ok, null::varchar as result from (select distinct "user" from turns)
+  union all
+  select t."user", t.rn,
+    case when t.action = 'create' and len(lists) < 2 then list_append(lists, lid) when t.action = 'delete' then list_filter(lists, lambda x: x <> lid) else lists end,
+    case when t.action = 'delete' then list_filter(items, lambda x: not starts_with(x, lid || '|'))
+      when t.action = 'add' and list_contains(lists, lid) and not list_contains(items, lid || '|' || vkey) and len(list_filter(items, lambda x: starts_with(x, lid || '|'))) < 2 then list_append(items, lid || '|' || vkey)
+      when t.action = 'remove' then list_filter(items, lambda x: x <> lid || '|' || vkey) else items end,
+    t.seq, t.action,
+    case t.action when 'create' then len(lists) < 2 when 'add' then list_contains(lists, lid) and not list_contains(items, lid || '|' || vkey) and len(list_filter(items, lambda x: starts_with(x, lid || '|'))) < 2 else list_contains(lists, lid) end,
+    case when t.action = 'create' then case when len(lists) < 2 then 'ok' else 'too_many' end when not list_contains(lists, lid) then 'no_list'
+      when t.action = 'remove' then 'removed' when t.action <> 'add' then 'ok'
+      when len(list_filter(items, lambda x: starts_with(x, lid || '|'))) >= 2 then 'full' when list_contains(items, lid || '|' || vkey) then 'duplicate' else 'added' end
+  from run r join turns t on t."user" = r."user" and t.rn = r.rn + 1)
+select "user", seq, action, ok, result from run where rn > 0"""
+
 ORACLE["playlist_state"] = f"""
 with {_LISTS}, final as (select "user", made, video_key, arg_max(action, seq) as act from steps group by 1, 2, 3),
 sizes as (select "user", made, count(*) as n from final where act = 'add' group by 1, 2),

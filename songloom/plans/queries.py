@@ -619,6 +619,12 @@ def playlist_outcomes(spark, sf):
     return pl.apply_mutations(inp.mutation_log(spark, sf))[2]
 
 
+@query
+def playlist_caps(spark, sf):
+    """M1 at its caps: the outcome of every change with two lists a user and two items a list."""
+    return pl.apply_mutations(inp.mutation_log(spark, sf), 2, 2)[2]
+
+
 @query
 def playlist_state(spark, sf):
     """Current lists and their sizes."""

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from songloom.operators import playlists as pl
 
@@ -83,6 +84,26 @@ def test_fold_equals_sequential_meaning(spark, monkeypatch, caps):
     assert all(len(l["items"]) == sizes[u, l["id"]] for u, ls in nested.items() for l in ls)
 
 
+def test_a_full_list_is_folded_by_few_rows(spark, monkeypatch):
+    """Very many additions to one list; of them only those that can change it reach the fold."""
+    seen, fold = [], pl._fold
+    monkeypatch.setattr(pl, "_fold", lambda df, *more: seen.append(df.count()) or fold(df, *more))
+    n = 300_000
+    row = F.when(F.col("id") == 0, "create").when(F.col("id") % 60_000 == 59_999, "remove").otherwise("add")
+    key = F.concat(F.lit("k"), F.when(F.col("id") % 60_000 == 59_999, F.floor(F.col("id") / 60_000) + 1).otherwise(F.col("id") % 5_000).cast("string"))
+    log = spark.range(n).select(
+        F.lit("u").alias("user"), F.col("id").alias("seq"), row.alias("action"), F.lit("L").alias("list_id"), F.lit("n").alias("name"),
+        key.alias("video_key"), F.lit("t").alias("title"), F.lit("u").alias("url"),
+    )
+    _, items, outcomes = pl.apply_mutations(log, 50, 500)
+    told = {(r["action"], r["result"]): r["count"] for r in outcomes.groupBy("action", "result").count().collect()}
+    want = {}
+    for action, (_, why) in zip(row_actions := [r["action"] for r in log.orderBy("seq").collect()], spec([tuple(r) for r in log.orderBy("seq").collect()], 50, 500)[1].values()):
+        want[action, why] = want.get((action, why), 0) + 1
+    assert told == want and items.count() == 499 and len(row_actions) == n
+    assert max(seen) <= 6 * 501
+
+
 def test_snapshot(spark):
     fresh = spark.createDataFrame([("a", 200, ["x"]), ("b", 401, None), ("c", 503, None)], "user string, status int, lists array<string>")
     snap = spark.createDataFrame([("a", ["old"]), ("b", ["old"])], "user string, lists array<string>")
