@@ -194,12 +194,16 @@ def probe_words(frequency: dict[str, int]) -> list[list[str]]:
     return found
 
 
-def training_rows(docs: DataFrame, sample: int = SAMPLE, variants: int = VARIANTS) -> DataFrame:
-    """label, grams, held: variants of the templates, and paragraphs of the corpus as unknown."""
-    spark = docs.sparkSession
+def sampled(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """Distinct lines of a bounded sample of the corpus: those with the smallest hashes."""
     lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("text"))
     first = lines.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(sample)  # bounded: for training only
-    chosen = saved(first.select("text").distinct(), "licence-sample")
+    return saved(first.select("text").distinct(), "licence-sample")
+
+
+def training_rows(chosen: DataFrame, variants: int = VARIANTS) -> DataFrame:
+    """label, grams, held: variants of the templates, and lines of the sample as unknown."""
+    spark = chosen.sparkSession
     numbered = chosen.select("text", F.pmod(F.xxhash64("text", F.lit(1)), F.lit(97)).alias("slot"))
     around = numbered.groupBy("slot").agg(F.min("text").alias("around"))
     many = templates(spark).withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(variants - 1))))
@@ -278,12 +282,11 @@ def _once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
-def word_frequency(docs: DataFrame, sample: int = SAMPLE) -> dict[str, int]:
-    """In how many of a bounded sample of texts each word of a template occurs. It only chooses which
-    words are looked for first; what is found does not depend on it."""
+def word_frequency(chosen: DataFrame) -> dict[str, int]:
+    """In how many lines of the sample each word of a template occurs. It only chooses which words
+    are looked for first; what is found does not depend on it."""
     words = sorted({w for name in FAMILIES for t, _, _ in TEMPLATES[name] for w in template_words(t)})
-    first = docs.select("text").orderBy(F.xxhash64("text"), "text").limit(sample)
-    seen = first.select(F.explode(F.array_intersect(_words("text"), F.array(*[F.lit(w) for w in words]))).alias("w"))
+    seen = chosen.select(F.explode(F.array_intersect(_words("text"), F.array(*[F.lit(w) for w in words]))).alias("w"))
     return {r["w"]: r["count"] for r in seen.groupBy("w").count().collect()}  # at most the words
 
 
@@ -299,7 +302,7 @@ def form_grams(spark) -> DataFrame:
     return spark.createDataFrame(rows, "family int, template int, gram string, role int, size int, needed int, enough int")
 
 
-def windows(docs: DataFrame) -> DataFrame:
+def windows(docs: DataFrame, frequency: dict[str, int] | None = None) -> DataFrame:
     """key, number of the paragraph, first and last line, and grams of the smallest windows that
     cover a template and hold the grams it cannot lack, of at most :func:`longest` lines.
 
@@ -311,7 +314,7 @@ def windows(docs: DataFrame) -> DataFrame:
     """
     spark, reach = docs.sparkSession, longest()
     texts = [t for name in FAMILIES for t, _, _ in TEMPLATES[name]]
-    probes = probe_words(word_frequency(docs))
+    probes = probe_words(frequency or {})
     rare = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(sorted({w for p in probes for w in p}))})(?![\p{{L}}\p{{N}}])"
     hopeful = F.lit(False)
     for text, probe in zip(texts, probes):
@@ -373,7 +376,7 @@ def longest() -> int:
     return max(len(t.split()) for name in FAMILIES for t, _, _ in TEMPLATES[name]) + 1
 
 
-def notices(docs: DataFrame, weights: DataFrame, bias: list[float]) -> DataFrame:
+def notices(docs: DataFrame, weights: DataFrame, bias: list[float], frequency: dict[str, int]) -> DataFrame:
     """key, family and probability of every confirmed notice."""
     spark = docs.sparkSession
     in_forms = form_grams(spark).groupBy(F.xxhash64("gram").alias("gram")).agg(
@@ -382,7 +385,7 @@ def notices(docs: DataFrame, weights: DataFrame, bias: list[float]) -> DataFrame
     # one bounded table of all grams that matter, in the model or in a template
     known = saved(weights.join(in_forms, "gram", "full"), "licence-grams")
     found = (
-        windows(docs).select(*_PLACE, F.explode(F.transform("grams", lambda g: F.xxhash64(g))).alias("gram"))
+        windows(docs, frequency).select(*_PLACE, F.explode(F.transform("grams", lambda g: F.xxhash64(g))).alias("gram"))
         .join(F.broadcast(known), "gram")  # at most GRAMS and the templates' grams
         .groupBy(*_PLACE, "gram").agg(F.first("weights").alias("weights"), F.first("forms").alias("forms"))
     )  # copies of a text give its grams once
@@ -412,10 +415,11 @@ def notices(docs: DataFrame, weights: DataFrame, bias: list[float]) -> DataFrame
 def scan(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_notices, families (sorted names), probability of the surest one."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    weights, bias = train(training_rows(texts))
+    chosen = sampled(texts)
+    weights, bias = train(training_rows(chosen))
     names = F.array(*[F.lit(f) for f in FAMILIES])
     by_text = saved(
-        notices(texts, weights, bias).groupBy("key").agg(
+        notices(texts, weights, bias, word_frequency(chosen)).groupBy("key").agg(
             F.count("*").alias("n_notices"),
             F.array_sort(F.collect_set(F.get(names, F.col("family")))).alias("families"),
             F.max("probability").alias("probability"),
