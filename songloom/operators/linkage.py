@@ -66,14 +66,7 @@ def signatures(wants: DataFrame, *extra: str) -> DataFrame:
 
 def raw_signatures(catalog: DataFrame) -> DataFrame:
     """:func:`catalog_signatures` without the comparison keys."""
-    rows = usable_rows(catalog).select(
-        F.lower(text("artistName")).alias("l_artist"),
-        F.lower(text("trackName")).alias("l_track"),
-        F.coalesce(F.col("duration").cast("double"), F.lit(0.0)).alias("r_duration"),
-        _filled("syncedLyrics").isNotNull().alias("r_synced"),
-        "row_ord",
-    )
-    return rows.groupBy("l_artist", "l_track", "r_duration", "r_synced").agg(
+    return _raw_rows(catalog).groupBy("l_artist", "l_track", "r_duration", "r_synced").agg(
         F.min("row_ord").alias("row_ord")
     )
 
@@ -208,45 +201,73 @@ def rarest_first(bags: DataFrame, tokens: str, postings: DataFrame, key: str) ->
     )
 
 
-def _token_pairs(wants: DataFrame, catalog: DataFrame, prefix: Column) -> DataFrame:
-    """Want and row signatures sharing one of the ``prefix`` rarest wanted words.
+def _raw_rows(catalog: DataFrame) -> DataFrame:
+    """Usable rows with the columns that signatures are made of; copies are not removed."""
+    return usable_rows(catalog).select(
+        F.lower(text("artistName")).alias("l_artist"),
+        F.lower(text("trackName")).alias("l_track"),
+        F.coalesce(F.col("duration").cast("double"), F.lit(0.0)).alias("r_duration"),
+        _filled("syncedLyrics").isNotNull().alias("r_synced"),
+        "row_ord",
+    )
+
 
-    The join runs over an inverted index of (word, row number) only; texts and token
-    arrays are fetched for the surviving pairs. ``prefix`` may use ``ranked``.
+def _token_hits(wants: DataFrame, rows: DataFrame, prefix: Column, need: Column) -> tuple[DataFrame, DataFrame]:
+    """Bags of wanted words, and ``[bag, row_ord]`` of the first rows of their signatures that hold
+    ``need`` of the words.
+
+    All of it runs on (word, row number) and digests: a want meets rows on its ``prefix`` rarest
+    words, and the other words are counted in the same inverted index. No text is fetched.
+    ``prefix`` may use ``ranked``, ``need`` the words ``w_tokens``.
     """
-    rows = raw_signatures(catalog)
-    words = tx.tokens(tx.normalize_for_match(F.concat_ws(" ", "l_artist", "l_track")))
-    bags = (
+    bags = cut(
         signatures(wants)
         .withColumn("w_tokens", F.array_sort(tx.tokens(F.concat_ws(" ", "w_track", "w_artist"))))
         .filter(F.size("w_tokens") > 0)
         .withColumn("bag", F.md5(F.to_json(F.struct(*WANT))))
     )
-    postings = cut(spread(rows, ["row_ord"], words, "at", "t").select("row_ord", "t"))
+    words = tx.tokens(tx.normalize_for_match(F.concat_ws(" ", "l_artist", "l_track")))
+    signature = [F.md5("l_artist").alias("a"), F.md5("l_track").alias("t"), "r_duration", "r_synced"]
+    first = rows.groupBy(*signature).agg(F.min("row_ord").alias("row_ord")).select("row_ord")
+    postings = spread(rows, ["row_ord"], words, "at", "t").select("row_ord", "t")
+    postings = cut(postings.join(first, "row_ord", "left_semi"))
     ranked = rarest_first(bags, "w_tokens", postings, "bag")
     heads = F.transform(F.slice("ranked", F.lit(1), prefix), lambda r: r["t"])
-    probes = ranked.select("bag", F.explode(heads).alias("t"))
-    met = probes.join(postings, "t").select("bag", "row_ord").distinct()
-    pairs = met.join(bags, "bag").join(rows, "row_ord").drop("bag")
-    return with_row_keys(pairs).withColumn("r_tokens", words)
+    met = ranked.select("bag", F.explode(heads).alias("t")).join(postings, "t").select("bag", "row_ord").distinct()
+    asked = bags.select("bag", need.alias("need"), F.explode("w_tokens").alias("t"))
+    shared = met.join(asked, "bag").join(postings, ["row_ord", "t"]).groupBy("bag", "row_ord", "need")
+    return bags, shared.agg(F.count(F.lit(1)).alias("n")).filter("n >= need").select("bag", "row_ord")
 
 
 def search_all_terms(wants: DataFrame, catalog: DataFrame) -> DataFrame:
     """Rows holding every wanted word; adds the ``row_ord`` of the lowest score.
 
-    Each distinct want meets the catalog on its rarest word only. Rows are signatures
-    (:func:`catalog_signatures`), scored by P15; holding every word is P6, so the
-    acceptance test of the reference is always met.
+    Rows are signatures (:func:`catalog_signatures`), scored by P15; holding every word is P6, so
+    the acceptance test of the reference is always met. The search is best-first: lengths bound
+    a score from below, the exact score of each want's most promising row bounds its best from
+    above, and only rows whose lower bound does not exceed that are compared, within it.
     """
-    keyed = wanted(wants)
-    pairs = _token_pairs(keyed, catalog, F.lit(1)).filter(
-        F.size(F.array_except("w_tokens", "r_tokens")) == 0
-    )
-    scored = pairs.select(*WANT, "row_ord", score().alias("score"))
-    best = scored.groupBy(*WANT).agg(
-        F.min(F.struct("score", "row_ord")).alias("b")
-    )
-    return keyed.join(best, WANT, "left").select(*wants.columns, "b.row_ord", "b.score")
+    keyed, rows = wanted(wants), _raw_rows(catalog)
+    bags, hits = _token_hits(keyed, rows, F.lit(1), F.size("w_tokens"))
+    hits = cut(hits)
+    # keys of titles once per row, not per pair
+    named = cut(with_row_keys(rows.join(hits.select("row_ord").distinct(), "row_ord", "left_semi")).drop("l_artist", "l_track"))
+    facts = named.select("row_ord", "r_duration", "r_synced", F.length("r_track").alias("n_track"), F.length("r_artist").alias("n_artist"))
+    artist = F.when(_named(), F.abs(F.col("n_artist") - F.length("w_artist"))).otherwise(NEUTRAL_ARTIST_DISTANCE)
+    bonus = F.when(F.col("r_synced"), SYNCED_BONUS).otherwise(0)
+    rest = ARTIST_WEIGHT * artist + tx.duration_penalty("r_duration", "w_duration") - bonus  # at least
+    least = F.abs(F.col("n_track") - F.length("w_track")) + rest
+    bounded = cut(hits.join(facts, "row_ord").join(bags, "bag").select("bag", "row_ord", rest.alias("rest"), least.alias("least")))
+    likely = bounded.groupBy("bag").agg(F.min_by("row_ord", F.struct("least", "row_ord")).alias("row_ord"))
+    texts = bags.select("bag", *WANT)
+    known = likely.join(named, "row_ord").join(texts, "bag").select("bag", score().alias("most"))
+    near = bounded.join(known, "bag").filter(F.col("least") <= F.col("most"))
+    pairs = near.join(named, "row_ord").join(texts, "bag")
+    spare = F.floor(F.col("most") - F.col("rest") + 1e-6).cast("int")  # edits of the title that the bound leaves
+    close = pairs.filter(tx.within(F.col("r_track"), F.col("w_track"), F.greatest(spare, F.lit(0))))
+    best = close.select("bag", "row_ord", score().alias("score")).groupBy("bag").agg(F.min(F.struct("score", "row_ord")).alias("b"))
+    found = best.join(texts, "bag").select(*WANT, "b")
+    return keyed.join(found, WANT, "left").select(*wants.columns, "b.row_ord", "b.score")
 
 
 def search_broad(wants: DataFrame, catalog: DataFrame, share: float = 0.5) -> DataFrame:
@@ -260,9 +281,10 @@ def search_broad(wants: DataFrame, catalog: DataFrame, share: float = 0.5) -> Da
     def need(tokens: str) -> Column:
         return F.ceil(F.size(tokens) * F.lit(share)).cast("int")
 
-    pairs = _token_pairs(wanted(wants), catalog, F.size("ranked") - need("ranked") + 1)
-    enough = F.size(F.array_intersect("w_tokens", "r_tokens")) >= need("w_tokens")
-    return pairs.filter(enough).filter(accepted()).drop("w_tokens", "r_tokens")
+    rows = _raw_rows(catalog)
+    bags, hits = _token_hits(wanted(wants), rows, F.size("ranked") - need("ranked") + 1, need("w_tokens"))
+    named = with_row_keys(rows.join(hits.select("row_ord").distinct(), "row_ord", "left_semi"))
+    return hits.join(named, "row_ord").join(bags.select("bag", *WANT), "bag").drop("bag").filter(accepted())
 
 
 # ── Fuzzy join ───────────────────────────────────────────────────────────────

@@ -255,23 +255,24 @@ def achievements(
 ) -> tuple[DataFrame, DataFrame]:
     """Earned flag per (user, tier), and per user the count and the next tier.
 
-    ``progress`` holds ``[user, track, progress]``, ``tiers`` hold ``[track, key, name,
-    threshold]``. Every user meets every tier of a track by definition; the tier table
-    is the catalog of badges.
+    ``progress`` holds ``[user, track, progress]``, one row each, ``tiers`` hold ``[track, key,
+    name, threshold]``. The flags are one row per user and tier by definition. The summary needs
+    no such pairs: a track's tiers travel as one sorted ladder, and the progress is placed in it.
     """
     badges = progress.join(tiers, track).withColumn(
         "earned", F.col("progress") >= F.col("threshold")
     )
-    missing = F.when(~F.col("earned"), F.struct("threshold", "name", "key"))
-    summary = badges.groupBy(user, track).agg(
-        F.sum(F.col("earned").cast("int")).alias("earnedCount"),
-        F.count(F.lit(1)).alias("allCount"),
-        F.min(missing).alias("next"),
-        F.max("progress").alias("progress"),
+    step = F.when(F.col("threshold").isNotNull(), F.struct("threshold", "name", "key"))
+    ladder = tiers.groupBy(track).agg(
+        F.sort_array(F.collect_list(step)).alias("_steps"), F.count(F.lit(1)).alias("allCount")
     )
-    left = F.greatest(F.lit(0), F.col("next.threshold") - F.col("progress"))
-    summary = summary.select(
-        user, track, "earnedCount", "allCount", F.col("next.name").alias("nextTier"), left.alias("remaining")
+    placed = progress.join(ladder, track)
+    at = F.size(F.filter("_steps", lambda s: s["threshold"] <= F.col("progress"))).cast("long")
+    placed = placed.withColumn("earnedCount", F.when(F.col("progress").isNotNull(), at))
+    following = F.get("_steps", F.col("earnedCount").cast("int"))
+    left = F.greatest(F.lit(0), following["threshold"] - F.col("progress"))
+    summary = placed.select(
+        user, track, "earnedCount", "allCount", following["name"].alias("nextTier"), left.alias("remaining")
     )
     return badges, summary
 
