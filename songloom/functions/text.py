@@ -204,69 +204,57 @@ def duration_penalty(a: Column | str, b: Column | str) -> Column:
 
 # ── Title cleaning ───────────────────────────────────────────────────────────
 
-def _bracketed(inner: str) -> str:
-    """A tag in round or square brackets, with the blanks before it."""
-    round_, square = inner.replace("~", "[^)]*"), inner.replace("~", r"[^\]]*")
-    return rf"\s*\({round_}\)|\s*\[{square}\]"
-
-
-# What counts as a tag. ``~`` stands for the rest of the bracket.
-_QUALITY = r"4k|8k|uhd|full\s*hd|hd|hq|2160p|1440p|1080p?|720p"
-_TAGS_ANY_BRACKET = [
-    r"official~", r"\s*v[ií]deo\s+oficial\s*", r"\s*oficial\s*", r"lyrics?~", r"audio",
-    r"\s*video\s*", r"\s*visuali[sz]er\s*", rf"~\b(?:{_QUALITY})\b~",
-    r"(?:cd|lp|ep|album|single)", r"~\bremaster(?:ed)?\b~", r"~\b(?:remix|rmx)\b~",
-    r"live~", r"(?:feat|ft|featuring|with|w)\.?\s~",
-]
-_TAGS_ROUND_ONLY = [r"officiel[^)]*", r"\s*en\s+vivo[^)]*", r"\s*en\s+directo[^)]*"]
-_SONG = r"(?:full\s+)?(?:video|audio)\s+song"
-_MARKET_TAGS = [rf"{_SONG}~", r"lyrical(?:\s+video)?~", r"(?:~\b)?ost\b~"]
-_CJK_NOISE = "官方|歌詞|歌词|動態|动态|完整版|高清|現場|现场|音頻|音频|MV|4K|HD"
-
-# One entry per step of a cleaning pass: (pattern, ignore case).
+# The patterns of title tags, in order. The alternatives of a step are removed together;
+# the flag says whether case is ignored.
 _CLEANING = [
-    (
-        "|".join(
-            [_bracketed(t) for t in _TAGS_ANY_BRACKET]
-            + [rf"\s*\({t}\)" for t in _TAGS_ROUND_ONLY]
-        ),
-        True,
-    ),
-    (r"\s*\b(?:feat|ft|featuring)\.?\s+.+$", True),
-    (_bracketed(r"\d{4}~"), False),
-    (r"\s*[\(\[]?\b(?:full\s*hd|hd|uhd|4k|8k|hq|m\/?v|av)\b[\)\]]?\s*$", True),
-    (
-        r"\s*[\(\[]?\b(?:official\s+(?:music\s+)?(?:video|mv)|official\s+audio|lyric\s+video"
-        r"|lyrics?|audio|visuali[sz]er)\b[\)\]]?\s*$",
-        True,
-    ),
-    (r"\s*\|\s*spotify\s*$|\s*-\s*youtube\s*$|\s*-\s*soundcloud\s*$", True),
-    (r"(\s*,\s*\p{Lu}\p{Ll}+(?:\s+\p{Lu}\p{Ll}+){0,2}){2,}\s*$", False),
-    (rf"\s*[\(\[|:-]\s*{_SONG}\s*[\)\]]?\s*$", True),
-    (
-        rf"\s*[-–—|]\s*{_SONG}(?=\s*\|)|\s*[-–—|]\s*lyrical(?:\s+video)?(?=\s*\|)|"
-        + "|".join(_bracketed(t) for t in _MARKET_TAGS[:2]),
-        True,
-    ),
-    (
-        r"\s*[\(\[|:-]\s*lyrical\s*[\)\]]?\s*$|\s*\((?:audio\s+)?jukebox[^)]*\)"
-        r"|\s*[\|\-]\s*(?:audio\s+)?jukebox\s*$",
-        True,
-    ),
-    (
-        _bracketed(_MARKET_TAGS[2])
-        + r"|\s*[\|\-]\s*[^|\-]*\bost\b\s*$"
-        + r"|\s*[\(\[]\s*(?:viet|eng|indo)sub[^\)\]]*[\)\]]|\s*[\|\-]\s*(?:viet|eng|indo)sub.*$"
-        + r"|\s*[\(\[]\s*karaoke\s*(?:beat|version)?[^\)\]]*[\)\]]",
-        True,
-    ),
-    (
-        "|".join(
-            rf"\s*{o}[^{c}]*(?:{_CJK_NOISE})[^{c}]*{c}" for o, c in ("【】", "「」", "『』")
-        ),
-        True,
-    ),
-]
+    ([
+        r"\s*\(official[^)]*\)", r"\s*\[official[^\]]*\]",
+        r"\s*\(officiel[^)]*\)",
+        r"\s*\(\s*v[ií]deo\s+oficial\s*\)", r"\s*\[\s*v[ií]deo\s+oficial\s*\]",
+        r"\s*\(\s*oficial\s*\)", r"\s*\[\s*oficial\s*\]",
+        r"\s*\(\s*en\s+vivo[^)]*\)", r"\s*\(\s*en\s+directo[^)]*\)",
+        r"\s*\(lyrics?[^)]*\)", r"\s*\[lyrics?[^\]]*\]",
+        r"\s*\(audio\)", r"\s*\[audio\]",
+        r"\s*\(\s*video\s*\)", r"\s*\[\s*video\s*\]",
+        r"\s*\(\s*visuali[sz]er\s*\)", r"\s*\[\s*visuali[sz]er\s*\]",
+        r"\s*\([^)]*\b(?:4k|8k|uhd|full\s*hd|hd|hq|2160p|1440p|1080p?|720p)\b[^)]*\)",
+        r"\s*\[[^\]]*\b(?:4k|8k|uhd|full\s*hd|hd|hq|2160p|1440p|1080p?|720p)\b[^\]]*\]",
+        r"\s*\((?:cd|lp|ep|album|single)\)", r"\s*\[(?:cd|lp|ep|album|single)\]",
+        r"\s*\([^)]*\bremaster(?:ed)?\b[^)]*\)", r"\s*\[[^\]]*\bremaster(?:ed)?\b[^\]]*\]",
+        r"\s*\([^)]*\b(?:remix|rmx)\b[^)]*\)", r"\s*\[[^\]]*\b(?:remix|rmx)\b[^\]]*\]",
+        r"\s*\(live[^)]*\)", r"\s*\[live[^\]]*\]",
+        r"\s*\((?:feat|ft|featuring|with|w)\.?\s[^)]*\)", r"\s*\[(?:feat|ft|featuring|with|w)\.?\s[^\]]*\]",
+    ], True),
+    ([r"\s*\b(?:feat|ft|featuring)\.?\s+.+$"], True),
+    ([r"\s*\(\d{4}[^)]*\)", r"\s*\[\d{4}[^\]]*\]"], False),
+    ([r"\s*[\(\[]?\b(?:full\s*hd|hd|uhd|4k|8k|hq|m\/?v|av)\b[\)\]]?\s*$"], True),
+    ([r"\s*[\(\[]?\b(?:official\s+(?:music\s+)?(?:video|mv)|official\s+audio|lyric\s+video|lyrics?|audio|visuali[sz]er)\b[\)\]]?\s*$"], True),
+    ([r"\s*\|\s*spotify\s*$", r"\s*-\s*youtube\s*$", r"\s*-\s*soundcloud\s*$"], True),
+    ([r"(\s*,\s*\p{Lu}\p{Ll}+(?:\s+\p{Lu}\p{Ll}+){0,2}){2,}\s*$"], False),
+    ([r"\s*[\(\[|:-]\s*(?:full\s+)?(?:video|audio)\s+song\s*[\)\]]?\s*$"], True),
+    ([
+        r"\s*[-–—|]\s*(?:full\s+)?(?:video|audio)\s+song(?=\s*\|)",
+        r"\s*[-–—|]\s*lyrical(?:\s+video)?(?=\s*\|)",
+        r"\s*\((?:full\s+)?(?:video|audio)\s+song[^)]*\)", r"\s*\[(?:full\s+)?(?:video|audio)\s+song[^\]]*\]",
+        r"\s*\(lyrical(?:\s+video)?[^)]*\)", r"\s*\[lyrical(?:\s+video)?[^\]]*\]",
+    ], True),
+    ([
+        r"\s*[\(\[|:-]\s*lyrical\s*[\)\]]?\s*$",
+        r"\s*\((?:audio\s+)?jukebox[^)]*\)", r"\s*[\|\-]\s*(?:audio\s+)?jukebox\s*$",
+    ], True),
+    ([
+        r"\s*\((?:[^)]*\b)?ost\b[^)]*\)", r"\s*\[(?:[^\]]*\b)?ost\b[^\]]*\]",
+        r"\s*[\|\-]\s*[^|\-]*\bost\b\s*$",
+        r"\s*[\(\[]\s*(?:viet|eng|indo)sub[^\)\]]*[\)\]]",
+        r"\s*[\|\-]\s*(?:viet|eng|indo)sub.*$",
+        r"\s*[\(\[]\s*karaoke\s*(?:beat|version)?[^\)\]]*[\)\]]",
+    ], True),
+    ([
+        r"\s*【[^】]*(?:官方|歌詞|歌词|動態|动态|完整版|高清|現場|现场|音頻|音频|MV|4K|HD)[^】]*】",
+        r"\s*「[^」]*(?:官方|歌詞|歌词|動態|动态|完整版|高清|現場|现场|音頻|音频|MV|4K|HD)[^」]*」",
+        r"\s*『[^』]*(?:官方|歌詞|歌词|動態|动态|完整版|高清|現場|现场|音頻|音频|MV|4K|HD)[^』]*』",
+    ], True),
+]
 _PICTOGRAPHS = (
     r"[\x{1F000}-\x{1FAFF}\x{2190}-\x{27BF}\x{2B00}-\x{2BFF}\x{FE0F}\x{200D}]"
 )
@@ -274,7 +262,7 @@ CLEANING_PASSES = 8
 
 
 def _cleaning_pass(c: Column) -> Column:
-    return strip(reduce(lambda acc, step: sub(acc, step[0], "", step[1]), _CLEANING, c))
+    return strip(reduce(lambda acc, step: sub(acc, "|".join(step[0]), "", step[1]), _CLEANING, c))
 
 
 #: A title no cleaning step could touch: letters, digits and blanks without a tag word.

@@ -40,6 +40,25 @@ def part_titles(spark: SparkSession, sf: str) -> DataFrame:
     return part.select(F.col("p_partkey").alias("title_id"), title.alias("raw_title"))
 
 
+def ruled_titles(spark: SparkSession, sf: str) -> DataFrame:
+    """Every part as a title of one of eight kinds, by key: dotted, quoted, with a colon, with one
+    or two bars, worded, after its channel's name, and with page metadata (right on even sizes)."""
+    part = table(spark, sf, "part")
+    b, n, t, kind = F.col("p_brand"), F.col("p_name"), F.col("p_type"), F.col("p_partkey") % 8
+    forms = [
+        F.concat(n, F.lit(" • "), b, F.lit(", "), t), F.concat(b, F.lit(' "'), n, F.lit('" (Official Video)')), F.concat(b, F.lit(": "), n),
+        F.concat(n, F.lit(" | "), b, F.lit(" | Official Audio")), F.concat(b, F.lit(" - "), n, F.lit(" | "), t),
+        F.concat(n, F.lit(" - song and lyrics by "), b), F.concat(b, F.lit(" "), n, F.lit(" [HD]")), F.concat(n, F.lit(" (Live)")),
+    ]
+    title = F.coalesce(*[F.when(kind == i, f) for i, f in enumerate(forms)])
+    return part.select(
+        F.col("p_partkey").alias("title_id"), title.alias("raw_title"),
+        F.when(kind == 6, F.concat(b, F.lit(" - Topic"))).otherwise("").alias("author"),
+        F.when(kind == 7, F.when(F.col("p_size") % 2 == 0, n).otherwise("Another Thing")).otherwise("").alias("meta_track"),
+        F.when(kind == 7, F.concat(F.lit("(3) "), b)).otherwise("").alias("meta_artist"),
+    )
+
+
 def part_wants(spark: SparkSession, sf: str) -> DataFrame:
     """Wanted songs: the part name with one character changed, by key."""
     part = table(spark, sf, "part")

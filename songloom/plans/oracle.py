@@ -48,6 +48,48 @@ cands as (
 
 ORACLE["candidates_dash"] = f"with {_CANDIDATES} select * from cands"
 
+# Candidates by kind of title, in their order of trust; "first" and "second" are the words of a name.
+ORACLE["titles_by_rule"] = """
+with p as (select p_partkey as title_id, p_partkey % 8 as kind, p_brand as b, p_name as n, p_type as t, p_size % 2 = 0 as told,
+    split_part(p_name, ' ', 1) as first, split_part(p_name, ' ', 2) as second from part),
+c as (
+  select title_id, unnest([
+    {'prio': 0, 'artist': b || ', ' || t, 'track': n, 'album': ''}, {'prio': 1, 'artist': b, 'track': n, 'album': ''},
+    {'prio': 2, 'artist': t, 'track': n, 'album': ''}, {'prio': 3, 'artist': '', 'track': n || ' • ' || b || ', ' || t, 'album': ''}]) as c from p where kind = 0
+  union all select title_id, unnest([
+    {'prio': 0, 'artist': b, 'track': n, 'album': ''}, {'prio': 1, 'artist': '', 'track': n, 'album': ''},
+    {'prio': 2, 'artist': b, 'track': '"' || n || '"', 'album': ''}, {'prio': 3, 'artist': b || ' "' || first, 'track': second || '"', 'album': ''},
+    {'prio': 4, 'artist': '', 'track': b || ' "' || n || '"', 'album': ''}]) from p where kind = 1
+  union all select title_id, unnest([
+    {'prio': 0, 'artist': b, 'track': n, 'album': ''}, {'prio': 1, 'artist': n, 'track': b, 'album': ''},
+    {'prio': 2, 'artist': '', 'track': n, 'album': ''}, {'prio': 3, 'artist': '', 'track': b || ': ' || n, 'album': ''}]) from p where kind = 2
+  union all select title_id, unnest([
+    {'prio': 0, 'artist': n, 'track': b, 'album': ''}, {'prio': 1, 'artist': b, 'track': n, 'album': ''},
+    {'prio': 2, 'artist': '', 'track': n, 'album': ''}, {'prio': 3, 'artist': '', 'track': b, 'album': ''},
+    {'prio': 4, 'artist': '', 'track': n || ' | ' || b || ' |', 'album': ''}]) from p where kind = 3
+  union all select title_id, unnest([
+    {'prio': 0, 'artist': b, 'track': n, 'album': t}, {'prio': 1, 'artist': b, 'track': n, 'album': ''},
+    {'prio': 2, 'artist': '', 'track': n, 'album': ''}, {'prio': 3, 'artist': '', 'track': b || ' - ' || n || ' | ' || t, 'album': ''}]) from p where kind = 4
+  union all select title_id, unnest([
+    {'prio': 0, 'artist': b, 'track': n, 'album': ''}, {'prio': 1, 'artist': '', 'track': n || ' - song and lyrics by ' || b, 'album': ''}]) from p where kind = 5
+  union all select title_id, unnest([
+    {'prio': 0, 'artist': b, 'track': n, 'album': ''}, {'prio': 1, 'artist': '', 'track': n, 'album': ''},
+    {'prio': 2, 'artist': b || ' ' || first, 'track': second, 'album': ''}, {'prio': 3, 'artist': '', 'track': b || ' ' || n, 'album': ''},
+    {'prio': 4, 'artist': b, 'track': b || ' ' || n, 'album': ''}]) from p where kind = 6
+  union all select title_id, unnest(case when told then [
+    {'prio': 0, 'artist': b, 'track': n, 'album': ''}, {'prio': 1, 'artist': first, 'track': second, 'album': ''}, {'prio': 2, 'artist': '', 'track': n, 'album': ''}]
+    else [{'prio': 0, 'artist': first, 'track': second, 'album': ''}, {'prio': 1, 'artist': '', 'track': n, 'album': ''}] end) from p where kind = 7)
+select title_id, c.prio as prio, c.artist as artist, c.track as track, c.album as album from c"""
+
+ORACLE["title_pieces"] = """
+select p_partkey, case p_partkey % 4 when 3 then p_brand || chr(39) || 's ' || p_name else p_name end as without_artist, p_brand as artist,
+  case p_partkey % 4 when 3 then '123 ' || p_name else p_name end as unnumbered, case p_partkey % 4 when 3 then p_name || ': Live' else p_name end as quiet,
+  case p_partkey % 4 when 2 then '(1)' else p_name end as gloss,
+  p_partkey % 4 = 0 as noise, p_partkey % 4 = 1 as label, p_partkey % 4 < 3 as descriptor,
+  ['เนื้อเพลง', '歌詞', '가사', 'lyrics'][p_partkey % 4 + 1] as term, case when p_partkey % 4 < 3 then 'k' || p_partkey end as video_id,
+  case when p_partkey % 4 < 2 then lpad(p_partkey::varchar, 22, 'x') end as track_id
+from part"""
+
 ORACLE["lookup_requests"] = f"""
 with {_CANDIDATES}, c as (select * from cands where prio < 3)
 select distinct * from (

@@ -123,6 +123,41 @@ def candidates_dash(spark, sf):
     return _part_candidates(spark, sf).select("title_id", "prio", "artist", "track")
 
 
+@query
+def titles_by_rule(spark, sf):
+    """The candidates of titles that each rule but the dash reads."""
+    parsed = cd.parse_titles(inp.ruled_titles(spark, sf), "raw_title", "meta_track", "meta_artist", "author")
+    return cd.explode_candidates(parsed).select("title_id", "prio", "artist", "track", "album")
+
+
+@query
+def title_pieces(spark, sf):
+    """What the pieces of names, links and titles are taken for."""
+    part = inp.table(spark, sf, "part")
+    key, name, brand, kind = F.col("p_partkey"), F.col("p_name"), F.col("p_brand"), F.col("p_partkey") % 4
+    number = key.cast("string")
+    pick = lambda *forms: F.coalesce(*[F.when(kind == i, f) for i, f in enumerate(forms)])
+    link = pick(
+        F.concat(F.lit("/watch?list=x&v=k"), number, F.lit("&t=1")), F.concat(F.lit("https://youtu.be/k"), number, F.lit("?t=2")),
+        F.concat(F.lit("/shorts/k"), number), F.lit("/playlist?list=x"),
+    )
+    segment = pick(F.lit("Official Music Video"), F.concat(brand, F.lit(" Records")), F.concat(name, F.lit(" 2011")), name)
+    ending = pick(F.concat(F.lit("Live in "), name), F.lit("(2011)"), F.lit("in Tokyo"), name)
+    foreign = pick(F.concat(name, F.lit(" เพลง")), F.concat(name, F.lit(" 歌")), F.concat(name, F.lit(" 노래")), name)
+    spotify = F.concat(F.lit("https://open.spotify.com/track/"), F.lpad(number, 22, "x"), F.lit("?si=1"))
+    return part.select(
+        "p_partkey",
+        tx.strip_artist_from_track(brand, F.concat(brand, pick(F.lit(" - "), F.lit(": "), F.lit(" "), F.lit("'s ")), name)).alias("without_artist"),
+        tx.clean_artist(F.concat(F.lit("(12) "), brand, F.lit(" (Gloss)"))).alias("artist"),
+        tx.strip_num(F.concat(pick(F.lit("03. "), F.lit("7 "), F.lit("12-"), F.lit("123 ")), name)).alias("unnumbered"),
+        tx.strip_colon_noise(F.concat(name, pick(F.lit(": Official Video"), F.lit(" : lyrics"), F.lit(": Music 4k"), F.lit(": Live")))).alias("quiet"),
+        tx.prefer_gloss(pick(F.concat(F.lit("歌("), name, F.lit(")")), F.concat(name, F.lit(" (歌)")), F.lit("(1)"), name)).alias("gloss"),
+        tx.looks_like_noise(segment).alias("noise"), tx.is_label(segment).alias("label"), tx.is_descriptor_seg(ending).alias("descriptor"),
+        tx.detect_script_term(foreign).alias("term"),
+        urls.video_id_from_href(link).alias("video_id"), urls.track_id_from_href(F.when(kind < 2, spotify).otherwise(link)).alias("track_id"),
+    )
+
+
 @query
 def page_title_candidates(spark, sf):
     """N1, N4 on page titles with the page host as author: candidates per title."""
