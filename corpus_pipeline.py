@@ -24,32 +24,47 @@ def _documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model does not reject."""
+    """Documents that the toxicity model does not reject.
+
+    Null and empty texts get the score of no words; repeated rows are judged alike and all stay or
+    go; without documents or labels nothing goes.
+    """
     return toxicity.harmless(_documents(spark, docs), load(spark, sf_dir, "labels"))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
+    """One document of each class of near duplicates.
+
+    Equal texts, null and empty ones among them, are one class each, so of repeated rows one stays;
+    an empty table stays empty.
+    """
     return jaccard.one_per_class(_documents(spark, docs))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no benchmark item contaminates."""
+    """Documents that no benchmark item contaminates.
+
+    Null and empty texts have no words and stay; repeated rows are judged alike; an empty table, or
+    one of items, removes nothing.
+    """
     return winnowing.clean(_documents(spark, docs), load(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many tokens as there are, dealt to domains, languages and sources by weight.
 
-    A document comes once for each epoch that draws it.
+    A document comes once for each epoch that draws it. Null languages and sources are values of
+    their own; texts without tokens cost nothing; repeated rows are drawn each; an empty table
+    gives no rows. The domain follows from the source, and a column of that name stays as it is.
     """
-    levels = ["domain", "lang", "source"]
-    placed = _documents(spark, docs).withColumn("domain", mixing.domain_of(F.col("source")))
-    return mixing.drawn_rows(placed, mixing.mixture(docs, share=1.0), levels).drop("domain")
+    return mixing.drawn_rows(_documents(spark, docs), mixing.mixture(docs, share=1.0), ["lang", "source"])
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and slot of every document drawn."""
+    """The shard and slot of every document drawn.
+
+    Null texts are of size 1; equal texts and repeated rows share a shard; an empty table gives no rows.
+    """
     return sharding.shard_documents(_documents(spark, docs), 8)
 
 
