@@ -1,6 +1,7 @@
 import os
 
 import corpus_pipeline as pipeline
+from cases import no_docs, odd_docs
 from pyspark.sql import functions as F
 
 from songloom.llm import jaccard, toxicity, winnowing
@@ -34,3 +35,23 @@ def test_toxic_documents_go_and_the_columns_stay(spark, data_dir):
     kept = {r["toxic"]: r["count"] for r in marked}
     total = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
     assert kept[0] == total[0] and kept.get(1, 0) < 0.5 * total[1]
+
+
+def test_stages_stand_odd_and_empty_tables(spark, data_dir):
+    """Nulls, repeats, long texts, and columns that are called what a stage may call its own."""
+    odd = odd_docs(spark).withColumn("domain", F.col("doc_id") * 10)
+    for name, stage in pipeline.STAGES:
+        left = stage(spark, odd, data_dir)
+        if name != "sharding":
+            assert left.columns == odd.columns
+            assert left.filter("domain <> doc_id * 10 and doc_id is not null").isEmpty() and left.filter("domain is not null").count() > 3
+        else:
+            assert left.count() == odd.count()
+        assert stage(spark, no_docs(spark), data_dir).collect() == []
+
+
+def test_an_empty_corpus_goes_through(spark, data_dir, tmp_path):
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{data_dir}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.read.parquet(f"{data_dir}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert pipeline.run(spark, str(tmp_path)).collect() == []
