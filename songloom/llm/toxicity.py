@@ -7,8 +7,9 @@ weights express. The pair sum takes one pass per factor.
 
 Training: labelled rows outside the held-out fold, at most ``max_per_label`` of each label,
 chosen by a hash of their ids. Tasks hash their terms; the driver gets these sets and fits the
-machine to all terms that more than one text holds, however little each tells alone. Scoring
-is one pass over all whole texts with a model of bounded size (2^20 hashed terms).
+machine to all terms that more than one text holds. None is left out for telling little alone;
+such a term has a smaller value, so that a hundred thousand of them do not drown the others
+in chance. Scoring is one pass over all whole texts with a model of bounded size (2^20 hashed terms).
 
 Null and empty texts have no terms and get the score of the bias. Labels other than 0 and 1,
 and labels without a document, are not learnt from; a document with several equal ids is
@@ -42,6 +43,8 @@ BEGINNINGS = (4, 5, 6)
 THRESHOLD = 0.3
 #: Passes over the sample, documents of a step, and fewest steps, however few rows there are.
 EPOCHS, BATCH, STEPS = 20, 128, 1200
+#: Chi-square from which a term counts in full, and the least value of a term.
+CLEAR, LEAST_VALUE = 20.0, 0.005
 #: Decay of weights and of factors.
 DECAY = (1e-5, 1e-3)
 
@@ -80,18 +83,36 @@ def _sigmoid(x: np.ndarray | float) -> np.ndarray | float:
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
+def evidence(sets: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """The value of each term, 0 to 1: how well its presence alone tells the labels apart.
+
+    The square of its chi-square in relation to ``CLEAR``; ``LEAST_VALUE`` at least, so that a term
+    that says little alone is learnt too, but slowly, and by itself weighs little.
+    """
+    toxic, clean = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for terms, label in zip(sets, labels):
+        (toxic if label else clean)[terms] += 1
+    seen, share = toxic + clean, labels.mean()
+    spread = seen * share * (1 - seen / len(labels)) * (1 - share)
+    chi = (toxic - seen * share) ** 2 / np.maximum(spread, 1e-9)
+    return np.clip((chi / CLEAR) ** 2, LEAST_VALUE, 1.0)
+
+
 def train(sets: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 1) -> Model:
     """Fit to all terms of at least ``MIN_TEXTS`` texts by Adam on the logistic loss, with decay.
 
-    Batches are whole documents; a step touches the terms of its batch only.
+    Terms have values by their :func:`evidence`, which end up in the weights and factors. Batches
+    are whole documents; a step touches the terms of its batch only.
     """
     if not len(labels) or labels.min() == labels.max():
         return Model()
-    seen = np.bincount(np.concatenate([np.unique(s) for s in sets]).astype(np.int64), minlength=1 << BITS)
+    sets = [np.unique(s).astype(np.int64) for s in sets]
+    seen = np.bincount(np.concatenate(sets), minlength=1 << BITS)
     terms = np.flatnonzero(seen >= MIN_TEXTS)
     row_of = np.full(1 << BITS, -1, dtype=np.int32)
     row_of[terms] = np.arange(len(terms), dtype=np.int32)
-    kept = [r[r >= 0] for r in (row_of[np.unique(s).astype(np.int64)] for s in sets)]
+    kept = [r[r >= 0] for r in (row_of[s] for s in sets)]
+    value_of = evidence(sets, labels)[terms].astype(np.float32)[:, None]
     rng = np.random.default_rng(seed)
     bias, w = np.zeros(1), np.zeros((len(terms), 1), dtype=np.float32)
     v = rng.normal(0, 0.05, (len(terms), FACTORS)).astype(np.float32)
@@ -111,7 +132,8 @@ def train(sets: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed
             sizes = np.array([len(kept[i]) for i in batch])
             touched, rows = np.unique(np.concatenate([kept[i] for i in batch]), return_inverse=True)
             doc = np.repeat(np.arange(len(batch)), sizes)
-            wr, vr = w[touched, 0][rows], v[touched][rows]
+            worth = value_of[touched]
+            wr, vr = (w[touched] * worth)[rows, 0], (v[touched] * worth)[rows]
             summed = np.stack([np.bincount(doc, vr[:, f], len(batch)) for f in range(FACTORS)], axis=1)
             squares = np.bincount(doc, (vr * vr).sum(axis=1), len(batch))
             margin = bias[0] + np.bincount(doc, wr, len(batch)) + 0.5 * ((summed**2).sum(axis=1) - squares)
@@ -119,10 +141,10 @@ def train(sets: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed
             each = slope[doc, None] * (summed[doc] - vr)
             step += 1
             move("bias", bias, slice(None), np.array([slope.sum()]))
-            move("w", w, touched, np.bincount(rows, slope[doc], len(touched))[:, None] + DECAY[0] * w[touched])
+            move("w", w, touched, worth * np.bincount(rows, slope[doc], len(touched))[:, None] + DECAY[0] * w[touched])
             by_factor = [np.bincount(rows, each[:, f], len(touched)) for f in range(FACTORS)]
-            move("v", v, touched, np.stack(by_factor, axis=1) + DECAY[1] * v[touched])
-    return Model(float(bias[0]), terms, w[:, 0], v)
+            move("v", v, touched, worth * np.stack(by_factor, axis=1) + DECAY[1] * v[touched])
+    return Model(float(bias[0]), terms, (w * value_of)[:, 0], v * value_of)
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

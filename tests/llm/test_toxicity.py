@@ -1,7 +1,9 @@
+import os
 import zlib
 
 import numpy as np
 from cases import DOCS, no_docs, odd_docs
+from pyspark.sql import functions as F
 
 from songloom.llm import toxicity as t
 
@@ -102,6 +104,15 @@ def test_held_out_accuracy_on_the_corpus(spark, data_dir):
     assert len(got) > 5 and np.mean([r["predicted"] == r["toxic"] for r in got]) >= 0.9
 
 
+def test_toxic_documents_are_caught_and_clean_ones_left(spark, data_dir):
+    """Held out rows of a larger table: most toxic ones are found, hardly a clean one."""
+    folder = os.path.join(os.path.dirname(data_dir), "sf0.1")
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    got = t.classify(docs, labels).join(labels, "doc_id").filter("held_out")
+    rate = {r["toxic"]: r["p"] for r in got.groupBy("toxic").agg(F.avg("predicted").alias("p")).collect()}
+    assert rate[1] > 0.8 and rate[0] < 0.01
+
+
 def test_odd_rows_odd_labels_and_empty_tables(spark):
     schema = "doc_id long, quality int, toxic int"
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 1), (2, 0, 1), (2, 0, 1), (None, 1, 1), (99, 1, 0), (4, None, None), (5, 1, 7)], schema)
