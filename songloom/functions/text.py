@@ -205,7 +205,8 @@ def duration_penalty(a: Column | str, b: Column | str) -> Column:
 # ── Title cleaning ───────────────────────────────────────────────────────────
 
 # The patterns of title tags, in order. The alternatives of a step are removed together;
-# the flag says whether case is ignored.
+# the flag says whether case is ignored. The last pattern is a cheap one found in whatever the step
+# would match: a title without it skips the step.
 _CLEANING = [
     ([
         r"\s*\(official[^)]*\)", r"\s*\[official[^\]]*\]",
@@ -224,36 +225,36 @@ _CLEANING = [
         r"\s*\([^)]*\b(?:remix|rmx)\b[^)]*\)", r"\s*\[[^\]]*\b(?:remix|rmx)\b[^\]]*\]",
         r"\s*\(live[^)]*\)", r"\s*\[live[^\]]*\]",
         r"\s*\((?:feat|ft|featuring|with|w)\.?\s[^)]*\)", r"\s*\[(?:feat|ft|featuring|with|w)\.?\s[^\]]*\]",
-    ], True),
-    ([r"\s*\b(?:feat|ft|featuring)\.?\s+.+$"], True),
-    ([r"\s*\(\d{4}[^)]*\)", r"\s*\[\d{4}[^\]]*\]"], False),
-    ([r"\s*[\(\[]?\b(?:full\s*hd|hd|uhd|4k|8k|hq|m\/?v|av)\b[\)\]]?\s*$"], True),
-    ([r"\s*[\(\[]?\b(?:official\s+(?:music\s+)?(?:video|mv)|official\s+audio|lyric\s+video|lyrics?|audio|visuali[sz]er)\b[\)\]]?\s*$"], True),
-    ([r"\s*\|\s*spotify\s*$", r"\s*-\s*youtube\s*$", r"\s*-\s*soundcloud\s*$"], True),
-    ([r"(\s*,\s*\p{Lu}\p{Ll}+(?:\s+\p{Lu}\p{Ll}+){0,2}){2,}\s*$"], False),
-    ([r"\s*[\(\[|:-]\s*(?:full\s+)?(?:video|audio)\s+song\s*[\)\]]?\s*$"], True),
+    ], True, r"[\(\[]"),
+    ([r"\s*\b(?:feat|ft|featuring)\.?\s+.+$"], True, r"f(?:ea)?t"),
+    ([r"\s*\(\d{4}[^)]*\)", r"\s*\[\d{4}[^\]]*\]"], False, r"[\(\[]\d"),
+    ([r"\s*[\(\[]?\b(?:full\s*hd|hd|uhd|4k|8k|hq|m\/?v|av)\b[\)\]]?\s*$"], True, r"hd|4k|8k|hq|m\/?v|av"),
+    ([r"\s*[\(\[]?\b(?:official\s+(?:music\s+)?(?:video|mv)|official\s+audio|lyric\s+video|lyrics?|audio|visuali[sz]er)\b[\)\]]?\s*$"], True, r"video|mv|audio|lyric|visuali"),
+    ([r"\s*\|\s*spotify\s*$", r"\s*-\s*youtube\s*$", r"\s*-\s*soundcloud\s*$"], True, r"spotify|youtube|soundcloud"),
+    ([r"(\s*,\s*\p{Lu}\p{Ll}+(?:\s+\p{Lu}\p{Ll}+){0,2}){2,}\s*$"], False, r","),
+    ([r"\s*[\(\[|:-]\s*(?:full\s+)?(?:video|audio)\s+song\s*[\)\]]?\s*$"], True, r"song"),
     ([
         r"\s*[-–—|]\s*(?:full\s+)?(?:video|audio)\s+song(?=\s*\|)",
         r"\s*[-–—|]\s*lyrical(?:\s+video)?(?=\s*\|)",
         r"\s*\((?:full\s+)?(?:video|audio)\s+song[^)]*\)", r"\s*\[(?:full\s+)?(?:video|audio)\s+song[^\]]*\]",
         r"\s*\(lyrical(?:\s+video)?[^)]*\)", r"\s*\[lyrical(?:\s+video)?[^\]]*\]",
-    ], True),
+    ], True, r"song|lyrical"),
     ([
         r"\s*[\(\[|:-]\s*lyrical\s*[\)\]]?\s*$",
         r"\s*\((?:audio\s+)?jukebox[^)]*\)", r"\s*[\|\-]\s*(?:audio\s+)?jukebox\s*$",
-    ], True),
+    ], True, r"lyrical|jukebox"),
     ([
         r"\s*\((?:[^)]*\b)?ost\b[^)]*\)", r"\s*\[(?:[^\]]*\b)?ost\b[^\]]*\]",
         r"\s*[\|\-]\s*[^|\-]*\bost\b\s*$",
         r"\s*[\(\[]\s*(?:viet|eng|indo)sub[^\)\]]*[\)\]]",
         r"\s*[\|\-]\s*(?:viet|eng|indo)sub.*$",
         r"\s*[\(\[]\s*karaoke\s*(?:beat|version)?[^\)\]]*[\)\]]",
-    ], True),
+    ], True, r"ost|sub|karaoke"),
     ([
         r"\s*【[^】]*(?:官方|歌詞|歌词|動態|动态|完整版|高清|現場|现场|音頻|音频|MV|4K|HD)[^】]*】",
         r"\s*「[^」]*(?:官方|歌詞|歌词|動態|动态|完整版|高清|現場|现场|音頻|音频|MV|4K|HD)[^」]*」",
         r"\s*『[^』]*(?:官方|歌詞|歌词|動態|动态|完整版|高清|現場|现场|音頻|音频|MV|4K|HD)[^』]*』",
-    ], True),
+    ], True, r"[【「『]"),
 ]
 _PICTOGRAPHS = (
     r"[\x{1F000}-\x{1FAFF}\x{2190}-\x{27BF}\x{2B00}-\x{2BFF}\x{FE0F}\x{200D}]"
@@ -262,7 +263,12 @@ CLEANING_PASSES = 8
 
 
 def _cleaning_pass(c: Column) -> Column:
-    return strip(reduce(lambda acc, step: sub(acc, "|".join(step[0]), "", step[1]), _CLEANING, c))
+    def step(acc: Column, tags: tuple) -> Column:
+        patterns, ignore_case, sign = tags
+        cut = lambda s: F.when(has(s, sign, ignore_case), sub(s, "|".join(patterns), "", ignore_case)).otherwise(s)
+        return let(acc, cut)
+
+    return strip(reduce(step, _CLEANING, c))
 
 
 #: A title no cleaning step could touch: letters, digits and blanks without a tag word.
@@ -278,10 +284,11 @@ def clean_title(c: Column | str) -> Column:
     state = F.struct(start.alias("s"), F.lit(False).alias("done"))
 
     def step(acc: Column, _) -> Column:
-        nxt = _cleaning_pass(acc["s"])
-        return F.when(acc["done"], acc).otherwise(
-            F.struct(nxt.alias("s"), nxt.eqNullSafe(acc["s"]).alias("done"))
+        cleaned = let(  # a lambda's body has no common subexpressions: the pass is named once
+            _cleaning_pass(acc["s"]),
+            lambda nxt: F.struct(nxt.alias("s"), nxt.eqNullSafe(acc["s"]).alias("done")),
         )
+        return F.when(acc["done"], acc).otherwise(cleaned)
 
     passes = F.sequence(F.lit(1), F.lit(CLEANING_PASSES))
     cleaned = F.aggregate(passes, state, step, lambda acc: acc["s"])
