@@ -28,6 +28,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return df.repartition(int(wanted)) if wanted and not df.isStreaming else df
 
 
+def dealt(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table dealt evenly over the shuffle width of the session, for work per row far beyond that
+    of reading it: a file of a few megabytes is one split, however many titles it holds."""
+    df, width = table(spark, sf, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(width) if df.rdd.getNumPartitions() < width else df
+
+
 def choose(index: Column, values: list[str]) -> Column:
     """``values[index % len]`` as a column."""
     return F.get(F.array(*[F.lit(v) for v in values]), (index % len(values)).cast("int"))
@@ -35,7 +42,7 @@ def choose(index: Column, values: list[str]) -> Column:
 
 def part_titles(spark: SparkSession, sf: str) -> DataFrame:
     """Messy titles ``brand - name + tag``."""
-    part = table(spark, sf, "part")
+    part = dealt(spark, sf, "part")
     title = F.concat("p_brand", F.lit(" - "), "p_name", choose(F.col("p_partkey"), TAGS))
     return part.select(F.col("p_partkey").alias("title_id"), title.alias("raw_title"))
 
@@ -43,7 +50,7 @@ def part_titles(spark: SparkSession, sf: str) -> DataFrame:
 def ruled_titles(spark: SparkSession, sf: str) -> DataFrame:
     """Every part as a title of one of eight kinds, by key: dotted, quoted, with a colon, with one
     or two bars, worded, after its channel's name, and with page metadata (right on even sizes)."""
-    part = table(spark, sf, "part")
+    part = dealt(spark, sf, "part")
     b, n, t, kind = F.col("p_brand"), F.col("p_name"), F.col("p_type"), F.col("p_partkey") % 8
     forms = [
         F.concat(n, F.lit(" • "), b, F.lit(", "), t), F.concat(b, F.lit(' "'), n, F.lit('" (Official Video)')), F.concat(b, F.lit(": "), n),

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from songloom.functions import text as tx
 from songloom.operators.candidates import build_requests, explode_candidates, parse_titles
+from songloom.plans import inputs
 
 SCHEMA = "id int, raw_title string, author string, meta_track string, meta_artist string"
 
@@ -76,3 +77,10 @@ def test_explode_and_requests(parsed):
 def test_normalized_candidate_names_survive(parsed):
     keys = parsed.select(F.explode("candidates").alias("c")).select(tx.normalize_for_match("c.track").alias("k"))
     assert keys.filter("k is null").count() == 0
+
+
+def test_titles_of_one_file_are_dealt_over_the_cluster(spark, data_dir):
+    for titles in (inputs.part_titles, inputs.ruled_titles):
+        df = titles(spark, data_dir)
+        sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == 4 and max(sizes) < 2 * min(sizes) and sum(sizes) == df.select("title_id").distinct().count()
