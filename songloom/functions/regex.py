@@ -17,6 +17,9 @@ SPACE = (
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 )
 
+#: The same, character by character.
+_BLANKS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
 _WORD = "[A-Za-z0-9_]"
 _BOUNDARY = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
 
@@ -85,7 +88,7 @@ def parts(c: Column, pattern: str, ignore_case: bool = False) -> Column:
 
 def strip(c: Column) -> Column:
     """Trim every kind of white space (``trim`` knows only the ASCII blank)."""
-    return sub(c, r"^\s+|\s+$")
+    return F.trim(c, F.lit(_BLANKS))
 
 
 def squash(c: Column) -> Column:

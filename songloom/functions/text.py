@@ -205,8 +205,9 @@ def duration_penalty(a: Column | str, b: Column | str) -> Column:
 # ── Title cleaning ───────────────────────────────────────────────────────────
 
 # The patterns of title tags, in order. The alternatives of a step are removed together;
-# the flag says whether case is ignored. The last pattern is a cheap one found in whatever the step
-# would match: a title without it skips the step.
+# the flag says whether case is ignored. The next pattern is a cheap one found in whatever the step
+# would match: a title without it skips the step. The last one is how every match of the step begins:
+# a place without it is passed over before its alternatives are tried.
 _CLEANING = [
     ([
         r"\s*\(official[^)]*\)", r"\s*\[official[^\]]*\]",
@@ -225,36 +226,36 @@ _CLEANING = [
         r"\s*\([^)]*\b(?:remix|rmx)\b[^)]*\)", r"\s*\[[^\]]*\b(?:remix|rmx)\b[^\]]*\]",
         r"\s*\(live[^)]*\)", r"\s*\[live[^\]]*\]",
         r"\s*\((?:feat|ft|featuring|with|w)\.?\s[^)]*\)", r"\s*\[(?:feat|ft|featuring|with|w)\.?\s[^\]]*\]",
-    ], True, r"[\(\[]"),
-    ([r"\s*\b(?:feat|ft|featuring)\.?\s+.+$"], True, r"f(?:ea)?t"),
-    ([r"\s*\(\d{4}[^)]*\)", r"\s*\[\d{4}[^\]]*\]"], False, r"[\(\[]\d"),
-    ([r"\s*[\(\[]?\b(?:full\s*hd|hd|uhd|4k|8k|hq|m\/?v|av)\b[\)\]]?\s*$"], True, r"hd|4k|8k|hq|m\/?v|av"),
-    ([r"\s*[\(\[]?\b(?:official\s+(?:music\s+)?(?:video|mv)|official\s+audio|lyric\s+video|lyrics?|audio|visuali[sz]er)\b[\)\]]?\s*$"], True, r"video|mv|audio|lyric|visuali"),
-    ([r"\s*\|\s*spotify\s*$", r"\s*-\s*youtube\s*$", r"\s*-\s*soundcloud\s*$"], True, r"spotify|youtube|soundcloud"),
-    ([r"(\s*,\s*\p{Lu}\p{Ll}+(?:\s+\p{Lu}\p{Ll}+){0,2}){2,}\s*$"], False, r","),
-    ([r"\s*[\(\[|:-]\s*(?:full\s+)?(?:video|audio)\s+song\s*[\)\]]?\s*$"], True, r"song"),
+    ], True, r"[\(\[]", r"\s*[\(\[]"),
+    ([r"\s*\b(?:feat|ft|featuring)\.?\s+.+$"], True, r"f(?:ea)?t", r"\s*f"),
+    ([r"\s*\(\d{4}[^)]*\)", r"\s*\[\d{4}[^\]]*\]"], False, r"[\(\[]\d", r"\s*[\(\[]\d"),
+    ([r"\s*[\(\[]?\b(?:full\s*hd|hd|uhd|4k|8k|hq|m\/?v|av)\b[\)\]]?\s*$"], True, r"hd|4k|8k|hq|m\/?v|av", r"\s*[\(\[]?[fhu48ma]"),
+    ([r"\s*[\(\[]?\b(?:official\s+(?:music\s+)?(?:video|mv)|official\s+audio|lyric\s+video|lyrics?|audio|visuali[sz]er)\b[\)\]]?\s*$"], True, r"video|mv|audio|lyric|visuali", r"\s*[\(\[]?[olav]"),
+    ([r"\s*\|\s*spotify\s*$", r"\s*-\s*youtube\s*$", r"\s*-\s*soundcloud\s*$"], True, r"spotify|youtube|soundcloud", r"\s*[|-]"),
+    ([r"(\s*,\s*\p{Lu}\p{Ll}+(?:\s+\p{Lu}\p{Ll}+){0,2}){2,}\s*$"], False, r",", r"\s*,"),
+    ([r"\s*[\(\[|:-]\s*(?:full\s+)?(?:video|audio)\s+song\s*[\)\]]?\s*$"], True, r"song", r"\s*[\(\[|:-]"),
     ([
         r"\s*[-–—|]\s*(?:full\s+)?(?:video|audio)\s+song(?=\s*\|)",
         r"\s*[-–—|]\s*lyrical(?:\s+video)?(?=\s*\|)",
         r"\s*\((?:full\s+)?(?:video|audio)\s+song[^)]*\)", r"\s*\[(?:full\s+)?(?:video|audio)\s+song[^\]]*\]",
         r"\s*\(lyrical(?:\s+video)?[^)]*\)", r"\s*\[lyrical(?:\s+video)?[^\]]*\]",
-    ], True, r"song|lyrical"),
+    ], True, r"song|lyrical", r"\s*[\(\[|–—-]"),
     ([
         r"\s*[\(\[|:-]\s*lyrical\s*[\)\]]?\s*$",
         r"\s*\((?:audio\s+)?jukebox[^)]*\)", r"\s*[\|\-]\s*(?:audio\s+)?jukebox\s*$",
-    ], True, r"lyrical|jukebox"),
+    ], True, r"lyrical|jukebox", r"\s*[\(\[|:-]"),
     ([
         r"\s*\((?:[^)]*\b)?ost\b[^)]*\)", r"\s*\[(?:[^\]]*\b)?ost\b[^\]]*\]",
         r"\s*[\|\-]\s*[^|\-]*\bost\b\s*$",
         r"\s*[\(\[]\s*(?:viet|eng|indo)sub[^\)\]]*[\)\]]",
         r"\s*[\|\-]\s*(?:viet|eng|indo)sub.*$",
         r"\s*[\(\[]\s*karaoke\s*(?:beat|version)?[^\)\]]*[\)\]]",
-    ], True, r"ost|sub|karaoke"),
+    ], True, r"ost|sub|karaoke", r"\s*[\(\[|-]"),
     ([
         r"\s*【[^】]*(?:官方|歌詞|歌词|動態|动态|完整版|高清|現場|现场|音頻|音频|MV|4K|HD)[^】]*】",
         r"\s*「[^」]*(?:官方|歌詞|歌词|動態|动态|完整版|高清|現場|现场|音頻|音频|MV|4K|HD)[^」]*」",
         r"\s*『[^』]*(?:官方|歌詞|歌词|動態|动态|完整版|高清|現場|现场|音頻|音频|MV|4K|HD)[^』]*』",
-    ], True, r"[【「『]"),
+    ], True, r"[【「『]", r"\s*[【「『]"),
 ]
 _PICTOGRAPHS = (
     r"[\x{1F000}-\x{1FAFF}\x{2190}-\x{27BF}\x{2B00}-\x{2BFF}\x{FE0F}\x{200D}]"
@@ -264,8 +265,9 @@ CLEANING_PASSES = 8
 
 def _cleaning_pass(c: Column) -> Column:
     def step(acc: Column, tags: tuple) -> Column:
-        patterns, ignore_case, sign = tags
-        cut = lambda s: F.when(has(s, sign, ignore_case), sub(s, "|".join(patterns), "", ignore_case)).otherwise(s)
+        patterns, ignore_case, sign, head = tags
+        tag = f"(?={head})(?:{'|'.join(patterns)})"
+        cut = lambda s: F.when(has(s, sign, ignore_case), sub(s, tag, "", ignore_case)).otherwise(s)
         return let(acc, cut)
 
     return strip(reduce(step, _CLEANING, c))
@@ -273,8 +275,8 @@ def _cleaning_pass(c: Column) -> Column:
 
 #: A title no cleaning step could touch: letters, digits and blanks without a tag word.
 _TAG_WORDS = (
-    r"\b(?:feat|ft|featuring|full\s*hd|hd|uhd|4k|8k|hq|m\/?v|av|lyrics?|audio|visuali[sz]er"
-    r"|official|ost|lyrical)\b|[\(\[|:,\-–—【「『]"
+    r"(?=[fhu48malvo\(\[|:,\-–—【「『])(?:\b(?:feat|ft|featuring|full\s*hd|hd|uhd|4k|8k|hq|m\/?v|av|lyrics?"
+    r"|audio|visuali[sz]er|official|ost|lyrical)\b|[\(\[|:,\-–—【「『])"
 )
 
 

@@ -44,7 +44,7 @@ def _pair(artist: Column, track: Column, album: Column) -> Column:
 
 def split_artists(artist: Column) -> Column:
     """Single names of a joint credit; empty when the credit is one name."""
-    listed = r"[,&]|\bfeat\.?\b|\bft\.?\b|\bfeaturing\b"
+    listed = r"[,&]|(?=f)(?:\bfeat\.?\b|\bft\.?\b|\bfeaturing\b)"
     cut = r"\s*(?:,|&|\bfeaturing\b|\bfeat\.?\b|\bft\.?\b)\s*"
     crossed = parts(artist, r"\s+x\s+", True)
     duet = (F.size(crossed) == 2) & F.forall(crossed, tx.looks_like_name)
