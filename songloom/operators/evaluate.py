@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.regex import let, text
 
 PASS_FLOOR = 0.85
 
@@ -19,16 +20,24 @@ def candidate_quality(titles: DataFrame, key: str = "title_id") -> DataFrame:
     """A10 per title: is the true pair, and the true track, among the candidates?
 
     ``titles`` hold ``candidates, trueArtist, trueTrack``. One row per candidate is
-    compared with ready keys; titles come back by a ``max`` over booleans.
+    compared with ready keys; titles come back by a ``max`` over booleans. The candidates of a
+    title swap the same few names, so keys are made once per title and name.
     """
-    rows = titles.select(key, "trueArtist", "trueTrack", F.explode_outer("candidates").alias("c"))
-    keyed = rows.select(
+    names = F.array_distinct(F.flatten(F.transform("candidates", lambda c: F.array(text(c["artist"]), text(c["track"])))))
+    known = titles.select(
         key,
         tx.normalize_for_match("trueArtist").alias("ta"),
         tx.normalize_for_match("trueTrack").alias("tt"),
-        tx.normalize_for_match("c.artist").alias("ca"),
-        tx.normalize_for_match("c.track").alias("ct"),
-        F.coalesce("c.artist", F.lit("")).alias("raw"),
+        "candidates",
+        let(names, lambda n: F.map_from_arrays(n, F.transform(n, tx.normalize_for_match))).alias("keys"),
+    )
+    keyed = known.select(key, "ta", "tt", "keys", F.explode_outer("candidates").alias("c")).select(
+        key,
+        "ta",
+        "tt",
+        F.coalesce(F.col("keys")[text("c.artist")], F.lit("")).alias("ca"),
+        F.coalesce(F.col("keys")[text("c.track")], F.lit("")).alias("ct"),
+        text("c.artist").alias("raw"),
     )
     track = F.col("ct") == F.col("tt")
     named = (F.col("raw") == "") | (F.col("ca") == F.col("ta")) | tx.keys_strong(F.col("ca"), F.col("ta"))
