@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .regex import col, groups, parts, sub
+from .regex import col, groups, let, parts, sub
 
 # Named entities in the order they are decoded.
 _NAMED = [
@@ -26,18 +26,18 @@ def _code_point(number: Column) -> Column:
 
 def _numeric(c: Column, pattern: str, base: int) -> Column:
     """Decode one numeric entity form in a single pass, left to right."""
-    between = parts(c, pattern)
 
     def number(digits: Column) -> Column:
         # no code point has more than seven digits, but any number of zeros may lead
         bare = F.regexp_replace(digits, "^0+", "")
         return F.when(F.length(bare) <= 7, F.conv(bare, base, 10).cast("long"))
 
-    decoded = F.transform(groups(c, pattern), lambda d: _code_point(number(d)))
-    joined = F.array_join(
-        F.zip_with(between, decoded, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""
-    )
-    return F.when(c.rlike(pattern), joined).otherwise(c)
+    def read(s: Column) -> Column:
+        decoded = F.transform(groups(s, pattern), lambda d: _code_point(number(d)))
+        pairs = F.zip_with(parts(s, pattern), decoded, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+        return F.when(s.rlike(pattern), F.array_join(pairs, "")).otherwise(s)
+
+    return let(c, read)  # a lambda's body has no common subexpressions: the text so far is named once
 
 
 def decode_entities(c: Column | str) -> Column:

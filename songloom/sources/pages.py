@@ -52,18 +52,14 @@ def pages_lyrics(
     """``[key, text]`` of pages whose marked blocks hold 30 characters or more.
 
     Finding a block's end means counting nested tags, which no regular expression does;
-    only that cut runs in Python, on pages that carry the marker at all.
+    only that cut runs in Python, on pages that carry the marker at all. Pages go there row by row
+    in short batches: an Arrow batch holds ten thousand of them, several times over.
     """
-    schema = f"{key} {pages.schema[key].dataType.simpleString()}, blocks array<string>"
-
-    def cut(batches):
-        for pdf in batches:
-            yield pdf[[key]].assign(blocks=pdf[html].map(lambda h: marked_blocks(h, marker)))
-
+    blocks = F.udf(lambda h: marked_blocks(h, marker), "array<string>", useArrow=False)
     marked = pages.select(key, html).filter(F.contains(html, F.lit(marker)))
-    blocks = marked.mapInPandas(cut, schema).filter(F.size("blocks") > 0)
-    joined = strip(F.array_join(F.transform("blocks", html_to_text), "\n"))
-    return blocks.select(key, clean_lyrics(joined).alias("text")).filter(F.length("text") >= MIN_LYRICS)
+    joined = strip(F.array_join(F.transform(blocks(html), html_to_text), "\n"))
+    long_enough = F.filter(F.array(clean_lyrics(joined)), lambda s: F.length(s) >= MIN_LYRICS)
+    return spread(marked, [key], long_enough, "at", "text").select(key, "text")
 
 
 _SCRIPT = r"(?is)<script\b([^>]*)>(.*?)</script\s*>"
