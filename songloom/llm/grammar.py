@@ -98,8 +98,9 @@ def compress(ids: np.ndarray, min_count: int = MIN_COUNT, min_gain: float = MIN_
         at = at[taken[rule[at]] == keys[at]]
         # only a pair of equal symbols overlaps itself: every other one of a run counts
         gap = np.concatenate(([True], np.diff(at) != 1))
-        run = np.flatnonzero(gap)
-        at = at[(np.arange(len(at)) - run[np.cumsum(gap) - 1]) % 2 == 0]
+        if not gap.all():
+            run = np.flatnonzero(gap)
+            at = at[(np.arange(len(at)) - run[np.cumsum(gap) - 1]) % 2 == 0]
         seq[at] = rule[at].astype(np.uint32) + np.uint32(len(terminals) + sum(rounds))
         keep = np.ones(len(seq), dtype=bool)
         keep[at + 1] = False

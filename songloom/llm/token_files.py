@@ -33,6 +33,8 @@ KEPT = 1_000_000
 _OTHER_SPACE = [chr(c) for c in (9, 11, 12, 13, 28, 29, 30, 31, 133, 160, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 #: Letters below this code point are letters in every version of Unicode.
 _LETTERS_END = "\u0250"
+#: Marks that end words, and the length from which a run of them is not kept.
+_MARKS, _SHORT = ",.;:!?", 4
 _JOINED_SPACE = ("  ", " \n", "\n ", "\n\n")
 
 
@@ -73,48 +75,40 @@ class Encoder:
         self._first, self._later = (_Known(lambda chunk, known, lead=lead: self._new(chunk, known, lead)) for lead in ("", " "))
         self._merge = self._tokenizer.model.tokenize
         self._line = self.whole("\n")
-        self._marks = {c: self.whole(c) for c in ",.;:!?"}
+        self._marks = _Known(lambda marks, known: self.whole(marks))
 
     def whole(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _piece(self, text: str) -> bytes:
-        """Ids of a chunk; one of letters alone (after a blank) needs no splitting, only merging."""
-        letters = text[1:] if text[:1] == " " else text
-        if letters.isalpha():
-            if letters.isascii():
-                symbols = _BLANK + letters if len(letters) < len(text) else text
-            elif max(letters) < _LETTERS_END:
-                symbols = text.encode().decode("latin-1").translate(_BYTE_SYMBOLS)
-            else:
-                return self.whole(text)
-            known = self._bytes
-            return b"".join([known[t.id] for t in self._merge(symbols)])
-        return self.whole(text)
-
     def _new(self, chunk: str, known: dict[str, bytes], lead: str) -> bytes:
-        # a mark after a letter is a token of its own
-        if chunk[-1:] in self._marks and chunk[-2:-1].isalpha():
-            return known[chunk[:-1]] + self._marks[chunk[-1]]
-        return self._piece(lead + chunk)
-
-    def _encoded(self, chunks: list[str], known: dict[str, bytes]) -> list[bytes]:
-        if len(known) > self._kept:
-            known.clear()
-        return list(map(known.__getitem__, chunks))
+        """Ids of a chunk; one of letters alone (after a blank) needs no splitting, only merging."""
+        if not chunk.isalpha():
+            # marks after a letter are split off, and a run of them is encoded by itself
+            word = chunk.rstrip(_MARKS)
+            if len(word) < len(chunk) and word[-1:].isalpha():
+                marks = chunk[len(word) :]
+                return known[word] + (self._marks[marks] if len(marks) < _SHORT else self.whole(marks))
+            return self.whole(lead + chunk)
+        if chunk.isascii():
+            symbols = chunk
+        elif max(chunk) < _LETTERS_END:
+            symbols = chunk.encode().decode("latin-1").translate(_BYTE_SYMBOLS)
+        else:
+            return self.whole(lead + chunk)
+        of_id = self._bytes
+        return b"".join([of_id[t.id] for t in self._merge(_BLANK + symbols if lead else symbols)])
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if any(s in text for s in _JOINED_SPACE) or any(s in text for s in _OTHER_SPACE) or any(s in text for s in self._added):
             return self.whole(text)
-        lines = [line.split(" ") for line in text.split("\n")]
-        starts = self._encoded([line[0] for line in lines], self._first)
-        rest = self._encoded([c for line in lines for c in line[1:]], self._later)
-        out, at = [], 0
-        for line, start in zip(lines, starts):
-            stop = at + len(line) - 1
-            out.append(start + b"".join(rest[at:stop]))
-            at = stop
+        for known in (self._first, self._later):
+            if len(known) > self._kept:
+                known.clear()
+        first, later, out = self._first.__getitem__, self._later.__getitem__, []
+        for line in text.split("\n"):
+            start, *rest = line.split(" ")
+            out.append(first(start) + b"".join(map(later, rest)))
         return self._line.join(out)
 
 

@@ -49,6 +49,16 @@ def test_chunks_encode_like_whole_texts(text):
     assert encode(text) == encode.whole(text)
 
 
+def test_words_before_runs_of_marks_are_only_merged(monkeypatch):
+    """Of words that end in marks the library's splitter sees the run of marks, once."""
+    encode, seen = token_files.Encoder(VOCABULARY), []
+    whole = encode.whole
+    monkeypatch.setattr(encode, "whole", lambda text: seen.append(text) or whole(text))
+    text = "Hello!! wörld!! some?! Hello hello,,, !! x1!! éa...... b!!c d!!"
+    assert encode(text) == plain(text)
+    assert seen == ["!!", "?!", ",,,", " !!", " x1!!", "......", " b!!c"]
+
+
 def test_texts_encode_as_the_library_does(spark, data_dir):
     encode = token_files.encoder(VOCABULARY)
     table = spark.read.parquet(f"{data_dir}/documents.parquet").limit(40).collect()  # some texts of the table
